@@ -1,0 +1,6 @@
+"""Streams: none of the reference's operators is a stream operator, so there is none here.
+
+The pixel-wise ones (tessella.operators.photo.posterize and mask, the column builders of
+tessella.functions.color) are stateless projections and work unchanged on a
+``spark.readStream`` table of pixels.
+"""
