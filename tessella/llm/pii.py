@@ -141,9 +141,11 @@ def disclosures(scanned: DataFrame, counts: DataFrame, least_contexts: int = LEA
     alike = seen.groupBy("kind", "entity", "term", "context").agg(F.count("*").alias("n"))  # copies collapse
     joint = alike.groupBy("kind", "entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= least_contexts)
     own = scanned.select(F.explode("beside").alias("b")).groupBy("b.kind", "b.entity").agg(F.count("*").alias("occurrences"))
-    known = joint.join(own, ["kind", "entity"]).join(counts, "term")
+    # a word's occurrences inside entities say nothing of those outside
+    inner = scanned.select(F.explode("beside").alias("b")).select(F.explode(F.split("b.entity", r"[^\p{L}\p{N}_]+")).alias("term")).groupBy("term").agg(F.count("*").alias("inner"))
+    known = joint.join(own, ["kind", "entity"]).join(counts, "term").join(inner, "term", "left")
     words = counts.agg(F.sum("n")).first()[0] or 1  # one number
-    given = F.log(F.least(F.lit(1.0), F.col("together") / F.col("n")))
+    given = F.log(F.least(F.lit(1.0), F.col("together") / F.greatest(F.lit(1), F.col("n") - F.coalesce("inner", F.lit(0)))))
     information = -F.log(F.least(F.col("occurrences") / F.lit(words), F.lit(0.5)))
     return known.select("kind", "entity", "term", (1 + given / information).alias("disclosure"))
 
