@@ -135,7 +135,7 @@ def _nearest(total: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int)
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: of every row with ``is_query`` (a condition on vec_id)
     the k nearest others found."""
     bounded_batches(vectors.sparkSession)
@@ -181,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
 
 
-def recall(vectors: DataFrame, found: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> float:
+def recall(vectors: DataFrame, found: DataFrame, is_query: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> float:
     """Share of the true k nearest that were found; compares every query with every vector in
     blocks, for tests and tuning."""
     rows = valid(inputs(vectors, vec_id=id_col, vector=vector_col))

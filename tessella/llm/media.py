@@ -37,7 +37,7 @@ _digest_in = re.compile(r"(?:^|[^0-9a-f])([0-9a-f]{64})(?:$|[^0-9a-f])").search
 
 #: Elements of HTML.
 _MEDIA = {"img", "audio", "video", "source", "embed"}
-_SILENT = {"script", "style", "template", "noscript", "head"}
+_SILENT = {"script", "style", "template", "noscript", "title"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "i", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u", "var", "wbr"}
 
 
