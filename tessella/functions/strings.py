@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 #: The aspect ratios offered, in order of preference.
 RATIOS = ("21:9", "16:9", "3:2", "4:3", "1:1", "3:4", "2:3", "9:16")
 
+#: Output sizes by resolution, in the order of RATIOS.
+DIMENSIONS = {
+    "1k": ("2016x846", "1664x936", "1584x1056", "1472x1104", "1328x1328", "1104x1472", "1056x1584", "936x1664"),
+    "2k": ("3024x1296", "2560x1440", "2496x1664", "2304x1728", "2048x2048", "1728x2304", "1664x2496", "1440x2560"),
+    "4k": ("6197x2656", "5404x3040", "4992x3328", "4693x3520", "4096x4096", "3520x4693", "3328x4992", "3040x5404"),
+}
+
 _SIZE = r"(?i)^(\d{2,5})x(\d{2,5})$"
 
 
@@ -78,3 +85,38 @@ def data_url_bytes(text: Column, most: int = 100 * 1024 * 1024) -> Column:
 
 def data_url(raw: Column, kind: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(raw))
+
+
+def known_ratio(ratio: Column) -> Column:
+    return F.when(ratio.isin(*RATIOS), ratio).otherwise("1:1")
+
+
+def dimensions(resolution_: Column, ratio: Column) -> Column:
+    """The output size 'WxH' of a resolution and an offered ratio."""
+    place = F.array_position(F.array(*map(F.lit, RATIOS)), known_ratio(ratio)).cast("int")
+    tables = {k: F.array(*map(F.lit, v)) for k, v in DIMENSIONS.items()}
+    return F.when(resolution_ == "4k", F.element_at(tables["4k"], place)).when(resolution_ == "2k", F.element_at(tables["2k"], place)).otherwise(F.element_at(tables["1k"], place))
+
+
+def is_image_input(text: Column) -> Column:
+    """Whether a text is a base64 image data URL or a web address."""
+    return text.rlike(r"(?i)^data:image/[a-z0-9.+-]+;base64,") | text.rlike(r"(?i)^https?://")
+
+
+def image_format(text: Column) -> Column:
+    kind = F.lower(as_string(text))
+    return F.when(kind.isin("png", "webp"), kind).otherwise("jpeg")
+
+
+def query_string(parameters: Column) -> Column:
+    """A map of texts as an encoded query string, in the map's order."""
+    return F.array_join(F.transform(F.map_entries(parameters), lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")
+
+
+def error_message(text: Column) -> Column:
+    """The message of a JSON error body: at its top, else in its first entry."""
+    return F.coalesce(as_string(F.get_json_object(text, "$.error.message")), as_string(F.get_json_object(text, "$.data[0].error.message")))
+
+
+def to_hex(raw: Column) -> Column:
+    return F.lower(F.hex(raw))

@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import color
-from tessella.operators.matching import LAB, with_palette_lab
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage where a reliable checkpoint folder is set; short loops go without."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+from tessella.operators import quantise
+from tessella.operators.lineage import written
+from tessella.operators.matching import LAB, nearest_of_own, with_palette_lab
 
 
 def seeds(points: DataFrame, k: int) -> DataFrame:
@@ -33,11 +30,11 @@ def kmeans(cells: DataFrame, k: int, max_iterations: int = 30) -> tuple[DataFram
     Points are distinct colours weighted by their cells.  A cluster without points keeps its
     centroid; the loop ends when no label changes."""
     weights = cells.where(F.col("r").isNotNull()).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("w"))
-    points = _written(color.with_lab(weights))
-    centroids = _written(seeds(points, k))
+    points = written(color.with_lab(weights))
+    centroids = written(seeds(points, k))
     labels = None
     for _ in range(max_iterations):
-        now = _written(assign(points, centroids))
+        now = written(assign(points, centroids))
         if labels is not None:
             moved = now.join(labels.withColumnRenamed("label", "was"), ["image_id", "r", "g", "b"]).where("label <> was").limit(1).count()
             if not moved:
@@ -46,28 +43,44 @@ def kmeans(cells: DataFrame, k: int, max_iterations: int = 30) -> tuple[DataFram
         w = F.col("w")
         means = points.join(labels, ["image_id", "r", "g", "b"]).groupBy("image_id", "label").agg(*((F.sum(F.col(c) * w) / F.sum(w)).alias(f"n_{c[-1]}") for c in LAB))
         moved_to = centroids.join(means, ["image_id", "label"], "left")
-        centroids = _written(moved_to.select("image_id", "label", *(F.coalesce(f"n_{c}", f"p_{c}").alias(f"p_{c}") for c in "lab")))
+        centroids = written(moved_to.select("image_id", "label", *(F.coalesce(f"n_{c}", f"p_{c}").alias(f"p_{c}") for c in "lab")))
     return centroids, labels
 
 
-def cluster_palettes(cells: DataFrame, palette: DataFrame, k: int, max_iterations: int = 30) -> DataFrame:
-    """image_id, label, n, brand, code, ord: the bead nearest to each cluster's centre."""
-    centroids, labels = kmeans(cells, k, max_iterations)
-    palette = with_palette_lab(palette)
-    side = palette.select("brand", "code", "ord", *(F.col(c).alias(f"q_{c[-1]}") for c in LAB))
+def _cluster_beads(centroids: DataFrame, palette: DataFrame) -> DataFrame:
+    """image_id, label, brand, code, ord: the bead nearest to each centre."""
+    side = with_palette_lab(palette).select("brand", "code", "ord", *(F.col(c).alias(f"q_{c[-1]}") for c in LAB))
     pairs = color.with_delta_e(centroids.crossJoin(F.broadcast(side)), ("p_l", "p_a", "p_b"), ("q_l", "q_a", "q_b"))  # k rows an image
     beads = pairs.groupBy("image_id", "label").agg(F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best"))
-    sizes = cells.join(labels, ["image_id", "r", "g", "b"]).groupBy("image_id", "label").agg(F.count("*").alias("n"))
-    return beads.join(sizes, ["image_id", "label"]).select("image_id", "label", "n", "best.brand", "best.code", "best.ord")
+    return beads.select("image_id", "label", "best.brand", "best.code", "best.ord")
 
 
-def cluster_quantise(cells: DataFrame, palette: DataFrame, k: int, max_iterations: int = 30) -> DataFrame:
-    """image_id, cx, cy, brand, code, ord: each cell gets its cluster's bead."""
+def cluster_palettes(cells: DataFrame, palette: DataFrame, k: int, max_iterations: int = 30) -> DataFrame:
+    """image_id, label, n, brand, code, ord: the bead nearest to each cluster's centre."""
     centroids, labels = kmeans(cells, k, max_iterations)
-    palette = with_palette_lab(palette)
-    side = palette.select("brand", "code", "ord", *(F.col(c).alias(f"q_{c[-1]}") for c in LAB))
-    pairs = color.with_delta_e(centroids.crossJoin(F.broadcast(side)), ("p_l", "p_a", "p_b"), ("q_l", "q_a", "q_b"))
-    beads = pairs.groupBy("image_id", "label").agg(F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best")).select("image_id", "label", "best.brand", "best.code", "best.ord")
-    return cells.join(labels.join(beads, ["image_id", "label"]), ["image_id", "r", "g", "b"], "left").select("image_id", "cx", "cy", "brand", "code", "ord")
+    sizes = cells.join(labels, ["image_id", "r", "g", "b"]).groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    return _cluster_beads(centroids, palette).join(sizes, ["image_id", "label"]).select("image_id", "label", "n", "brand", "code", "ord")
 
 
+def cluster_quantise(cells: DataFrame, palette: DataFrame, k: int, max_iterations: int = 30, snap: bool = False, confetti_ratio: float = 0.0, dither: float = 0.0) -> DataFrame:
+    """image_id, cx, cy, brand, code, ord, delta_e: each cell gets its cluster's bead.
+
+    With ``dither`` or ``snap``, cells of images with two or more such beads are dithered or
+    matched again among those, in the order of the clusters."""
+    centroids, labels = kmeans(cells, k, max_iterations)
+    own = _cluster_beads(centroids, palette)
+    beads = cells.join(labels.join(own, ["image_id", "label"]), ["image_id", "r", "g", "b"], "left").select("image_id", "cx", "cy", "r", "g", "b", "brand", "code", "ord")
+    if snap or dither > 0:
+        reduced = own.groupBy("image_id", "ord", "brand", "code").agg(F.min("label").alias("rank")).join(with_palette_lab(palette).select("ord", *LAB), "ord")
+        several = reduced.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id")
+        chosen = cells.join(several, "image_id", "left_semi")
+        if dither > 0:
+            again = quantise.dithered(chosen, reduced, palette, dither)
+        else:
+            matched = nearest_of_own(chosen, reduced, F.col("rank")).drop("delta_e")
+            again = chosen.join(matched, ["image_id", "r", "g", "b"], "left").select(*beads.columns)
+        beads = beads.join(several, "image_id", "left_anti").unionByName(again)
+    beads = written(quantise.with_distance(beads, palette))
+    if confetti_ratio > 0:
+        beads = quantise.with_distance(quantise.clean_confetti(beads, palette, confetti_ratio), palette)
+    return beads.select("image_id", "cx", "cy", "brand", "code", "ord", "delta_e")

@@ -25,6 +25,16 @@ def mask(pixels: DataFrame, bits: int = 0xF8) -> DataFrame:
     return pixels.withColumns({c: color.mask_channel(F.col(c), bits) for c in ("r", "g", "b")})
 
 
+def tone(pixels: DataFrame, gains: tuple[float, float, float], offsets: tuple[float, float, float]) -> DataFrame:
+    """Each channel times its gain plus its offset, rounded and clamped."""
+    return pixels.withColumns({c: color.half_up(color.clamp(F.col(c) * gain + offset)) for c, gain, offset in zip("rgb", gains, offsets, strict=True)})
+
+
+def low_res_cells(pixels: DataFrame, levels: int = 10) -> DataFrame:
+    """Every pixel as a cell of its own, its channels on ``levels`` values."""
+    return pixels.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), *(color.clamp(color.posterize_channel(F.col(c), levels)).cast("int").alias(c) for c in "rgb"))
+
+
 def gradients(pixels: DataFrame) -> DataFrame:
     """image_id, x, y, magnitude of the luma gradient of all pixels off the border.
 

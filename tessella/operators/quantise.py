@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.operators import matching
+from tessella.operators.lineage import written
 from tessella.operators.matching import LAB, nearest, nearest_of_own, with_palette_lab
 
 BEADS = ("image_id", "cx", "cy", "brand", "code")
@@ -37,7 +38,8 @@ def quantise(cells: DataFrame, palette: DataFrame, max_colors: int, confetti_rat
     If an image has more nearest colours than ``max_colors``, all of its cells are matched
     again with its reduced palette, where ties go by rank; else by the palette's order.  With
     ``dither`` over 0, images of two or more reduced colours are dithered instead."""
-    reduced = reduced_palettes(cells, palette, max_colors)
+    cells = written(cells)
+    reduced = written(reduced_palettes(cells, palette, max_colors))
     tie = F.when(F.col("dropped"), F.col("rank")).otherwise(F.col("ord"))
     matched = nearest_of_own(cells, reduced, tie)
     beads = cells.join(matched, ["image_id", "r", "g", "b"], "left").select("image_id", "cx", "cy", "r", "g", "b", "brand", "code", "ord", "delta_e")
@@ -46,7 +48,7 @@ def quantise(cells: DataFrame, palette: DataFrame, max_colors: int, confetti_rat
         rough = dithered(cells.join(several, "image_id", "left_semi"), reduced, palette, dither)
         beads = beads.join(several, "image_id", "left_anti").unionByName(with_distance(rough, palette))
     if confetti_ratio > 0:
-        beads = with_distance(clean_confetti(beads, palette, confetti_ratio), palette)
+        beads = with_distance(clean_confetti(written(beads), palette, confetti_ratio), palette)
     return beads.select("image_id", "cx", "cy", "brand", "code", "ord", "delta_e")
 
 

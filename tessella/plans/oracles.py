@@ -142,6 +142,12 @@ def oracle_sql() -> dict[str, str]:
     post = ", ".join(f"case when a < 128 then {c} else cast(floor(floor({c} / {step} + 0.5::double) * {step} + 0.5::double) as int) end as {c}" for c in "rgb")
     ratios = {"21:9": 0, "16:9": 1, "3:2": 2, "4:3": 3, "1:1": 4, "3:4": 5, "2:3": 6, "9:16": 7}
     ratio_rows = ", ".join(f"('{k}', {k.split(':')[0]}::double / {k.split(':')[1]}, {v})" for k, v in ratios.items())
+    widths = {  # fixed values: width and height by resolution, in the order of ratios
+        "1k": [(2016, 846), (1664, 936), (1584, 1056), (1472, 1104), (1328, 1328), (1104, 1472), (1056, 1584), (936, 1664)],
+        "2k": [(3024, 1296), (2560, 1440), (2496, 1664), (2304, 1728), (2048, 2048), (1728, 2304), (1664, 2496), (1440, 2560)],
+        "4k": [(6197, 2656), (5404, 3040), (4992, 3328), (4693, 3520), (4096, 4096), (3520, 4693), (3328, 4992), (3040, 5404)],
+    }
+    dimension_rows = ", ".join(f"('{scale}', '{ratio}', '{w}x{h}')" for scale, own in widths.items() for ratio, (w, h) in zip(ratios, own, strict=True))
     return {
         "hex_rgb_roundtrip": f"with {PALETTE} select ord, {hexed()} as hex, r, g, b from palette",
         "rgb_to_lab": f"with {PALETTE}, {lab('pal', 'palette')} select ord, round(lab_l, 6) as lab_l, round(lab_a, 6) as lab_a, round(lab_b, 6) as lab_b from pal",
@@ -230,5 +236,11 @@ offered(ratio, v, k) as (values {ratio_rows})
 select ord, size, width, height, case when width is null then '2k' when greatest(width, height) >= 3500 then '4k' when greatest(width, height) >= 1800 then '2k' else '1k' end as resolution,
   case when width is null then '1:1' else (select ratio from offered order by abs(width::double / height - v), k limit 1) end as ratio from parsed""",
         "text_digests": f"""with {PALETTE} select ord, sha256(name) as sha256, md5(name) as md5, '&lt;a b=&quot;&amp;&quot;&gt;' || name as xml, regexp_replace('bead-' || brand || '-' || code, '[^a-zA-Z0-9_-]', '-', 'g') as gradient, name as trimmed, code as bare from palette""",
+        "tone_low_res": f"""with {PIXELS}, toned as (select image_id, x, y, {", ".join(f"floor(greatest(0, least(255, {c} * {k}::double + {o}::double)) + 0.5) as {c}" for c, k, o in zip("rgb", (1.06, 1.02, 0.94), (10, 6, 0), strict=True))} from pixels)
+select image_id, x as cx, y as cy, {", ".join(f"cast(greatest(0, least(255, floor(floor({c} / (255.0::double / 9) + 0.5) * (255.0::double / 9) + 0.5))) as int) as {c}" for c in "rgb")} from toned""",
+        "output_dimensions": f"""with {PALETTE},
+sizes(scale, ratio, size) as (values {dimension_rows}),
+asked as (select ord, case when ord % 11 = 0 then '1:1' else ['21:9', '16:9', '3:2', '4:3', '1:1', '3:4', '2:3', '9:16'][ord % 8 + 1] end as ratio, ['1k', '2k', '4k'][ord % 3 + 1] as scale from palette)
+select ord, size, ['png', 'jpeg', 'webp', 'jpeg'][ord % 4 + 1] as format, ord % 2 = 0 as usable from asked join sizes using (scale, ratio)""",
         "event_json_path": "select event_id, props::json ->> '$.k' as k, props::json ->> '$.missing[0].x' as missing from events",
     }

@@ -315,6 +315,27 @@ def kmeans_palette(spark, sf_dir):
     return clustering.cluster_palettes(cells(spark, sf_dir), palette(spark, sf_dir), 8, 10)
 
 
+@query
+def cluster_quantize(spark, sf_dir):
+    return clustering.cluster_quantise(cells(spark, sf_dir), palette(spark, sf_dir), 8, 6, snap=True, confetti_ratio=0.02).select("image_id", "cx", "cy", "brand", "code")
+
+
+@query
+def tone_low_res(spark, sf_dir):
+    """Per-channel tone, then every pixel as a posterised cell."""
+    return photo.low_res_cells(photo.tone(pixels(spark, sf_dir), (1.06, 1.02, 0.94), (10, 6, 0)))
+
+
+@query
+def output_dimensions(spark, sf_dir):
+    ratio = F.element_at(F.array(*map(F.lit, strings.RATIOS)), (F.col("ord") % 8 + 1).cast("int"))
+    asked = F.when(F.col("ord") % 11 == 0, "5:4").otherwise(ratio)
+    scale = F.element_at(F.array(F.lit("1k"), F.lit("2k"), F.lit("4k")), (F.col("ord") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit(" PNG "), F.lit("jpg"), F.lit("webp"), F.lit("gif")), (F.col("ord") % 4 + 1).cast("int"))
+    link = F.when(F.col("ord") % 2 == 0, "HTTPS://x.example/a").otherwise("ftp://x.example/a")
+    return palette(spark, sf_dir).select("ord", strings.dimensions(scale, asked).alias("size"), strings.image_format(kind).alias("format"), strings.is_image_input(link).alias("usable"))
+
+
 @query
 def svg_documents(spark, sf_dir):
     return render.svg_documents(beads(spark, sf_dir), palette(spark, sf_dir), GRID, GRID, 12)

@@ -43,6 +43,12 @@ def with_channels(cards: DataFrame) -> DataFrame:
     return color.with_lab(cards.withColumns({"r": r, "g": g, "b": b}))
 
 
+def from_cards(cards: DataFrame) -> DataFrame:
+    """Palette rows of stored cards, whose Lab columns are taken as they are."""
+    r, g, b = color.hex_to_rgb(F.col("rgbHex"))
+    return cards.select("brand", "code", "name", "ord", r.alias("r"), g.alias("g"), b.alias("b"), F.col("labL").alias("lab_l"), F.col("labA").alias("lab_a"), F.col("labB").alias("lab_b"))
+
+
 def of_brand(cards: DataFrame, brand: str | None) -> DataFrame:
     """The cards of one brand by code; no brand is an error, an unknown one gives no rows."""
     if not brand:
