@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.shipping import ship
+
 #: Neighbours in the order that breaks ties.
 AROUND = ((0, -1), (0, 1), (-1, 0), (1, 0))
 
@@ -42,6 +44,7 @@ def clean_isolated(beads: DataFrame, passes: int = 2) -> DataFrame:
         pick = lambda c: [pdf[c].iloc[first[k]] if k >= 0 else None for k in new]
         return pdf.assign(brand=pick("brand"), code=pick("code"))
 
+    ship(beads.sparkSession)
     own = beads.select("image_id", "cx", "cy", "brand", "code")
     return own.groupBy("image_id").applyInPandas(one, own.schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.operators.geometry import sizes
+from tessella.shipping import ship
 
 #: The Sobel kernels by offset.
 SOBEL = [(dx, dy, dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -114,5 +115,6 @@ def flood_fill_background(pixels: DataFrame, tolerance: float = 32) -> DataFrame
         alpha = _flood(pdf[["r", "g", "b"]].to_numpy(np.int64).reshape(*shape, 3), pdf["a"].to_numpy().reshape(shape), tolerance)
         return pdf.assign(a=alpha.reshape(-1).astype(np.int32))
 
+    ship(pixels.sparkSession)
     own = pixels.select("image_id", "x", "y", "r", "g", "b", "a")
     return own.groupBy("image_id").applyInPandas(one, own.schema)

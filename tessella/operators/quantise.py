@@ -11,6 +11,7 @@ from tessella.functions import color
 from tessella.operators import matching
 from tessella.operators.lineage import written
 from tessella.operators.matching import LAB, nearest, nearest_of_own, with_palette_lab
+from tessella.shipping import ship
 
 BEADS = ("image_id", "cx", "cy", "brand", "code")
 
@@ -143,6 +144,7 @@ def dithered(cells: DataFrame, reduced: DataFrame, palette: DataFrame, strength:
         return pd.DataFrame({"image_id": left["image_id"], "cx": left["cx"], "cy": left["cy"], **{c: left[c].astype("Int32") for c in "rgb"}, "brand": pick("brand"), "code": pick("code"), "ord": pd.array(pick("ord"), "Int32")})
 
     schema = "image_id long, cx int, cy int, r int, g int, b int, brand string, code string, ord int"
+    ship(cells.sparkSession)
     colors = colors.withColumnRenamed("image_id", "for_image")
     return cells.select("image_id", "cx", "cy", "r", "g", "b").groupBy("image_id").cogroup(colors.groupBy("for_image")).applyInPandas(one, schema)
 
