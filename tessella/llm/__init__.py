@@ -1,6 +1,5 @@
 """Operators for preparing training corpora, each a Spark job over a documents-like table.
 
-Nothing else in the library imports this subpackage.  On a cluster, ship the ``tessella``
-package to the executors (``--py-files`` or an installed wheel): tasks import it by name,
-so that per-worker caches outlive a single task.
+Nothing else in the library imports this subpackage.  Tasks import it by name, so that
+per-worker caches outlive a single task; tessella.shipping sends it to the executors.
 """

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.shipping import ship
+
 #: Rows of an Arrow batch sent to Python: bounds a task's memory when texts are long.
 BATCH_ROWS = 256
 
@@ -19,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hand texts to Python in small batches, so that memory follows the longest texts only."""
+    """Hand texts to Python in small batches, so that memory follows the longest texts only,
+    and let the workers import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache
 from tessella.llm.common import bounded_batches, inputs, map_batches, materialise, text_or_empty
+from tessella.shipping import ship
 
 MAX_TOKENS = 2048
 END_TOKEN = 0
@@ -239,6 +240,7 @@ def pack_again(bins: DataFrame, level: int, groups: int, max_tokens: int = MAX_T
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, slack: int = SLACK, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
     """Pieces (columns of PIECES) with the sequence_id and offset of each."""
     spark = pieces.sparkSession
+    ship(spark)
     bins = materialise(pack_local(pieces, max_tokens, group_items), "bins0")
     done = [bins.where(F.col("used") >= max_tokens - slack)]
     rest = bins.where(F.col("used") < max_tokens - slack)
