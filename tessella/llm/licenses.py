@@ -72,20 +72,27 @@ class Index:
         for k, words in enumerate(self.texts):
             for at, word in enumerate(words):
                 self.postings[word].append((k, at))
+        self.counts = {word: Counter(k for k, _ in own) for word, own in self.postings.items()}
         self.vocabulary = frozenset(self.postings)
         self.rarity = rarity or {}
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
         """label -> best share of words, for the templates that pass."""
+        # a template can only pass if the file holds enough of its words at all
         present = self.vocabulary.intersection(words)
-        if len(present) < 2:
+        held: Counter = Counter()
+        for word in present:
+            held.update(self.counts[word])
+        open_ = {k for k, n in held.items() if n >= LEAST_SHARE * len(self.texts[k])}
+        if not open_:
             return {}
-        top = set(sorted(present, key=lambda w: (-self.rarity.get(w, 0.0), w))[:RAREST])
+        top = set(sorted((w for w in present if not open_.isdisjoint(self.counts[w])), key=lambda w: (-self.rarity.get(w, 0.0), w))[:RAREST])
         votes: dict[int, Counter] = defaultdict(Counter)
         for at, word in enumerate(words):
             if word in top:
                 for k, place in self.postings[word]:
-                    votes[k][at - place] += 1
+                    if k in open_:
+                        votes[k][at - place] += 1
         found: dict[str, float] = {}
         for k, begins in votes.items():
             template = self.texts[k]
