@@ -6,7 +6,7 @@
    are chosen for a target recall at the threshold.  Band hashes are shuffled; those held by
    two or more representatives are buckets.
 3. Pairs are verified on full n-gram sets, without a row for each pair: every candidate
-   belongs to a block of bounded size, cut from its most populous bucket.  Two blocks that
+   belongs to a block of bounded size, cut from a populous bucket near it.  Two blocks that
    share a bucket meet in one task, which counts the links of each document and reduces them
    to a spanning forest.  A large bucket so becomes many block pairs, dealt to all tasks.
 4. Linked representatives are joined into groups by label propagation with shortcuts.
@@ -34,9 +34,9 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most hashes in a signature.
 SIGNATURE = 128
 #: Documents in a block, about.
-BLOCK = 192
+BLOCK = 512
 #: Word hashes that a worker remembers.
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 
 words_of = re.compile(r"\w+").findall
 _hashes: dict[str, int] = {}
@@ -208,14 +208,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = materialise(reps.where("n_ngrams > 0").select("rep", "node", F.posexplode("keys").alias("band", "key")), "bands")
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(buckets, ["band", "key"]), "members")
-    home = members.groupBy("node").agg(F.max(F.struct("n", "band", "key")).alias("h"), F.min("rep").alias("rep"))
-    parts = F.ceil(F.col("h.n") / F.lit(block)).cast("long")
-    home = materialise(home.select("node", "rep", F.xxhash64("h.band", "h.key", F.pmod(F.xxhash64("node"), parts)).alias("block")), "home")
+    # a home is a populous bucket: the most populous one that any member of one's own buckets
+    # is in, so that a large group has one home although its members share various buckets
+    first = members.groupBy("node").agg(F.max(F.struct("n", "band", "key")).alias("h"))
+    within = members.select("node", "band", "key").join(first, "node").groupBy("band", "key").agg(F.max("h").alias("h"))
+    home = members.select("node", "rep", "band", "key").join(within, ["band", "key"]).groupBy("node").agg(F.max("h").alias("h"), F.min("rep").alias("rep"))
+    home = materialise(home.select("node", "rep", "h.band", "h.key"), "home")
+    parts = home.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts"))
+    blocks = F.xxhash64("band", "key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")
+    home = materialise(home.join(parts, ["band", "key"]).select("node", "rep", blocks), "blocks")
     held = members.select("node", "band", "key").join(home.select("node", "block"), "node").select("band", "key", "block").distinct()
     other = held.select("band", "key", F.col("block").alias("other"))
     meet = held.join(other, ["band", "key"]).where("block <= other").select("block", "other").distinct()
     meet = materialise(meet, "meetings")
-    sets = _sets(texts.join(home, texts["doc_id"] == home["rep"]).select("node", "block", "rep", "text"), n)
+    # texts are the large side at any size: a plan that doesn't change as candidates grow
+    wanted = texts.hint("merge").join(home, texts["doc_id"] == home["rep"]).select("node", "block", "rep", "text")
+    sets = _sets(wanted, n)
     ends = meet.select(F.col("block").alias("at"), "block", "other").unionByName(meet.where("block <> other").select(F.col("other").alias("at"), "block", "other"))
     dealt = sets.withColumnRenamed("block", "at").join(ends, "at").withColumn("pair", F.xxhash64("block", "other"))
     dealt = dealt.repartition("pair", "block", "other").sortWithinPartitions("pair", "block", "other", "node")
