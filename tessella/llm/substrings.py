@@ -1,14 +1,14 @@
 """Operator 2: removal of repeated passages, by content-defined chunking.
 
 A gear rolling hash over the UTF-8 bytes puts a chunk's end wherever the hash of the last 16
-bytes has its low bits zero, so that chunks behind an insertion come out as before.  A chunk
+bytes has its high bits zero, so that chunks behind an insertion come out as before.  A chunk
 is named by 96 bits of its digest.  Its first occurrence, by document id and place, stays;
 every later one is a repeat.  Runs of adjacent repeats of at least ``min_bytes`` are removed.
 
 Defined results: a null text counts as empty and stays null in the filtered table; texts
-shorter than the smallest chunk are one chunk; rows that repeat an id and text are one
-document and keep the same parts; a null id sorts behind all others, so its repeats go
-first; an empty table gives no rows.
+shorter than the smallest chunk are one chunk; rows that repeat an id are one document: what
+stands at the same place of two of them is first in both; a null id sorts behind all others,
+so its repeats go first; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """doc_id, text_key and the spans to remove: start, end (bytes) and the document that
     keeps the first occurrence of the span's first chunk."""
     found = materialise(chunks(_texts(docs, id_col, text_col)), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
     later = found.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
     lists = later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("first.doc_id").alias("first_doc_id")))).alias("repeated"))
