@@ -143,7 +143,7 @@ def sample(training: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.nda
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float32()))], ["lang", "features", "tf"])
 
     picked = map_batches(training.where(keep).select("lang", "text"), lambda: step, "lang string, features array<int>, tf array<float>")
-    out = [(r[0], np.array(r[1], np.int64), np.array(r[2], np.float64)) for r in picked.toLocalIterator()]
+    out = [(r[0], np.array(r[1], np.int32), np.array(r[2], np.float32)) for r in picked.toLocalIterator()]
     return sorted(out, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
 
 
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of ``least_score`` or
     more (and among ``languages``, if given)."""
     pred, score = "__tessella_pred", "__tessella_score"
