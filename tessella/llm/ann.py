@@ -70,16 +70,18 @@ def padded_size(n: int) -> int:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, vector (doubles) and norm of the rows that take part."""
-    values = F.transform("vector", lambda x: x.cast("double"))
+    """vec_id, vector and norm of the rows that take part.  Floats stay floats on their way
+    through shuffles; all arithmetic is in double precision."""
+    kind = vectors.schema["vector"].dataType.elementType.simpleString()
+    values = F.col("vector") if kind == "float" else F.transform("vector", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", values.alias("vector")).where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull())
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return rows.where(finite).withColumn("norm", norm).where(F.col("norm") > 0)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
@@ -106,7 +108,8 @@ def _hashed(rows: DataFrame, size: int, longest: float, tables: int, probes: int
             table = np.tile(np.repeat(np.arange(tables), p), n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(table.astype(np.int32)), pa.array(buckets.reshape(-1).astype(np.int32))], ["vec_id", "vector", "tab", "bucket"])
 
-    return rows.select("vec_id", "vector", "norm").mapInArrow(run, "vec_id long, vector array<double>, tab int, bucket int")
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select("vec_id", "vector", "norm").mapInArrow(run, f"vec_id long, vector {kind}, tab int, bucket int")
 
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
