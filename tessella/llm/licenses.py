@@ -2,16 +2,17 @@
 
 Licence templates are short texts with mandatory key phrases.  Their words are the index:
 word -> (template, position).  How rare each of these words is comes from all files (one
-counter a word).  For every file the licence words it holds are looked up, rarest first; each
-posting votes for the place where the template would begin in the file, and templates whose
-votes agree are compared there word by word.  A template counts if enough of its words stand
-within a few places of where they should and all its key phrases stand in that part.
+counter a word).  Every template is looked up by its own rarest words, two more than may be
+missing from it; each posting votes for the places where the template could begin in the file.
+Wherever a template matches, at least two of them vote, so comparing it at the places with two
+votes, word by word, misses none.  A template counts if enough of its words stand within a few
+places of where they should and all its key phrases stand in that part.
 
 Base labels, by contract, are given wherever the words of a fixed phrase stand in a row.
 
 Defined results: words are runs of a-z (A-Z lower-cased), digits and non-ASCII characters; a
 null or empty text has no words, no labels and score 0; the score is 1 with a base label, else
-the best template's share of words; ties between places go to the first; a null id stays null.
+the best template's share of words over all places of the file; a null id stays null.
 """
 
 from __future__ import annotations
@@ -52,9 +53,9 @@ TEMPLATES = [
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution 4 0"]),
 ]
 
-#: Licence words of a file that are looked up, rarest first; how far a word may stand from
-#: its place; share of a template's words that must be there.
-RAREST, SLIP, LEAST_SHARE = 16, 3, 0.8
+#: How far a word may stand from its place; share of a template's words that must be there;
+#: of the words looked up, how many must be there at least.
+SLIP, LEAST_SHARE, LEAST_VOTES = 3, 0.8, 2
 
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -74,7 +75,12 @@ class Index:
                 self.postings[word].append((k, at))
         self.counts = {word: Counter(k for k, _ in own) for word, own in self.postings.items()}
         self.vocabulary = frozenset(self.postings)
-        self.rarity = rarity or {}
+        self.chosen, self.needed = [], []
+        for words in self.texts:
+            missing = sum((len(words) - n) / len(words) >= LEAST_SHARE for n in range(1, len(words) + 1))
+            order = sorted(range(len(words)), key=lambda i: (-(rarity or {}).get(words[i], 0.0), words[i], i))
+            self.chosen.append(order[: missing + LEAST_VOTES])
+            self.needed.append(len(self.chosen[-1]) - missing)
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
         """label -> best share of words, for the templates that pass."""
@@ -83,38 +89,57 @@ class Index:
         held: Counter = Counter()
         for word in present:
             held.update(self.counts[word])
-        open_ = {k for k, n in held.items() if n >= LEAST_SHARE * len(self.texts[k])}
+        open_ = sorted(k for k, n in held.items() if n / len(self.texts[k]) >= LEAST_SHARE)
+        keys = {k: [(len(key), np.array(places(words, key), np.int64)) for key in self.keys[k]] for k in open_}
+        open_ = [k for k in open_ if all(len(at) for _, at in keys[k])]
         if not open_:
             return {}
-        top = set(sorted((w for w in present if not open_.isdisjoint(self.counts[w])), key=lambda w: (-self.rarity.get(w, 0.0), w))[:RAREST])
-        votes: dict[int, Counter] = defaultdict(Counter)
+        wanted = {word for k in open_ for word in self.texts[k]}
+        stands: dict[bytes, list[int]] = defaultdict(list)
         for at, word in enumerate(words):
-            if word in top:
-                for k, place in self.postings[word]:
-                    if k in open_:
-                        votes[k][at - place] += 1
+            if word in wanted:
+                stands[word].append(at)
+        # near[word][SLIP + x]: the word stands within SLIP of x, from x = -SLIP on
+        near = {word: _near(np.array(at), len(words)) for word, at in stands.items()}
         found: dict[str, float] = {}
-        for k, begins in votes.items():
-            template = self.texts[k]
-            needed = max(2, min(len(top & set(template)), len(template)) // 2)
-            for begin in sorted(begins):
-                if sum(begins[begin + d] for d in range(-SLIP, SLIP + 1)) < needed:
-                    continue
-                share = self._share(template, words, begin)
-                if share >= LEAST_SHARE and share > found.get(self.labels[k], 0.0) and self._keys(k, words, begin):
-                    found[self.labels[k]] = share
+        for k in open_:
+            begins = self._candidates(k, near, len(words))
+            share = self._hits(k, range(len(self.texts[k])), near, begins, len(words)) / len(self.texts[k])
+            good = (share >= LEAST_SHARE) & self._keys(k, keys[k], begins)
+            if good.any():
+                found[self.labels[k]] = max(found.get(self.labels[k], 0.0), float(share[good].max()))
         return found
 
-    def _share(self, template: list[bytes], words: list[bytes], begin: int) -> float:
-        hits = 0
-        for place, word in enumerate(template):
-            at = begin + place
-            hits += word in words[max(0, at - SLIP) : max(0, at + SLIP + 1)]
-        return hits / len(template)
-
-    def _keys(self, k: int, words: list[bytes], begin: int) -> bool:
-        part = words[max(0, begin - SLIP) : max(0, begin + len(self.texts[k]) + SLIP)]
-        return all(places(part, key) for key in self.keys[k])
+    def _candidates(self, k: int, near: dict[bytes, np.ndarray], n: int) -> np.ndarray:
+        """The places where enough of the template's chosen words stand."""
+        begins = np.arange(-len(self.texts[k]) - SLIP, n + SLIP)
+        return begins[self._hits(k, self.chosen[k], near, begins, n) >= self.needed[k]]
+
+    def _hits(self, k: int, template_places, near: dict[bytes, np.ndarray], begins: np.ndarray, n: int) -> np.ndarray:
+        """For every begin, how many of these words of the template stand near their places."""
+        hits = np.zeros(len(begins), np.int64)
+        for place in template_places:
+            own = near.get(self.texts[k][place])
+            if own is not None:
+                # beyond either end of the file nothing is near
+                hits += own[np.clip(begins + place + SLIP, -1, n + 2 * SLIP)]
+        return hits
+
+    def _keys(self, k: int, keys: list[tuple[int, np.ndarray]], begins: np.ndarray) -> np.ndarray:
+        """Whether all key phrases stand in the part at each begin."""
+        good = np.ones(len(begins), bool)
+        for length, at in keys:
+            first = np.searchsorted(at, begins - SLIP)
+            good &= (first < len(at)) & (at[np.minimum(first, len(at) - 1)] + length <= begins + len(self.texts[k]) + SLIP)
+        return good
+
+
+def _near(at: np.ndarray, n: int) -> np.ndarray:
+    """n + 2 * SLIP + 1 flags; the last one, which index -1 reaches too, is False."""
+    out = np.zeros(n + 2 * SLIP + 1, bool)
+    for slip in range(2 * SLIP + 1):
+        out[at + slip] = True
+    return out
 
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:

@@ -100,3 +100,30 @@ def test_license_templates(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["labels"] == "mit-text" and got[1]["score"] == 1.0 and got[2]["labels"] == "mit-text"
     assert [got[k]["labels"] for k in (3, 4, 5)] == ["", "", ""] and got[5]["score"] == 0.0
+
+
+def labels_by_force(text):
+    """Every template at every place of a text."""
+    words, out = licenses.words_of(text), {}
+    for label, template, phrases in licenses.TEMPLATES:
+        own, keys = licenses.words_of(template), [licenses.words_of(p) for p in phrases]
+        for begin in range(-len(own) - 3, len(words) + 3):
+            share = sum(w in words[max(0, begin + i - 3) : max(0, begin + i + 4)] for i, w in enumerate(own)) / len(own)
+            part = words[max(0, begin - 3) : max(0, begin + len(own) + 3)]
+            if share >= 0.8 and all(any(part[i : i + len(key)] == key for i in range(len(part))) for key in keys):
+                out[label] = max(out.get(label, 0.0), share)
+    return ",".join(f"{k}={v:.4f}" for k, v in sorted(out.items()))
+
+
+def test_many_licenses_in_one_file(spark):
+    notices = {(label, text) for label, text, _ in licenses.TEMPLATES}
+    four = [t for k, t in sorted(notices) if k in ("mit-text", "bsd", "mit-notice", "cc-by-nc-4.0", "cc-by-sa-4.0") or t == "Licensed under the Apache License, Version 2.0."]
+    every = [t for _, t in sorted(notices)]
+    holes = [" ".join(w for i, w in enumerate(t.split()) if i % 6 != 4) for t in every]
+    rows = list(enumerate(["\n".join(four), "\n".join(every), "\n".join(reversed(every)), "\n".join(holes), "a b c " + " x y z ".join(every) + " " + every[0][:40]] + every))
+    # files that make the words of the short notices common
+    rows += [(100 + k, "released under the mit license version 2 0 cc by nc sa 4") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in licenses.scan(docs).collect()}
+    assert got == {k: labels_by_force(t) for k, t in rows}
+    assert {x.split("=")[0] for x in got[1].split(",")} == {k for k, _ in notices}
