@@ -8,9 +8,10 @@ occurrences that stand beside c, and
 
     disclosure(c, t) = PMI(c; t) / IC(c) = 1 + log P(c|t) / -log P(c)
 
-is the part of c's information that t gives away.  A word whose disclosure reaches
-``GENERALISE`` in at least ``LEAST_CONTEXTS`` different contexts is a span of kind ``term``
-wherever it stands beside that entity; from ``REMOVE`` on it is removed, else generalised.
+is the part of c's information that t gives away.  A word whose disclosure of any entity
+reaches ``GENERALISE`` in at least ``LEAST_CONTEXTS`` different contexts, or one less (but two)
+where P(c|t) is 1, is a span of kind ``term`` wherever it stands, in every text;
+from ``REMOVE`` on it is removed, else generalised.
 
 Matching is linear in the text: patterns carry no nested repetition.  Where one is asked for
 (labels of a domain, groups of digits), single separators are first replaced by a mark of the
@@ -34,7 +35,8 @@ TERM = "term"
 WINDOW = 80
 #: Parts of an entity's information from which a word is generalised and removed.
 GENERALISE, REMOVE = 0.9, 0.995
-#: Different surroundings that a word and an entity must share; copies of one don't count.
+#: Different surroundings that a word and an entity must share, one less where P(c|t) is 1;
+#: copies of one don't count.
 LEAST_CONTEXTS = 3
 
 _MARK, _NOT_MARK = "\x01", "\x02"
@@ -139,7 +141,7 @@ def disclosures(scanned: DataFrame, counts: DataFrame, least_contexts: int = LEA
     """kind, entity, term, disclosure of the word-entity pairs in enough contexts."""
     seen = scanned.select(F.explode("beside").alias("b")).select("b.kind", "b.entity", "b.context", F.explode(F.array_distinct(F.transform("b.words", lambda w: w["term"]))).alias("term"))
     alike = seen.groupBy("kind", "entity", "term", "context").agg(F.count("*").alias("n"))  # copies collapse
-    joint = alike.groupBy("kind", "entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= least_contexts)
+    joint = alike.groupBy("kind", "entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= least_contexts - 1)
     own = scanned.select(F.explode("beside").alias("b")).groupBy("b.kind", "b.entity").agg(F.count("*").alias("occurrences"))
     # a word's occurrences inside entities say nothing of those outside
     inner = scanned.select(F.explode("beside").alias("b")).select(F.explode(F.split("b.entity", r"[^\p{L}\p{N}_]+")).alias("term")).groupBy("term").agg(F.count("*").alias("inner"))
@@ -147,7 +149,24 @@ def disclosures(scanned: DataFrame, counts: DataFrame, least_contexts: int = LEA
     words = counts.agg(F.sum("n")).first()[0] or 1  # one number
     given = F.log(F.least(F.lit(1.0), F.col("together") / F.greatest(F.lit(1), F.col("n") - F.coalesce("inner", F.lit(0)))))
     information = -F.log(F.least(F.col("occurrences") / F.lit(words), F.lit(0.5)))
-    return known.select("kind", "entity", "term", (1 + given / information).alias("disclosure"))
+    enough = (F.col("contexts") >= least_contexts) | ((F.col("contexts") > 1) & (given == 0))
+    return known.where(enough).select("kind", "entity", "term", (1 + given / information).alias("disclosure"))
+
+
+def _everywhere(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, start, end, disclosure: all occurrences of the strong terms in all
+    texts.  Texts and terms meet as words without their places; only in the texts that hold a
+    strong term its places are looked for."""
+    slim = inputs(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    word = F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+"))).alias("word")
+    words = slim.select("doc_id", "text_key", word).where(F.char_length("word") >= 2)  # lower case may be longer
+    held = words.withColumn("term", F.lower("word")).join(strong, "term").groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "disclosure"))).alias("held"))
+    held = held.select(F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key"), "held")
+    texts = slim.join(held, (F.col("text_key") == F.col("held_key")) & F.col("doc_id").eqNullSafe(F.col("held_id")))
+    # words are letters, digits and _ alone, so they stand for themselves in a pattern
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(F.map_keys("held"), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    found = texts.select("doc_id", "text_key", "held", F.explode(matches(F.col("text"), pattern)).alias("m"))
+    return found.select("doc_id", "text_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.try_element_at("held", F.col("m.hit")).alias("disclosure"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
@@ -155,10 +174,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gener
     scanned = materialise(scan(docs, id_col, text_col), "pii")
     counts = materialise(term_counts(docs, text_col), "terms")
     strong = disclosures(scanned, counts, least_contexts).where(F.col("disclosure") >= generalise)
-    words = scanned.select("doc_id", "text_key", F.explode("beside").alias("b")).select("doc_id", "text_key", "b.kind", "b.entity", F.explode("b.words").alias("w"))
-    told = words.select("doc_id", "text_key", "kind", "entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.term").alias("term")).join(strong, ["kind", "entity", "term"])
-    told = told.groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = told.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    strong = materialise(strong.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "strong")
+    told = _everywhere(docs, strong, id_col, text_col)
+    terms = told.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("told_id"), F.col("text_key").alias("told_key"), "terms")
     joined = scanned.select("doc_id", "text_key", "base").join(terms, (F.col("text_key") == F.col("told_key")) & F.col("doc_id").eqNullSafe(F.col("told_id")), "left")
     # a word inside a base span is no span of its own

@@ -78,6 +78,26 @@ def test_words_that_give_an_entity_away(spark):
     assert all(clean[100 + k] == dict(rows)[100 + k] for k in range(60))
 
 
+def test_strong_terms_go_wherever_they_stand(spark):
+    far = "Zebrafish alone\n" + story(6) + "\n" + "filler " * 30 + "QUILLON\n😀zebrafish zebrafishes"
+    rows = [(k, story(k)) for k in range(6)] + [(6, far), (7, "a note on quillon, nothing else"), (None, "zebrafish"), (None, "quillon"), (8, "of zebrafishes and aquillon")]
+    rows += [(100 + k, f"please ask the others for more of line {k} at home") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r["text"].lower() for r in pii.sanitise(docs).collect()]
+    words = [w for t in texts for w in re.findall(r"\w+", t)]
+    assert len(texts) == len(rows) and not {"quillon", "zebrafish"} & set(words)
+    assert words.count("zebrafishes") == 2 and words.count("aquillon") == 1
+    got = {r["doc_id"]: r["spans"] for r in pii.found_spans(docs.where("doc_id is not null")).collect()}
+    assert got[7] == "term:10:17" and got[8] == ""
+
+
+def test_two_contexts_are_enough_for_certainty(spark):
+    common = [(10 + k, f"others of line {k} ask again") for k in range(40)]
+    docs = spark.createDataFrame([(1, "zora of a@b.cd ask"), (2, "so a@b.cd again is zora"), (3, "one zeta with e@f.gh"), *common], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.found_spans(docs).collect()}
+    assert got[1] == "email:8:14,term:0:4" and got[2].endswith(",term:19:23") and "term" not in got[3]
+
+
 def test_copies_alone_are_no_evidence(spark):
     docs = spark.createDataFrame([(k, story(1)) for k in range(20)], "doc_id long, text string")
     assert all(r["n_term"] == 0 for r in pii.found_spans(docs).collect())
