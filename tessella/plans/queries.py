@@ -122,7 +122,8 @@ def palette_upsert(spark, sf_dir):
 
 @query
 def foreground_bounds(spark, sf_dir):
-    return geometry.foreground_bounds(pixels(spark, sf_dir).where("x between 7 and 31 and y > 4"))
+    p = pixels(spark, sf_dir)
+    return geometry.foreground_bounds(p.withColumn("a", F.when(F.col("x").between(7, 31) & (F.col("y") > 4), F.col("a")).otherwise(0)))
 
 
 @query
@@ -312,12 +313,12 @@ def flood_fill_background(spark, sf_dir):
 
 @query
 def kmeans_palette(spark, sf_dir):
-    return clustering.cluster_palettes(cells(spark, sf_dir), palette(spark, sf_dir), 8, 10)
+    return clustering.cluster_palettes(cells(spark, sf_dir), palette(spark, sf_dir), 8)
 
 
 @query
 def cluster_quantize(spark, sf_dir):
-    return clustering.cluster_quantise(cells(spark, sf_dir), palette(spark, sf_dir), 8, 6, snap=True, confetti_ratio=0.02).select("image_id", "cx", "cy", "brand", "code")
+    return clustering.cluster_quantise(cells(spark, sf_dir), palette(spark, sf_dir), 8, snap=True, confetti_ratio=0.02).select("image_id", "cx", "cy", "brand", "code")
 
 
 @query

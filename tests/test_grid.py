@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import assembly, cleanup, geometry, photo, pooling, quantise, render, replacement
-from tessella.plans import pattern
+from tessella.operators import assembly, cleanup, clustering, geometry, photo, pooling, quantise, render, replacement
+from tessella.plans import pattern, queries
 from tessella.plans.config import Config, config_for
 from tessella.sources import palettes
 
@@ -194,3 +194,26 @@ def test_driver_contract(spark, sf_dir):
 
     assert {"bead_counts", "dither", "photo_to_pattern"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+class Seen(Exception):
+    pass
+
+
+def test_queries_take_all_iterations_and_pixels(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def kmeans(cells, k, max_iterations=30):
+        asked.append(max_iterations)
+        raise Seen
+
+    def bounds(pixels):
+        asked.append(pixels.count())
+        raise Seen
+
+    monkeypatch.setattr(clustering, "kmeans", kmeans)
+    monkeypatch.setattr(geometry, "foreground_bounds", bounds)
+    for run in (queries.kmeans_palette, queries.cluster_quantize, queries.foreground_bounds):
+        with pytest.raises(Seen):
+            run(spark, sf_dir)
+    assert asked == [30, 30, spark.read.parquet(f"{sf_dir}/events.parquet").count()]
