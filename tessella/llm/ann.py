@@ -3,9 +3,12 @@
 Vectors are turned into unit vectors, and each of ``tables`` fast pseudo-rotations (random
 signs and a Hadamard transform, three times) assigns them to the nearest of the signed axes:
 its bucket.  To rank by inner product among vectors of any length, candidates get one further
-component that makes all of them equally long, as their longest is; queries get 0 there.
-Every vector is in one bucket of each table; a query probes the ``probes`` buckets whose axes
-lie nearest to it, and all candidates found there are ranked by their exact inner products.
+component that makes all of them equally long; queries get 0 there.  So that a few long
+vectors don't drown the others' directions, candidates are indexed apart by ranges of norm (a
+factor of the root of 2 wide), each as long as the longest of its range.  Every vector is in
+one bucket of each table; a query probes the ``probes`` buckets of every range whose axes lie
+nearest to it, and all candidates found there are ranked by their exact inner products.
+Queries that find fewer than k so are compared with all candidates.
 
 Buckets and the queries that probe them meet in blocks of bounded size, so that a bucket with
 any share of the vectors is worked on by many tasks; a block hands on the nearest of each of
@@ -14,7 +17,7 @@ its queries only, and a last merge takes the nearest of those.
 Defined results: vectors that are null, zero, of another length than most (the longest length
 held by the greatest number of rows), or hold null or non-finite components take no part; an
 id held by several rows stands for each of them, the query's own id being left out; ties go to
-the smaller id; fewer candidates than k: all that were found; an empty table gives no rows.
+the smaller id; fewer candidates than k: all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,8 +88,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _hashed(rows: DataFrame, size: int, longest: float, tables: int, probes: int) -> DataFrame:
-    """vec_id, vector, tab, bucket: with probes = 0 the index, else the queries' probes."""
+def _hashed(rows: DataFrame, size: int, tables: int, probes: int) -> DataFrame:
+    """vec_id, vector, tab, bucket, band: with probes = 0 the index, else the queries' probes."""
     padded = padded_size(size + 1)
 
     def run(batches):
@@ -95,21 +98,21 @@ def _hashed(rows: DataFrame, size: int, longest: float, tables: int, probes: int
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1))
-            norm = batch.column(2).to_numpy()
+            norm, longest = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             unit = np.zeros((len(x), padded))
             if probes:
                 unit[:, :size] = x / norm[:, None]
             else:
-                unit[:, :size] = x / longest
+                unit[:, :size] = x / longest[:, None]
                 unit[:, size] = np.sqrt(np.maximum(0.0, 1.0 - (norm / longest) ** 2))
             buckets = np.stack([axes(r, probes or 1) for r in rotations(unit, flips)], axis=1)  # rows x tables x probes
             n, _, p = buckets.shape
             at = pa.array(np.repeat(np.arange(n), tables * p))
             table = np.tile(np.repeat(np.arange(tables), p), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(table.astype(np.int32)), pa.array(buckets.reshape(-1).astype(np.int32))], ["vec_id", "vector", "tab", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(table.astype(np.int32)), pa.array(buckets.reshape(-1).astype(np.int32)), batch.column(4).take(at)], ["vec_id", "vector", "tab", "bucket", "band"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.select("vec_id", "vector", "norm").mapInArrow(run, f"vec_id long, vector {kind}, tab int, bucket int")
+    return rows.select("vec_id", "vector", "norm", "longest", "band").mapInArrow(run, f"vec_id long, vector {kind}, tab int, bucket int, band int")
 
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -148,17 +151,20 @@ def search(vectors: DataFrame, is_query: Column | str, id_col: str = "vec_id", v
     if common is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     size, longest = common["size"], common["longest"]
-    rows = rows.where(F.size("vector") == size)
-    index = materialise(_hashed(rows, size, longest, tables, 0), "index")
-    probed = materialise(_hashed(rows.where(is_query), size, longest, tables, min(probes, 2 * padded_size(size + 1))), "probes")
-    # blocks of a bucket: at most 2 x size x tables buckets, so both counts are small tables
-    parts = index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    band = F.floor(2 * F.log2(F.lit(longest) / F.col("norm"))).cast("int") if np.isfinite(longest) else F.lit(0)
+    rows = rows.where(F.size("vector") == size).withColumn("band", band)
+    bands = materialise(rows.groupBy("band").agg(F.max("norm").alias("longest")), "bands")  # some thousand at most
+    rows = rows.join(F.broadcast(bands), "band")
+    index = materialise(_hashed(rows, size, tables, 0), "index")
+    probed = materialise(_hashed(rows.where(is_query), size, tables, min(probes, 2 * padded_size(size + 1))).drop("band"), "probes")
+    # blocks of a bucket: at most 2 x size x tables buckets a range, so both counts are small tables
+    parts = index.groupBy("band", "tab", "bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
     query_parts = probed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("query_parts"))
     blocks = materialise(parts.join(query_parts, ["tab", "bucket"]), "buckets")
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     query_part = F.pmod(F.xxhash64("vec_id"), F.col("query_parts")).cast("int")
-    names = ["vec_id", "vector", "tab", "bucket"]
-    held = index.join(F.broadcast(blocks), ["tab", "bucket"]).select(*names, part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"), F.lit(False).alias("asks"))
+    names = ["vec_id", "vector", "band", "tab", "bucket"]
+    held = index.join(F.broadcast(blocks), ["band", "tab", "bucket"]).select(*names, part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"), F.lit(False).alias("asks"))
     asked = probed.join(F.broadcast(blocks), ["tab", "bucket"]).select(*names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), query_part.alias("query_part"), F.lit(True).alias("asks"))
 
     def meet(t: pa.Table) -> pa.Table:
@@ -176,11 +182,24 @@ def search(vectors: DataFrame, is_query: Column | str, id_col: str = "vec_id", v
             out = (empty, empty, empty.astype(float))
         return pa.table([pa.array(out[0]), pa.array(out[1]), pa.array(out[2])], ["query_id", "vec_id", "score"])
 
-    found = held.unionByName(asked).groupBy("tab", "bucket", "part", "query_part").applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = "query_id long, vec_id long, score double"
+    found = held.unionByName(asked).groupBy("band", "tab", "bucket", "part", "query_part").applyInArrow(meet, met)
     # a candidate comes from several tables with the same score; each query has k x tables x
     # probes rows here at most
     best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id")))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("near")).select("query_id", F.posexplode("near").alias("at", "x"))
+    near = materialise(found.groupBy("query_id").agg(best.alias("near")), "near")
+    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id")).distinct()
+    short = materialise(asking.join(near.where(F.size("near") >= k), "query_id", "left_anti"), "short")
+    if n := short.count():
+        # every candidate against every such query, in blocks
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-common["n"] // block))).cast("int").alias("part")
+        query_part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // query_block))).cast("int").alias("query_part")
+        all_ = rows.select("vec_id", "vector", part, F.explode(F.sequence(F.lit(0), F.lit(-(-n // query_block) - 1))).alias("query_part"), F.lit(False).alias("asks"))
+        poor = rows.join(short, F.col("vec_id") == F.col("query_id"), "left_semi")
+        poor = poor.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(-(-common["n"] // block) - 1))).alias("part"), query_part, F.lit(True).alias("asks"))
+        exact = all_.unionByName(poor).groupBy("part", "query_part").applyInArrow(meet, met)
+        near = near.join(short, "query_id", "left_anti").unionByName(exact.groupBy("query_id").agg(best.alias("near")))
+    ranked = near.select("query_id", F.posexplode("near").alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
 
 

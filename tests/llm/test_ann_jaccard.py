@@ -53,6 +53,17 @@ def test_inner_products_of_unequal_lengths(spark):
     assert ann.recall(df, ann.search(df, IS_QUERY), IS_QUERY) >= 0.9
 
 
+def test_one_long_vector_hides_no_neighbours(spark):
+    x = np.random.default_rng(5).normal(size=(3_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1_000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(df, IS_QUERY, probes=20).cache()
+    assert found.count() == 150 * 20 and ann.recall(df, found, IS_QUERY) >= 0.9
+    few = df.where("vec_id < 21")
+    assert ann.search(few, IS_QUERY, probes=1).count() == 2 * 20
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(few, IS_QUERY, probes=99).orderBy("rank").collect()] == [(1, 2, 1.0), (2, 1, 0.0)]
