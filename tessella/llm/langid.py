@@ -237,12 +237,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of ``least_score`` or
-    more (and among ``languages``, if given)."""
+    more, by default likelier than chance (and among ``languages``, if given)."""
     pred, score = "__tessella_pred", "__tessella_score"
-    scored = predict(docs, fit(docs, id_col, text_col, lang_col), text_col, pred, score)
-    wanted = (F.col(pred) != UNDETERMINED) & (F.col(score) >= least_score)
+    model = fit(docs, id_col, text_col, lang_col)
+    scored = predict(docs, model, text_col, pred, score)
+    # of one language alone all texts are; a score can't exceed chance there
+    chance = 1 / len(model.languages) if model is not None and len(model.languages) > 1 else 0.0
+    likely = F.col(score) > chance if least_score is None else F.col(score) >= least_score
+    wanted = (F.col(pred) != UNDETERMINED) & likely
     if languages is not None:
         wanted = wanted & F.col(pred).isin(languages)
     return scored.where(wanted).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -30,6 +30,16 @@ def test_odd_rows_and_labels(spark):
     assert kept.columns == df.columns and kept.where("doc_id in (1000, 1001, 1002)").count() == 0 and kept.count() == len(rows) - 3
 
 
+def test_likelier_than_chance_is_kept(spark, monkeypatch):
+    # ten languages: chance is 0.1
+    model = langid.Model([f"l{k}" for k in range(10)], None, None, 1.0)
+    scored = lambda docs, model, text_col, pred, score: docs.withColumns({pred: F.lit("l1"), score: F.col("given")})
+    monkeypatch.setattr(langid, "fit", lambda *args: model)
+    monkeypatch.setattr(langid, "predict", scored)
+    df = spark.createDataFrame([(1, "a", "l1", 0.29), (2, "b", "l1", 0.11), (3, "c", "l1", 0.1), (4, "d", "l1", 0.9)], "doc_id long, text string, lang string, given double")
+    assert sorted(r["doc_id"] for r in langid.keep_identified(df).collect()) == [1, 2, 4]
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(df).collect()] == [("und", 0.0)]
