@@ -7,8 +7,9 @@ the next round, where fewer and fewer groups each pack the bins of several forme
 again, until one bounded group is left or a round no longer saves bins.
 
 Defined results: a null text counts as empty and still gives one piece (the end token);
-longer documents are cut every ``max_tokens`` tokens; repeated rows are packed as often as
-they occur; an empty table gives no rows; a null id stays null.
+longer documents are cut every ``max_tokens`` tokens; special tokens that a text spells out are
+those tokens, as the tokenizer has it; repeated rows are packed as often as they occur; an empty
+table gives no rows; a null id stays null.  Texts without spaces are one chunk, held once.
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ SLACK = 2
 GROUP_ITEMS = 20_000
 #: Former groups whose bins meet in one group of the next round.
 FAN_IN = 8
-#: A round that saves less than this part of the bins is the last.
-LEAST_SAVED = 0.002
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "bin_id long, used long, doc_id array<long>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>"
@@ -61,20 +60,20 @@ def encoder(vocabulary: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
         closes = np.zeros(tokenizer.get_vocab_size(), bool)
         closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
         def ids(text: str) -> np.ndarray:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-        splitter = Tokenizer.from_file(vocabulary)  # this one knows special tokens: one stands between chunks
-        special = [x.content for x in splitter.get_added_tokens_decoder().values() if x.special]
-        between = splitter.token_to_id(special[0]) if special else -1
+        # a special token stands between chunks; chunks that may hold one themselves go alone
+        special = [x.content for x in tokenizer.get_added_tokens_decoder().values() if x.special]
+        between = tokenizer.token_to_id(special[0]) if special else -1
+        heads = {x.lower()[:2] for x in special}
 
         def apart(chunks: list[str]) -> Iterator[bytes]:
             for at in range(0, len(chunks), 2_000):
-                own = np.array(splitter.encode(special[0].join(chunks[at : at + 2_000]), add_special_tokens=False).ids, "<u4")
+                own = np.array(tokenizer.encode(special[0].join(chunks[at : at + 2_000]), add_special_tokens=False).ids, "<u4")
                 ends = (4 * np.flatnonzero(own == between)).tolist()
                 raw = own.tobytes()
                 yield from (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True))
@@ -95,7 +94,7 @@ def encoder(vocabulary: str) -> ChunkCache:
                 if plain(word):
                     words[word] = b""
                     made.append((k, word, tail))
-                elif special and not any(x in chunk for x in special):
+                elif special and not any(x in word for x in heads):
                     others.append(k)
                 else:
                     out[k] = ids(chunk).tobytes()
@@ -261,7 +260,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, slack: int = SLACK, gr
         done.append(again.where(full))
         rest = again.where(~full)
         total, now, smallest = again.agg(F.count("*"), F.count_if(~full), F.min(F.when(~full, F.col("used")))).first()
-        if groups == 1 or total > left * (1 - LEAST_SAVED):
+        if groups == 1 or total >= left:
             done.append(rest)
             break
         left = now

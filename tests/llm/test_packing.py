@@ -11,13 +11,14 @@ from tessella.llm import packing
 from tessella.llm.chunks import ChunkCache
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", None, "a", "l'été don't <|endoftext|> ÀÉ İstanbul ΟΔΟΣ x... 中文 é", "  two  spaces\tand\n\nlines ", "word " * 5000, "x" * 9000, "Hello, World. Hello.", "same text", "same text"]
+ODD = ["", None, "a", "<|endoftext|> a", "b<|ENDOFTEXT|>c <|startoftext|>", "l'été don't <|endoftext|> ÀÉ İstanbul ΟΔΟΣ x... 中文 é", "  two  spaces\tand\n\nlines ", "word " * 5000, "x" * 9000, "Hello, World. Hello.", "same text", "same text"]
+
+
+TOKENIZER = Tokenizer.from_file(VOCABULARY)
 
 
 def ids_of(text):
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, texts, capacity):
@@ -73,6 +74,13 @@ def test_repeated_rows_null_ids_and_an_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], schema), VOCABULARY).collect() == []
 
 
+def test_whole_table_against_the_tokenizer(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack_documents(docs, VOCABULARY).collect()
+    check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 2048)
+    assert ids_of("<|endoftext|> a") == [49407, 320, 0]
+
+
 def test_whole_table_is_as_dense_as_can_be(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     row = packing.pack_documents(docs, VOCABULARY).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("n")).first()
@@ -92,6 +100,13 @@ def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit(np.array([], int), 10) == []
 
 
+def test_the_cache_is_bounded_in_bytes():
+    cache = ChunkCache(lambda chunks: [c.encode() * 50 for c in chunks], 20_000)
+    for k in range(300):
+        assert cache.values([[f"w{k}", f"long{k}" * 100]])[0][1] == f"long{k}".encode() * 5_000
+    assert sum(map(len, cache.young.values())) + sum(map(len, cache.old.values())) <= 40_000 and len(cache.young) + len(cache.old) < 200
+
+
 @pytest.mark.parametrize("limit", [1, 5, 1000])
 def test_the_cache_never_changes_results(limit):
     cache = ChunkCache(lambda chunks: [c.upper() for c in chunks], limit)
