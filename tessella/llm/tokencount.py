@@ -11,7 +11,8 @@ an unknown node of the worst score less ``UNKNOWN_PENALTY``, which counts its UT
 No piece spans a word border (a space mark behind another character), so words are counted
 apart and each distinct word once by a worker.
 
-Defined results: a null or empty text has 0 tokens; ids repeat and are null as in the table.
+Defined results: a null or empty text has 0 tokens; ids repeat and are null as in the table; an
+empty table gives no rows.  A text without spaces is one word, whose matches are all held.
 """
 
 from __future__ import annotations

@@ -83,13 +83,31 @@ def test_higher_order_functions_fold_alike(spark):
         assert r["ids"] == (table_.fold(bytes(r["w"])) if r["w"] else [])
 
 
+def fold_by_force(ranks, word):
+    """Merge the lowest union, the leftmost of equals, until none has a rank."""
+    parts = [word[k : k + 1] for k in range(len(word))]
+    while unions := [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+        _, k = min(unions)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [ranks[p] for p in parts]
+
+
 def test_long_words_fold_alike():
-    table_ = bytebpe.Ranks(bytebpe.read_ranks(RANKS))
-    for word in (b"thinor" * 40, b"a" * 500, bytes(range(256)) * 2):
-        short = bytebpe.Ranks.fold
-        parts = [word[k : k + 1] for k in range(len(word))]
-        ids = table_._fold_long(list(parts))
-        assert b"".join(table_.pieces[i] for i in ids) == word
-        if len(parts) <= 300:
-            unions = short(table_, word)
-            assert unions == ids
+    ranks = bytebpe.read_ranks(RANKS)
+    table_ = bytebpe.Ranks(ranks)
+    for word in (b"thinor" * 40, b"a" * 500, bytes(range(256)) * 2, b"thinor" * 20, "ünïcödé".encode() * 30):
+        assert table_.fold(word) == fold_by_force(ranks, word)
+
+
+def test_runs_of_white_space_are_cut_as_the_pattern_cuts_them():
+    words = bytebpe.regex.compile(public_tokenizers.PATTERN).findall
+    local = random.Random(2)
+    texts = ["a\n \nb", "x \u0085 y", "a  b c   \n  d", *("".join(local.choice(" \u3000  \n\t\r\u0085a1!'sé") for _ in range(local.randrange(16))) for _ in range(20_000))]
+    for text in texts:
+        assert [w for c in bytebpe.chunks_of(text) for w in words(c)] == words(text), repr(text)
+    assert len(bytebpe.chunks_of("one  two " * 50)) == 101
+
+
+def test_bpe_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_tokens int")
+    assert bytebpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).collect() == []
