@@ -11,49 +11,68 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from itertools import chain
 
-#: Distinct chunks in each of the two generations that a worker keeps; about 200 bytes each.
-CACHE_CHUNKS = 400_000
+#: Bytes of each of the two generations of chunks that a worker keeps, and what a chunk
+#: takes besides its characters and its value.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 200
+#: Longer chunks (texts without spaces) seldom repeat: they are encoded anew each time.
+LONGEST_KEPT = 64
 #: The most frequent chunks of the first batch are also kept in a table small enough for a
 #: CPU's cache.
 HOT_CHUNKS = 16_000
 
 
+def _size(value: object) -> int:
+    return len(value) if isinstance(value, bytes) else 0
+
+
 class ChunkCache:
-    def __init__(self, encode: Callable[[list[str]], Iterable[object]], limit: int = CACHE_CHUNKS):
+    def __init__(self, encode: Callable[[list[str]], Iterable[object]], limit: int = CACHE_BYTES):
         self.encode, self.limit = encode, limit
         self.hot: dict[str, object] = {}
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.young_bytes = 0
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, chunks: Iterable[str]) -> dict[str, object]:
+        """The values of new chunks; those worth it are kept."""
         names = list(chunks)
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        self.young.update(zip(names, self.encode(names), strict=True))
+        new = dict(zip(names, self.encode(names), strict=True))
+        for name, value in new.items():
+            if len(name) <= LONGEST_KEPT:
+                self._keep(name, value)
+        return new
+
+    def _keep(self, name: str, value: object) -> None:
+        size = ENTRY_BYTES + 4 * len(name) + _size(value)
+        if self.young_bytes + size > self.limit:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+        self.young[name] = value
+        self.young_bytes += size
 
     def values(self, chunked: list[list[str]]) -> list[list]:
         """For each list of chunks the list of their values (never None)."""
         if not self.hot:
-            often = [c for c, _ in Counter(chain.from_iterable(chunked)).most_common(HOT_CHUNKS)]
+            counts = Counter(c for c in chain.from_iterable(chunked) if len(c) <= LONGEST_KEPT)
+            often = [c for c, _ in counts.most_common(HOT_CHUNKS)]
             self.hot.update(zip(often, self.encode(often), strict=True))
-        hot, young, old = self.hot.get, self.young.get, self.old.get
+        hot = self.hot.get
         out, gaps, new = [], [], set()
         for chunks in chunked:
             own = list(map(hot, chunks))
             for at in [k for k, value in enumerate(own) if value is None]:
                 chunk = chunks[at]
-                value = young(chunk)
+                value = self.young.get(chunk)
                 if value is None:
-                    value = old(chunk)
+                    value = self.old.get(chunk)
                     if value is None:
                         new.add(chunk)
                         gaps.append((own, at, chunk))
                         continue
-                    self.young[chunk] = value
+                    self._keep(chunk, value)
                 own[at] = value
             out.append(own)
         if new:
-            self._learn(new)
+            learnt = self._learn(new)
             for own, at, chunk in gaps:
-                own[at] = self.young[chunk]
+                own[at] = learnt[chunk]
         return out
