@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tessella.shipping import ship
 
-#: Rows of an Arrow batch sent to Python: bounds a task's memory when texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch sent to Python: bound a task's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: A join key is hot if more than one row in so many has it, so fewer than so many keys are.
+HOT_SHARE, LEAST_HOT = 500, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hand texts to Python in small batches, so that memory follows the longest texts only,
-    and let the workers import this package."""
+    """Hand texts to Python in small batches, so that memory follows the longest text only,
+    and let the workers import this package.
+
+    Both bounds are settings of the session, read when a plan runs, so they stay set."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set."""
+    Where that setting is absent, a temporary folder is made for a local master (tests, a
+    laptop); on a cluster, whose executors could not see it, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -47,7 +55,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tessella_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that no plan reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.tessella_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with ``right`` (one row a key), where a key may hold any share of
+    ``left``, a table that was written.  Keys of more than one row in ``HOT_SHARE`` are fewer
+    than that many, so their rows of ``right`` are broadcast; the others are shuffled."""
+    most = max(LEAST_HOT, left.count() // HOT_SHARE)
+    hot = materialise(left.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*on), "hot")
+    few = F.broadcast(hot)
+    warm = left.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how)
+    return left.join(few, on, "left_anti").join(right, on, how).unionByName(warm)
 
 
 def inputs(docs: DataFrame, **columns: str) -> DataFrame:
