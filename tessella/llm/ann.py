@@ -1,39 +1,55 @@
 """Operator 8: approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are turned into unit vectors, and each of ``tables`` fast pseudo-rotations (random
-signs and a Hadamard transform, three times) assigns them to the nearest of the signed axes:
-its bucket.  To rank by inner product among vectors of any length, candidates get one further
-component that makes all of them equally long; queries get 0 there.  So that a few long
-vectors don't drown the others' directions, candidates are indexed apart by ranges of norm (a
-factor of the root of 2 wide), each as long as the longest of its range.  Every vector is in
-one bucket of each table; a query probes the ``probes`` buckets of every range whose axes lie
-nearest to it, and all candidates found there are ranked by their exact inner products.
-Queries that find fewer than k so are compared with all candidates.
-
-Buckets and the queries that probe them meet in blocks of bounded size, so that a bucket with
-any share of the vectors is worked on by many tasks; a block hands on the nearest of each of
-its queries only, and a last merge takes the nearest of those.
+Vectors are turned into unit vectors, and each of ``tables`` hashes sends them through fast
+pseudo-rotations (random signs and a Hadamard transform, three times) to the nearest of the
+signed axes.  A bucket is one axis or, as rows grow, a concatenation of the axes of several
+rotations, the last one among part of its axes only: so many buckets that one holds about
+``BUCKET_ROWS`` rows at any size.  Every vector is in one bucket of each table; a query probes
+the buckets whose axes lie nearest to it, a share of them that falls as rows grow
+(``probes_for``), and all candidates found there are ranked by their exact inner products.
+Queries that find fewer than they may are compared with all candidates.
+
+To rank by inner product among vectors of any length, candidates get one further component
+that makes all of them equally long; queries get 0 there.  So that a few long vectors don't
+drown the others' directions, candidates are indexed apart by ranges of norm (a factor of the
+root of 2 wide), each as long as the longest of its range; queries probe every range.
+
+Equal vectors collapse first: of each vector the k + 1 smallest ids are candidates, which is
+all that any query can need, and a query vector is searched once for all of its ids.  Buckets
+and the queries that probe them meet in blocks of bounded size, so that a bucket with any
+share of the vectors is worked on by many tasks; a block hands on the nearest of each of its
+queries only, and a last merge takes the nearest of those.
 
 Defined results: vectors that are null, zero, of another length than most (the longest length
 held by the greatest number of rows), or hold null or non-finite components take no part; an
-id held by several rows stands for each of them, the query's own id being left out; ties go to
-the smaller id; fewer candidates than k: all of them; an empty table gives no rows.
+id held by several rows counts once, as query and as candidate, by the best product of any of
+its rows, and a query's own id is left out; ties go to the smaller id; fewer candidates than
+k: all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, inputs, materialise
+from tessella.llm.common import bounded_batches, inputs, join_hot, materialise
 
 K = 20
-TABLES, PROBES = 6, 40
-#: Vectors and queries in a block, about.
-BLOCK, QUERY_BLOCK = 4_096, 2_048
+TABLES = 16
+#: Rows that a bucket holds about; buckets probed of 2 000 rows, and the power of the rows by
+#: which that share falls.  Fitted on vectors without structure, the hardest case.
+BUCKET_ROWS, PROBED, FALL = 256, 0.05, 0.35
+#: Axes of a rotation that a query combines with those of the others.
+NEAR_AXES = 48
+#: Vectors and queries in a block, about; at most so many buckets are cut into several.
+BLOCK, QUERY_BLOCK, CUT_BUCKETS = 4_096, 2_048, 100_000
 SEED = 8_128
+#: Columns that name a vector: 128 bits of hash.
+KEY = ("h1", "h2")
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,40 +63,78 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def signs(tables: int, size: int) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1.0, 1.0]), (tables, 3, size))
-
-
-def rotations(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
-    """tables x rows x size: every row under every pseudo-rotation."""
-    out = []
-    for own in flips:
-        y = x
-        for flip in own:
-            y = hadamard(y * flip)
-        out.append(y)
-    return np.stack(out)
-
-
-def axes(rotated: np.ndarray, probes: int) -> np.ndarray:
-    """For each row its ``probes`` nearest signed axes, nearest first: axis or size + axis."""
-    both = np.concatenate((rotated, -rotated), axis=1)
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def rotate(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """Every row under one pseudo-rotation (three rows of signs)."""
+    for flip in flips:
+        x = hadamard(x * flip)
+    return x
 
 
 def padded_size(n: int) -> int:
     return 1 << max(1, (n - 1).bit_length())
 
 
+def probes_for(rows: int, buckets: int) -> int:
+    """Buckets of a table that a query probes among ``rows`` candidates."""
+    return min(buckets, max(1, math.ceil(buckets * PROBED * (2_000 / max(1, rows)) ** FALL)))
+
+
+class Hash:
+    """Bucket numbers in every table, alike on every worker."""
+
+    def __init__(self, size: int, rows: int, tables: int):
+        self.padded, self.tables = padded_size(size + 1), tables
+        whole = (2 * self.padded).bit_length() - 1  # bits of one rotation's signed axes
+        bits = max(whole, round(math.log2(max(1, rows) / BUCKET_ROWS)))
+        self.axes = [2 * self.padded] * (bits // whole) + ([1 << bits % whole] if bits % whole else [])
+        self.buckets = 1 << bits
+        self.flips = np.random.default_rng(SEED).choice(np.array([-1.0, 1.0]), (tables, len(self.axes), 3, self.padded))
+
+    def _sides(self, unit: np.ndarray, table: int) -> list[np.ndarray]:
+        """For each rotation how near every row lies to its signed axes."""
+        out = []
+        for n, flips in zip(self.axes, self.flips[table], strict=True):
+            own = rotate(unit, flips)[:, : n // 2]
+            out.append(np.concatenate((own, -own), axis=1))
+        return out
+
+    def buckets_of(self, unit: np.ndarray) -> np.ndarray:
+        """rows x tables."""
+        out = np.zeros((len(unit), self.tables), np.int64)
+        for t in range(self.tables):
+            for n, side in zip(self.axes, self._sides(unit, t), strict=True):
+                out[:, t] = out[:, t] * n + side.argmax(axis=1)
+        return out
+
+    def probes(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        """rows x tables x probes: the buckets of the greatest sums over the rotations."""
+        out = np.empty((len(unit), self.tables, probes), np.int64)
+        for t in range(self.tables):
+            code, total = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+            for n, side in zip(self.axes, self._sides(unit, t), strict=True):
+                keep = n if probes >= self.buckets else min(n, max(NEAR_AXES, probes))
+                axis = np.argsort(-side, axis=1, kind="stable")[:, :keep]
+                near = np.take_along_axis(side, axis, axis=1)
+                code = (code[:, :, None] * n + axis[:, None, :]).reshape(len(unit), -1)
+                total = (total[:, :, None] + near[:, None, :]).reshape(len(unit), -1)
+                best = np.argsort(-total, axis=1, kind="stable")[:, :probes]
+                code, total = np.take_along_axis(code, best, axis=1), np.take_along_axis(total, best, axis=1)
+            out[:, t] = code
+        return out
+
+
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, vector and norm of the rows that take part.  Floats stay floats on their way
-    through shuffles; all arithmetic is in double precision."""
+    """vec_id, vector, log_norm (to base 2) and KEY of the rows that take part.  Floats stay
+    floats on their way through shuffles; all arithmetic is in double precision, lengths apart
+    from their largest component, so that no square over- or underflows."""
     kind = vectors.schema["vector"].dataType.elementType.simpleString()
     values = F.col("vector") if kind == "float" else F.transform("vector", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", values.alias("vector")).where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull())
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.where(finite).withColumn("norm", norm).where(F.col("norm") > 0)
+    rows = rows.where(finite).withColumn("top", F.array_max(F.transform("vector", lambda x: F.abs(x).cast("double")))).where(F.col("top") > 0)
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x.cast("double") / F.col("top")) * (x.cast("double") / F.col("top")))
+    hashes = (F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(SEED), "vector").alias("h2"))
+    return rows.select("vec_id", "vector", (F.log2("top") + F.log2(squares) / 2).alias("log_norm"), *hashes)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -88,124 +142,176 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _hashed(rows: DataFrame, size: int, tables: int, probes: int) -> DataFrame:
-    """vec_id, vector, tab, bucket, band: with probes = 0 the index, else the queries' probes."""
-    padded = padded_size(size + 1)
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _indexed(rows: DataFrame, size: int, hashed: Hash) -> DataFrame:
+    """vec_id, vector, band, tab, bucket: every candidate's place in each table."""
 
     def run(batches):
-        flips = signs(tables, padded)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            norm, longest = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            unit = np.zeros((len(x), padded))
-            if probes:
-                unit[:, :size] = x / norm[:, None]
-            else:
-                unit[:, :size] = x / longest[:, None]
-                unit[:, size] = np.sqrt(np.maximum(0.0, 1.0 - (norm / longest) ** 2))
-            buckets = np.stack([axes(r, probes or 1) for r in rotations(unit, flips)], axis=1)  # rows x tables x probes
-            n, _, p = buckets.shape
-            at = pa.array(np.repeat(np.arange(n), tables * p))
-            table = np.tile(np.repeat(np.arange(tables), p), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(table.astype(np.int32)), pa.array(buckets.reshape(-1).astype(np.int32)), batch.column(4).take(at)], ["vec_id", "vector", "tab", "bucket", "band"])
+            if batch.num_rows:
+                ratio = np.minimum(1.0, np.exp2(batch.column(2).to_numpy() - batch.column(3).to_numpy()))
+                unit = np.zeros((batch.num_rows, hashed.padded))
+                unit[:, :size] = _units(_matrix(batch.column(1))) * ratio[:, None]
+                unit[:, size] = np.sqrt(1.0 - ratio**2)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), hashed.tables))
+                table = np.tile(np.arange(hashed.tables, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(4).take(at), pa.array(table), pa.array(hashed.buckets_of(unit).reshape(-1))], ["vec_id", "vector", "band", "tab", "bucket"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.select("vec_id", "vector", "norm", "longest", "band").mapInArrow(run, f"vec_id long, vector {kind}, tab int, bucket int, band int")
+    return rows.select("vec_id", "vector", "log_norm", "longest", "band").mapInArrow(run, f"vec_id long, vector {kind}, band int, tab int, bucket long")
+
+
+def _probed(rows: DataFrame, size: int, hashed: Hash, probes: int) -> DataFrame:
+    """h1, h2, vector, tab, bucket: the buckets that every query vector probes."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                unit = np.zeros((batch.num_rows, hashed.padded))
+                unit[:, :size] = _units(_matrix(batch.column(2)))
+                found = hashed.probes(unit, probes)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), hashed.tables * probes))
+                table = np.tile(np.repeat(np.arange(hashed.tables, dtype=np.int32), probes), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(table), pa.array(found.reshape(-1))], [*KEY, "vector", "tab", "bucket"])
+
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select(*KEY, "vector").mapInArrow(run, f"h1 long, h2 long, vector {kind}, tab int, bucket long")
 
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """All inner products, each summed component by component: equal vectors get equal
-    products wherever they stand in a block."""
-    total = np.zeros((len(queries), len(candidates)))
-    for q, c in zip(queries.T, candidates.T, strict=True):
-        total += q[:, None] * c[None, :]
+    """Inner products of rows with rows, each summed component by component: equal vectors get
+    equal products wherever they stand in a block."""
+    total = np.zeros(np.broadcast_shapes(queries.shape[:-1], candidates.shape[:-1]))
+    for k in range(queries.shape[-1]):
+        total += queries[..., k] * candidates[..., k]
     return total
 
 
-def _nearest(total: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query index, candidate index) of the k nearest, ties to smaller ids; ids ascend."""
-    rows, columns = [], []
-    for i, own in enumerate(total):
-        own = np.where(ids == query_ids[i], -np.inf, own)
-        if len(own) > k:
-            bound = np.partition(own, len(own) - k)[len(own) - k]
-            keep = np.flatnonzero(own >= bound)
+def nearest(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, id, product) of the k ids with the greatest products, ties to smaller
+    ids; an id held by several candidates counts once, by the best of them.
+
+    A matrix product, exact but for rounding, says which can be among them; only those are
+    multiplied again component by component."""
+    order = np.argsort(ids, kind="stable")
+    candidates, ids = candidates[order], ids[order]
+    names, first = np.unique(ids, return_index=True)
+    with np.errstate(all="ignore"):
+        rough = queries @ candidates.T
+        slack = 1e-13 * queries.shape[1] ** 2 * np.abs(queries).max(axis=1) * np.abs(candidates).max(initial=0.0)
+        if len(names) > k:
+            best = rough if len(names) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
+            bound = np.partition(best, len(names) - k, axis=1)[:, len(names) - k] - slack
+            open_ = ~(np.isfinite(rough).all(axis=1) & np.isfinite(slack))  # too large to judge
+            i, at = np.nonzero((rough >= bound[:, None]) | open_[:, None])
         else:
-            keep = np.arange(len(own))
-        keep = keep[own[keep] > -np.inf]
-        keep = keep[np.argsort(-own[keep], kind="stable")][:k]
-        rows.append(np.full(len(keep), i))
-        columns.append(keep)
-    return np.concatenate(rows), np.concatenate(columns)
+            i, at = np.divmod(np.arange(rough.size), max(1, len(ids)))
+        exact = products(queries[i], candidates[at])
+    exact = np.where(np.isnan(exact), -np.inf, exact)
+    found = ids[at]
+    if len(names) < len(ids):
+        by = np.lexsort((-exact, found, i))
+        i, found, exact = i[by], found[by], exact[by]
+        new = np.r_[True, (i[1:] != i[:-1]) | (found[1:] != found[:-1])][: len(i)]  # the best of each id
+        i, found, exact = i[new], found[new], exact[new]
+    by = np.lexsort((found, -exact, i))
+    i, found, exact = i[by], found[by], exact[by]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], found[place < k], exact[place < k]
 
 
-def search(vectors: DataFrame, is_query: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: of every row with ``is_query`` (a condition on vec_id)
-    the k nearest others found."""
-    bounded_batches(vectors.sparkSession)
-    rows = materialise(valid(inputs(vectors, vec_id=id_col, vector=vector_col).withColumn("vec_id", F.col("vec_id").cast("long"))), "vectors")
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
-    common = sizes.orderBy(F.desc("n"), F.desc("size")).first()
-    if common is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    size, longest = common["size"], common["longest"]
-    band = F.floor(2 * F.log2(F.lit(longest) / F.col("norm"))).cast("int") if np.isfinite(longest) else F.lit(0)
-    rows = rows.where(F.size("vector") == size).withColumn("band", band)
-    bands = materialise(rows.groupBy("band").agg(F.max("norm").alias("longest")), "bands")  # some thousand at most
-    rows = rows.join(F.broadcast(bands), "band")
-    index = materialise(_hashed(rows, size, tables, 0), "index")
-    probed = materialise(_hashed(rows.where(is_query), size, tables, min(probes, 2 * padded_size(size + 1))).drop("band"), "probes")
-    # blocks of a bucket: at most 2 x size x tables buckets a range, so both counts are small tables
-    parts = index.groupBy("band", "tab", "bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    query_parts = probed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("query_parts"))
-    blocks = materialise(parts.join(query_parts, ["tab", "bucket"]), "buckets")
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    query_part = F.pmod(F.xxhash64("vec_id"), F.col("query_parts")).cast("int")
-    names = ["vec_id", "vector", "band", "tab", "bucket"]
-    held = index.join(F.broadcast(blocks), ["band", "tab", "bucket"]).select(*names, part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"), F.lit(False).alias("asks"))
-    asked = probed.join(F.broadcast(blocks), ["tab", "bucket"]).select(*names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), query_part.alias("query_part"), F.lit(True).alias("asks"))
+MET = "h1 long, h2 long, vec_id long, score double"
+
+
+def _meet(k: int):
+    """One block: candidates (vec_id) and query vectors (h1, h2) among the rows of a group."""
 
     def meet(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy()
-        ids, x = t["vec_id"].to_numpy(), _matrix(t["vector"].combine_chunks())
-        order = np.argsort(ids[~asks], kind="stable")
-        candidates, candidate_ids = x[~asks][order], ids[~asks][order]
-        queries, query_ids = x[asks], ids[asks]
-        empty = np.empty(0, np.int64)
-        if len(queries) and len(candidates):
-            total = products(queries, candidates)
-            i, j = _nearest(total, query_ids, candidate_ids, k)
-            out = (query_ids[i], candidate_ids[j], total[i, j])
+        x, ids = _matrix(t["vector"].combine_chunks()), t["vec_id"].to_numpy()
+        h1, h2 = t["h1"].to_numpy()[asks], t["h2"].to_numpy()[asks]
+        if len(h1) and len(h1) < len(asks):
+            i, found, score = nearest(x[asks], x[~asks], ids[~asks], k)
         else:
-            out = (empty, empty, empty.astype(float))
-        return pa.table([pa.array(out[0]), pa.array(out[1]), pa.array(out[2])], ["query_id", "vec_id", "score"])
-
-    met = "query_id long, vec_id long, score double"
-    found = held.unionByName(asked).groupBy("band", "tab", "bucket", "part", "query_part").applyInArrow(meet, met)
-    # a candidate comes from several tables with the same score; each query has k x tables x
-    # probes rows here at most
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id")))), 1, k)
-    near = materialise(found.groupBy("query_id").agg(best.alias("near")), "near")
-    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id")).distinct()
-    short = materialise(asking.join(near.where(F.size("near") >= k), "query_id", "left_anti"), "short")
-    if n := short.count():
+            i, found, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return pa.table([pa.array(h1[i]), pa.array(h2[i]), pa.array(found), pa.array(score)], [*KEY, "vec_id", "score"])
+
+    return meet
+
+
+def _sides(held: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """Candidates and queries in one table of the blocks that they go to."""
+    zero = F.lit(0).cast("long")
+    return held.select("vec_id", zero.alias("h1"), zero.alias("h2"), "vector", *columns, F.lit(False).alias("asks")).unionByName(asked.select(zero.alias("vec_id"), *KEY, "vector", *columns, F.lit(True).alias("asks")))
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """h1, h2, near: of each query vector the k nearest ids; at most so many leave a task."""
+    first = Window.partitionBy(*KEY).orderBy(F.desc("score"), "vec_id")
+    once = met.groupBy(*KEY, "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+    return ranked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+
+
+def search(vectors: DataFrame, is_query: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int | None = None, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: of every row with ``is_query`` (a condition on vec_id)
+    the k nearest others found.  ``probes``: buckets probed in each table."""
+    bounded_batches(vectors.sparkSession)
+    rows = valid(inputs(vectors, vec_id=id_col, vector=vector_col).withColumn("vec_id", F.col("vec_id").cast("long")))
+    rows = materialise(rows.groupBy(*KEY, "vec_id").agg(F.first("vector").alias("vector"), F.first("log_norm").alias("log_norm")), "vectors")
+    common = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max("log_norm").alias("longest")).orderBy(F.desc("n"), F.desc("size")).first()
+    if common is None:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    size = common["size"]
+    rows = rows.where(F.size("vector") == size)
+    asks = materialise(rows.where(is_query).select(F.col("vec_id").alias("query_id"), *KEY), "asks")
+    alike = Window.partitionBy(*KEY).orderBy("vec_id")
+    kept = rows.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1)
+    kept = materialise(kept.withColumn("band", F.floor(2 * (F.lit(common["longest"]) - F.col("log_norm"))).cast("int")), "candidates")
+    bands = kept.groupBy("band").agg(F.max("log_norm").alias("longest"))  # some thousand at most, as doubles go
+    n = kept.count()
+    hashed = Hash(size, n, tables)
+    index = materialise(_indexed(kept.join(F.broadcast(bands), "band"), size, hashed), "index")
+    queries = materialise(kept.where("place = 1").join(asks.select(*KEY).distinct(), [*KEY], "left_semi").select(*KEY, "vector"), "queries")
+    probed = materialise(_probed(queries, size, hashed, min(hashed.buckets, probes or probes_for(n, hashed.buckets))), "probes")
+    # buckets and queries of more than a block are cut; as few of them as can be broadcast
+    most = max(block, n * tables // CUT_BUCKETS)
+    parts = index.groupBy("band", "tab", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    parts = materialise(parts.select("band", "tab", "bucket", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "parts")
+    most = max(query_block, probed.count() // CUT_BUCKETS)
+    query_parts = probed.groupBy("tab", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    query_parts = materialise(query_parts.select("tab", "bucket", F.ceil(F.col("n") / F.lit(query_block)).cast("int").alias("query_parts")), "query_parts")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    deal = lambda c, *by: F.pmod(F.xxhash64(*by), one(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    held = index.join(F.broadcast(parts), ["band", "tab", "bucket"], "left").join(F.broadcast(query_parts), ["tab", "bucket"], "left")
+    held = held.select("vec_id", "vector", "band", "tab", "bucket", deal("parts", "vec_id").alias("part"), all_of("query_parts").alias("query_part"))
+    asked = probed.crossJoin(F.broadcast(bands.select("band"))).join(F.broadcast(parts), ["band", "tab", "bucket"], "left").join(F.broadcast(query_parts), ["tab", "bucket"], "left")
+    asked = asked.select(*KEY, "vector", "band", "tab", "bucket", all_of("parts").alias("part"), deal("query_parts", *KEY).alias("query_part"))
+    places = ("band", "tab", "bucket", "part", "query_part")
+    met = _sides(held, asked, *places).groupBy(*places).applyInArrow(_meet(k + 1), MET)
+    near = materialise(_best(met, k + 1), "near")
+    poor = materialise(queries.join(near.where(F.size("near") > k), [*KEY], "left_anti"), "poor")
+    if m := poor.count():
         # every candidate against every such query, in blocks
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-common["n"] // block))).cast("int").alias("part")
-        query_part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // query_block))).cast("int").alias("query_part")
-        all_ = rows.select("vec_id", "vector", part, F.explode(F.sequence(F.lit(0), F.lit(-(-n // query_block) - 1))).alias("query_part"), F.lit(False).alias("asks"))
-        poor = rows.join(short, F.col("vec_id") == F.col("query_id"), "left_semi")
-        poor = poor.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(-(-common["n"] // block) - 1))).alias("part"), query_part, F.lit(True).alias("asks"))
-        exact = all_.unionByName(poor).groupBy("part", "query_part").applyInArrow(meet, met)
-        near = near.join(short, "query_id", "left_anti").unionByName(exact.groupBy("query_id").agg(best.alias("near")))
-    ranked = near.select("query_id", F.posexplode("near").alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
+        q_parts, c_parts = -(-m // query_block), -(-n // block)
+        held = kept.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(c_parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("query_part"))
+        asked = poor.select(*KEY, "vector", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))).alias("part"), F.pmod(F.xxhash64(*KEY), F.lit(q_parts)).cast("int").alias("query_part"))
+        met = _sides(held, asked, "part", "query_part").groupBy("part", "query_part").applyInArrow(_meet(k + 1), MET)
+        near = near.join(poor, [*KEY], "left_anti").unionByName(_best(met, k + 1))
+    told = join_hot(asks, near, [*KEY], "inner").select("query_id", F.explode("near").alias("x"))
+    told = told.select("query_id", "x.vec_id", "x.score").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return told.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def recall(vectors: DataFrame, found: DataFrame, is_query: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> float:
-    """Share of the true k nearest that were found; compares every query with every vector in
-    blocks, for tests and tuning."""
+    """Share of the true k nearest that were found, where every query is compared with every
+    vector; for tests and tuning on tables of unique ids."""
     rows = valid(inputs(vectors, vec_id=id_col, vector=vector_col))
     asked = [(r["vec_id"], np.array(r["vector"])) for r in rows.where(is_query).toLocalIterator()]
     ids = np.array([q for q, _ in asked])
@@ -213,14 +319,12 @@ def recall(vectors: DataFrame, found: DataFrame, is_query: Column | str, id_col:
 
     def run(batches):
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            order = np.argsort(own, kind="stable")
-            total = products(queries, _matrix(batch.column(1))[order])
-            i, j = _nearest(total, ids, own[order], k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[order][j]), pa.array(total[i, j])], ["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                i, names, score = nearest(queries, _matrix(batch.column(1)), batch.column(0).to_numpy(), k + 1)
+                keep = ids[i] != names
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(names[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
     near = rows.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id")))), 1, k)
-    true = near.groupBy("query_id").agg(best.alias("near")).select("query_id", F.explode("near.vec_id").alias("vec_id"))
-    hits = true.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
-    return hits / max(1, true.count())
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    true = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id").cache()
+    return true.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count() / max(1, true.count())

@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -14,12 +15,22 @@ def brute(rows, k=20):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     size = max(Counter(len(v) for _, v in good).items(), key=lambda x: (x[1], x[0]))[0] if good else 0
     good = [(i, v) for i, v in good if len(v) == size]
-    out = {}
+    best = defaultdict(dict)
     for q, v in good:
         if q % 20 == 0:
-            near = sorted({(-float(sum(a * b for a, b in zip(v.tolist(), w.tolist(), strict=True))), i) for i, w in good if i != q})[:k]
-            out[q] = [(i, -s) for s, i in near]
-    return out
+            for i, w in good:
+                if i != q:
+                    product = reduce(lambda total, ab: total + ab[0] * ab[1], zip(v.tolist(), w.tolist(), strict=True), 0.0)  # in order, uncompensated
+                    best[q][i] = max(product, best[q].get(i, product))
+    return {q: sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k] for q, own in best.items()}
+
+
+def found_by(df, **options):
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, IS_QUERY, **options).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return dict(got)
 
 
 def test_hadamard_keeps_lengths():
@@ -31,10 +42,45 @@ def test_all_probes_are_exact_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(160)] + [(200, None), (220, [0.0] * 6), (240, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (260, [1.0] * 5), (280, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (300, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (320, [])]
     df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<double>, score double")
-    got = defaultdict(list)
-    for r in sorted(ann.search(df, IS_QUERY, probes=10**6, block=16, query_block=3).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert dict(got) == brute(rows)
+    assert found_by(df, tables=2, probes=10**6, block=16, query_block=3) == brute(rows)
+
+
+def test_repeated_rows_and_ids(spark):
+    """Thirty rows of one id, an id of several vectors, and a query id of several."""
+    rng = np.random.default_rng(8)
+    near = lambda: [1.0 + 1e-9 * float(x) for x in rng.normal(size=8)]
+    rows = [(1, [1.0] * 8)] * 30 + [(i, near()) for i in range(2, 11)] + [(0, [1.0] * 8), (20, [0.5] * 8), (20, [0.0, 1.0] * 4)]
+    rows += [(i, [float(x) for x in rng.normal(size=8)]) for i in range(21, 90)] + [(30, near()), (30, near())] + [(i, [1.0] * 8) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    assert found_by(df, probes=10**6) == want and found_by(df)[0] == want[0]
+
+
+def test_very_short_and_very_long_vectors(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 1e-200]), (2, [-1e100, 2e100]), (3, [3.0, 4.0]), (20, [1e150, 1e150])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_by(df) == brute(rows)
+
+
+def test_buckets_stay_small_and_probes_fall_as_rows_grow():
+    for rows in (500, 10**5, 10**7, 10**9):
+        hashed = ann.Hash(64, rows, 2)
+        assert rows / hashed.buckets <= 2 * ann.BUCKET_ROWS and np.prod(hashed.axes) == hashed.buckets
+    share = [ann.probes_for(n, b) / b for n, b in ((500, 256), (10**5, 512), (10**7, 1 << 15))]
+    assert share[0] > 3 * share[1] > 9 * share[2]
+    unit = ann._units(np.random.default_rng(3).normal(size=(50, 65)))
+    hashed = ann.Hash(64, 10**7, 3)
+    padded = np.pad(unit, ((0, 0), (0, hashed.padded - 65)))
+    assert (hashed.probes(padded, 5)[:, :, 0] == hashed.buckets_of(padded)).all()
+
+
+def test_concatenated_hashes_keep_their_recall(spark, monkeypatch):
+    """As many buckets as a table a hundred times as long would have."""
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 3)
+    x = ann._units(np.random.default_rng(6).normal(size=(4_000, 24)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(ann.Hash(24, 4_000, 1).axes) == 2
+    assert ann.recall(df, ann.search(df, IS_QUERY).cache(), IS_QUERY) >= 0.9
 
 
 def test_recall_and_scores(spark, sf_dir):
