@@ -15,7 +15,9 @@ from ``REMOVE`` on it is removed, else generalised.
 
 Matching is linear in the text: patterns carry no nested repetition.  Where one is asked for
 (labels of a domain, groups of digits), single separators are first replaced by a mark of the
-same length, so that a plain run of characters says the same.
+same length, so that a plain run of characters says the same.  Places are running sums over
+the lengths of gaps and hits, and surroundings are cut from pieces of the text of a fixed
+length, so that a text of very many matches takes no longer a match than one of few.
 
 Defined results: a null text is empty; no match gives counts of 0 and empty strings; rows that
 repeat an id are judged by their own texts; spans of different kinds may overlap, of one kind
@@ -39,6 +41,9 @@ GENERALISE, REMOVE = 0.9, 0.995
 #: copies of one don't count.
 LEAST_CONTEXTS = 3
 
+#: Code points of a piece of a text, and values of a block of running sums.
+PIECE, RUN = 256, 64
+
 _MARK, _NOT_MARK = "\x01", "\x02"
 _DOT_IN_DOMAIN = r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])"
 _SEPARATOR_IN_DIGITS = r"(?<=[0-9])[ -](?=[0-9])"
@@ -51,22 +56,58 @@ _PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 _NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_WORD = r"[\p{L}\p{N}_]+"
+_NO_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, zero: Column, add) -> Column:
+    """For each value the associative ``add`` of all before it.  By blocks, since an array
+    that grows by one is copied each time."""
+
+    def grown(own: Column, first: Column) -> Column:
+        return F.aggregate(own, F.array(first), lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), x))))
+
+    def by_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda own: F.aggregate(own, zero, add))
+        return bound(grown(totals, zero), lambda firsts: F.flatten(F.transform(blocks, lambda own, k: F.slice(grown(own, F.get(firsts, k)), F.lit(1), F.size(own)))))
+
+    def cut(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda k: F.slice(own, k * RUN + 1, F.lit(RUN)))
 
+    return bound(values, lambda own: F.when(F.size(own) == 0, own).otherwise(bound(cut(own), by_blocks)))
 
-def matches(text: Column, pattern: str) -> Column:
+
+def matches(text: Column, pattern: str | Column) -> Column:
     """All matches, leftmost first, not overlapping: array of (start, end, hit) in code
     points, from the gaps that a split leaves between them."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("found"))
+    pattern_ = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits = F.regexp_extract_all(text, pattern_, F.lit(0))
+    pairs = F.zip_with(F.split(text, pattern_, F.lit(-1)), hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
+    found = F.filter(pairs, lambda p: p["hit"].isNotNull())
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: p["gap"] + F.char_length(p["hit"])), F.lit(0), lambda a, n: a + n)
+        starts = F.zip_with(pairs, ends, lambda p, before: F.struct((before + p["gap"]).alias("start"), p["hit"].alias("hit")))
+        return F.transform(starts, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["hit"])).alias("end"), s["hit"].alias("hit")))
+
+    return bound(found, placed)
+
 
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        end = begin + F.char_length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit")))).alias("found"))
+def pieces(text: Column) -> Column:
+    """A text cut every ``PIECE`` code points: ``between`` finds its parts without walking
+    through all that stands before them."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, add, lambda state: state["found"])
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    around = F.array_join(F.slice(cut, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+    return F.substring(around, start - first * PIECE + 1, end - start)
 
 
 def _digits(hit: Column) -> Column:
@@ -107,44 +148,52 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def _beside(text: Column, span: Column) -> Column:
+def _beside(cut: Column, span: Column) -> Column:
     """The occurrence of an entity with the words beside it in its line: (kind, entity,
-    context, words as (start, end, term))."""
-    value = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-    entity = F.when(span["kind"].isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value))
-    first = F.greatest(F.lit(0), span["start"] - WINDOW)
-    left = F.substring_index(F.substring(text, first + 1, span["start"] - first), "\n", -1)
-    right = F.substring_index(F.substring(text, span["end"] + 1, F.lit(WINDOW)), "\n", 1)
+    context, words).  ``cut``: the text in pieces."""
+
+    def around(sides: Column) -> Column:
+        words = F.concat(F.split(sides["left"], _NO_WORD), F.split(sides["right"], _NO_WORD))
+        words = F.filter(F.transform(words, F.lower), lambda w: (F.char_length(w) >= 3) & ~w.rlike("^[0-9]+$"))
+        return F.struct(span["kind"].alias("kind"), sides["entity"].alias("entity"), F.xxhash64(sides["left"], sides["right"]).alias("context"), F.array_distinct(words).alias("words"))
+
+    value = between(cut, span["start"], span["end"])
+    entity = F.when(span["kind"].isin("card", "phone"), _digits(value)).otherwise(F.lower(value))
+    left = F.substring_index(between(cut, F.greatest(F.lit(0), span["start"] - WINDOW), span["start"]), "\n", -1)
+    right = F.substring_index(between(cut, span["end"], span["end"] + WINDOW), "\n", 1)
     # a word that the window's edge cuts is not one: leave it out where the window is full
-    left = F.when(F.char_length(left) >= WINDOW, F.regexp_replace(left, r"^[\p{L}\p{N}_]+", "")).otherwise(left)
-    right = F.when(F.char_length(right) >= WINDOW, F.regexp_replace(right, r"[\p{L}\p{N}_]++$", "")).otherwise(right)
-    place = lambda words, origin: F.transform(words, lambda m: F.struct((m["start"] + origin).alias("start"), (m["end"] + origin).alias("end"), F.lower(m["hit"]).alias("term")))
-    words = F.concat(place(matches(left, _WORD), span["start"] - F.char_length(left)), place(matches(right, _WORD), span["end"]))
-    words = F.filter(words, lambda w: (F.char_length(w["term"]) >= 3) & ~w["term"].rlike("^[0-9]+$"))
-    return F.struct(span["kind"].alias("kind"), entity.alias("entity"), F.xxhash64(left, right).alias("context"), words.alias("words"))
+    left = bound(left, lambda x: F.when(F.char_length(x) >= WINDOW, F.regexp_replace(x, r"^[\p{L}\p{N}_]+", "")).otherwise(x))
+    right = bound(right, lambda x: F.when(F.char_length(x) >= WINDOW, F.regexp_replace(x, r"[\p{L}\p{N}_]++$", "")).otherwise(x))
+    return bound(F.struct(entity.alias("entity"), left.alias("left"), right.alias("right")), around)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, base spans and the surroundings of each, for every row."""
     slim = inputs(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    found = slim.select("doc_id", "text", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"))
-    return found.select("doc_id", "text_key", "base", F.transform("base", lambda s: _beside(F.col("text"), s)).alias("beside"))
+
+    def told(base: Column) -> Column:
+        beside = bound(pieces(F.col("text")), lambda cut: F.transform(base, lambda s: _beside(cut, s)))
+        none = F.expr("cast(array() as array<struct<kind:string,entity:string,context:bigint,words:array<string>>>)")
+        return F.struct(base.alias("base"), F.when(F.size(base) > 0, beside).otherwise(none).alias("beside"))
+
+    found = slim.select("doc_id", F.xxhash64("text").alias("text_key"), bound(base_spans(F.col("text")), told).alias("found"))
+    return found.select("doc_id", "text_key", "found.base", "found.beside")
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term, n: occurrences of every word in the whole corpus, summed up before the shuffle."""
     text = F.lower(text_or_empty(docs[text_col]))
-    return docs.select(F.explode(F.split(text, r"[^\p{L}\p{N}_]+")).alias("term")).where(F.char_length("term") >= 3).groupBy("term").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(F.split(text, _NO_WORD)).alias("term")).where(F.char_length("term") >= 3).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def disclosures(scanned: DataFrame, counts: DataFrame, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
     """kind, entity, term, disclosure of the word-entity pairs in enough contexts."""
-    seen = scanned.select(F.explode("beside").alias("b")).select("b.kind", "b.entity", "b.context", F.explode(F.array_distinct(F.transform("b.words", lambda w: w["term"]))).alias("term"))
+    seen = scanned.select(F.explode("beside").alias("b")).select("b.kind", "b.entity", "b.context", F.explode("b.words").alias("term"))
     alike = seen.groupBy("kind", "entity", "term", "context").agg(F.count("*").alias("n"))  # copies collapse
     joint = alike.groupBy("kind", "entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= least_contexts - 1)
     own = scanned.select(F.explode("beside").alias("b")).groupBy("b.kind", "b.entity").agg(F.count("*").alias("occurrences"))
     # a word's occurrences inside entities say nothing of those outside
-    inner = scanned.select(F.explode("beside").alias("b")).select(F.explode(F.split("b.entity", r"[^\p{L}\p{N}_]+")).alias("term")).groupBy("term").agg(F.count("*").alias("inner"))
+    inner = scanned.select(F.explode("beside").alias("b")).select(F.explode(F.split("b.entity", _NO_WORD)).alias("term")).groupBy("term").agg(F.count("*").alias("inner"))
     known = joint.join(own, ["kind", "entity"]).join(counts, "term").join(inner, "term", "left")
     words = counts.agg(F.sum("n")).first()[0] or 1  # one number
     given = F.log(F.least(F.lit(1.0), F.col("together") / F.greatest(F.lit(1), F.col("n") - F.coalesce("inner", F.lit(0)))))
@@ -158,7 +207,7 @@ def _everywhere(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str)
     texts.  Texts and terms meet as words without their places; only in the texts that hold a
     strong term its places are looked for."""
     slim = inputs(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    word = F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+"))).alias("word")
+    word = F.explode(F.array_distinct(F.split("text", _NO_WORD))).alias("word")
     words = slim.select("doc_id", "text_key", word).where(F.char_length("word") >= 2)  # lower case may be longer
     held = words.withColumn("term", F.lower("word")).join(strong, "term").groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "disclosure"))).alias("held"))
     held = held.select(F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key"), "held")
@@ -179,12 +228,29 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gener
     terms = told.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("told_id"), F.col("text_key").alias("told_key"), "terms")
     joined = scanned.select("doc_id", "text_key", "base").join(terms, (F.col("text_key") == F.col("told_key")) & F.col("doc_id").eqNullSafe(F.col("told_id")), "left")
-    # a word inside a base span is no span of its own
-    free = F.filter(F.col("terms"), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     none = F.expr("cast(array() as array<struct<start:int,end:int,disclosure:double>>)")
+    free = F.when(F.size("base") == 0, F.col("terms")).otherwise(_outside(F.col("terms"), F.col("base")))
     return joined.select("doc_id", "text_key", "base", F.coalesce(free, none).alias("terms"))
 
 
+def _outside(terms: Column, base: Column) -> Column:
+    """The terms that overlap no base span: a word inside a base span is no span of its own.
+
+    Over both kinds in the order of their places, the furthest end of a base span before a
+    term and the nearest start of one behind it decide."""
+
+    def judged(both: Column) -> Column:
+        ends = running(F.transform(both, lambda s: F.when(s["disclosure"].isNull(), s["end"]).otherwise(-1)), F.lit(-1), lambda a, n: F.greatest(a, n))
+        far = 2**31 - 1
+        starts = F.reverse(running(F.reverse(F.transform(both, lambda s: F.when(s["disclosure"].isNull(), s["start"]).otherwise(far))), F.lit(far), lambda a, n: F.least(a, n)))
+        after = F.zip_with(both, ends, lambda s, e: F.when(s["disclosure"].isNotNull() & (e <= s["start"]), s))
+        free = F.zip_with(after, starts, lambda s, n: F.when(n >= s["end"], s))
+        return F.filter(free, lambda s: s.isNotNull())
+
+    plain = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("disclosure")))
+    return bound(F.array_sort(F.concat(plain, terms)), judged)
+
+
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -204,25 +270,35 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     found = spans(docs, id_col, text_col, **options)
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("as")))
     terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove, "").otherwise("[TERM]").alias("as")))
-    all_spans = F.array_sort(F.concat(base, terms))
-    # overlapping spans become one, under the name of the first
-    merged = F.aggregate(
-        all_spans,
-        F.expr("cast(array() as array<struct<start:int,end:int,as:string>>)"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end"), F.try_element_at(out, F.lit(-1))["as"].alias("as"))),
-            ),
-        ).otherwise(F.concat(out, F.array(s))),
-    )
+    merged = bound(F.array_sort(F.concat(base, terms)), _merged)
     cut = found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), merged.alias("__tessella_cut"))
     cut = cut.dropDuplicates(["cut_id", "cut_key"])
     rows = docs.withColumns({own: docs[id_col], key: F.xxhash64(text_or_empty(docs[text_col]))})
     joined = rows.join(cut, (F.col(key) == F.col("cut_key")) & F.col(own).eqNullSafe(F.col("cut_id")), "left")
-    text, spans_ = F.col(f"`{text_col}`").cast("string"), F.col("__tessella_cut")
-    before = F.transform(spans_, lambda s, i: F.when(i == 0, 0).otherwise(F.try_element_at(spans_, i)["end"]))
-    parts = F.zip_with(spans_, before, lambda s, b: F.concat(F.substring(text, b + 1, s["start"] - b), s["as"]))
-    new = F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(spans_, -1)["end"] + 1, F.lit(2**31 - 1)))
-    return joined.select(*(F.when(spans_.isNull(), F.col(f"`{c}`").cast("string")).otherwise(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    text = F.col(f"`{text_col}`").cast("string")
+    return joined.select(*(F.when(F.col("__tessella_cut").isNull(), text).otherwise(_replaced(text, F.col("__tessella_cut"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans (start, end, as) where those that overlap are one, under the name of the
+    first: a span opens one unless an earlier one ends behind its start."""
+
+    def opened(before: Column) -> Column:
+        heads = F.filter(F.zip_with(spans, before, lambda s, e: F.when(e <= s["start"], F.struct(s["start"].alias("start"), s["as"].alias("as"), e.alias("before")))), lambda h: h.isNotNull())
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        # what a span opens ends where all before the next one had ended
+        ends = bound(heads, lambda own: F.concat(F.transform(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda h: h["before"]), F.array(last)))
+        return F.zip_with(heads, ends, lambda h, e: F.struct(h["start"].alias("start"), e.alias("end"), h["as"].alias("as")))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(bound(running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, n: F.greatest(a, n)), opened))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """A text with its spans (sorted, apart) replaced."""
+
+    def written(cut: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+        parts = F.zip_with(before, spans, lambda b, s: F.when(s.isNull(), between(cut, b, F.char_length(text))).otherwise(F.concat(between(cut, b, s["start"]), s["as"])))
+        return F.array_join(parts, "")
+
+    return bound(pieces(text), written)
