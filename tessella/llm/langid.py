@@ -7,9 +7,16 @@ penalties, one example at a time, on at most ``sample_rows`` training rows, deal
 the languages; a part of that sample that training leaves out fits one temperature, by which
 scores are divided before the softmax, so that the score is a calibrated probability.
 
+A softmax over the learned languages finds one for any text, also for code, noise or another
+script.  So the model also knows how surprising a text's 3-grams are (their mean inverse
+document frequency), and the most that any text of its sample had; ``keep_identified`` rejects
+texts that exceed this by ``MARGIN``: they are in no learned language.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text when nothing can be learned from (no labelled row with a letter).  Rows without a
-language are predicted but not learned from.  Equal texts get equal results.
+language are predicted but not learned from.  Equal texts get equal results; of equally likely
+languages the first by name is predicted.  A very long text is read whole, in memory that grows
+with it; an empty table gives no rows; columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, inputs, map_batches
+from tessella.llm.common import bounded_batches, inputs, map_batches, materialise
 
 UNDETERMINED = "und"
 #: Hashed features for each length of n-gram.
@@ -36,6 +43,8 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 #: Every so manieth row of the sample fits the temperature.
 CALIBRATION_EVERY = 5
+#: How many times the sample's greatest surprise a text's may be.
+MARGIN = 1.2
 
 _letters: np.ndarray | None = None
 
@@ -70,6 +79,12 @@ class Model:
     weights: np.ndarray  # features x languages, times the inverse document frequency
     bias: np.ndarray
     temperature: float
+    rarity: np.ndarray | None = None  # inverse document frequencies
+    most_surprise: float = float("inf")
+
+    def surprise(self, features: list[np.ndarray]) -> float:
+        """The mean inverse document frequency of the longest n-grams."""
+        return 0.0 if self.rarity is None else float(self.rarity[features[-1]].mean())
 
     def probabilities(self, features: list[np.ndarray]) -> np.ndarray:
         total = self.bias.copy()
@@ -143,6 +158,8 @@ def sample(training: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.nda
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float32()))], ["lang", "features", "tf"])
 
     picked = map_batches(training.where(keep).select("lang", "text"), lambda: step, "lang string, features array<int>, tf array<float>")
+    # one job on all tasks; what comes to the driver is the bounded sample
+    picked = materialise(picked, "sample")
     out = [(r[0], np.array(r[1], np.int32), np.array(r[2], np.float32)) for r in picked.toLocalIterator()]
     return sorted(out, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
 
@@ -178,7 +195,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epoch
             n[at] += g * g
     w = weights(slice(None))
     folded = (w[:-1] * (idf / scale)[:, None]).astype(np.float32)
-    model = Model(languages, folded, w[-1].copy(), 1.0)
+    longest = (len(ORDERS) - 1) * BUCKETS  # where the features of the longest n-grams begin
+    most = max(float((tf * idf[f])[f >= longest].sum()) for _, f, tf in rows)
+    model = Model(languages, folded, w[-1].copy(), 1.0, idf.astype(np.float32), MARGIN * most)
     if apart:
         raw = np.array([w[-1] + (tf * idf[f] / scale) @ w[f] for _, f, tf in apart])
         gold = np.array([languages.index(r[0]) for r in apart])
@@ -202,51 +221,56 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(sample(training, sample_rows), idf)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with two columns more.  The model, of bounded size, goes to all tasks."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", surprise_col: str | None = None) -> DataFrame:
+    """``docs`` with two or three columns more.  The model, of bounded size, goes to all tasks."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("pred string, score double")
+    @F.pandas_udf("pred string, score double, surprise double")
     def scored(texts):
         import pandas as pd
 
         model = sent.value
-        pred, score = [], []
+        pred, score, surprise = [], [], []
         for text in texts:
             own = None if text is None or model is None else grams(text)
             if own is None:
                 pred.append(UNDETERMINED)
                 score.append(0.0)
+                surprise.append(None)
             else:
                 p = model.probabilities(own)
                 at = int(p.argmax())
                 pred.append(model.languages[at])
                 score.append(float(p[at]))
-        return pd.DataFrame({"pred": pred, "score": score})
+                surprise.append(model.surprise(own))
+        return pd.DataFrame({"pred": pred, "score": score, "surprise": pd.Series(surprise, dtype=float)})
 
     found = "__tessella_language"
-    return docs.withColumn(found, scored(F.col(text_col).cast("string"))).withColumns({pred_col: F.col(f"{found}.pred"), score_col: F.col(f"{found}.score")}).drop(found)
+    return docs.withColumn(found, scored(F.col(text_col).cast("string"))).withColumns({name: F.col(f"{found}.{c}") for c, name in (("pred", pred_col), ("score", score_col), ("surprise", surprise_col)) if name}).drop(found)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred, score and surprise of every document."""
     model = fit(docs, id_col, text_col, lang_col, sample_rows)
     slim = inputs(docs, doc_id=id_col, text=text_col)
-    return predict(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(slim, model, surprise_col="surprise").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "surprise")
 
 
 def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of ``least_score`` or
-    more, by default likelier than chance (and among ``languages``, if given)."""
-    pred, score = "__tessella_pred", "__tessella_score"
+    """The rows of ``docs`` in a learned language: those with a letter, a score of
+    ``least_score`` or more (by default likelier than chance), a surprise within what the
+    model's sample bears out and, if given, one of ``languages``."""
+    pred, score, surprise = "__tessella_pred", "__tessella_score", "__tessella_surprise"
     model = fit(docs, id_col, text_col, lang_col)
-    scored = predict(docs, model, text_col, pred, score)
+    scored = predict(docs, model, text_col, pred, score, surprise)
     # of one language alone all texts are; a score can't exceed chance there
     chance = 1 / len(model.languages) if model is not None and len(model.languages) > 1 else 0.0
     likely = F.col(score) > chance if least_score is None else F.col(score) >= least_score
     wanted = (F.col(pred) != UNDETERMINED) & likely
+    if model is not None and np.isfinite(model.most_surprise):
+        wanted = wanted & (F.col(surprise) <= model.most_surprise)
     if languages is not None:
         wanted = wanted & F.col(pred).isin(languages)
     return scored.where(wanted).select(*(F.col(f"`{c}`") for c in docs.columns))

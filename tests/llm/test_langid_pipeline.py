@@ -1,6 +1,10 @@
+import math
+import random
 import zlib
+from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import langid
@@ -33,13 +37,79 @@ def test_odd_rows_and_labels(spark):
 def test_likelier_than_chance_is_kept(spark, monkeypatch):
     # ten languages: chance is 0.1
     model = langid.Model([f"l{k}" for k in range(10)], None, None, 1.0)
-    scored = lambda docs, model, text_col, pred, score: docs.withColumns({pred: F.lit("l1"), score: F.col("given")})
+    scored = lambda docs, model, text_col, pred, score, surprise: docs.withColumns({pred: F.lit("l1"), score: F.col("given"), surprise: F.lit(0.0)})
     monkeypatch.setattr(langid, "fit", lambda *args: model)
     monkeypatch.setattr(langid, "predict", scored)
     df = spark.createDataFrame([(1, "a", "l1", 0.29), (2, "b", "l1", 0.11), (3, "c", "l1", 0.1), (4, "d", "l1", 0.9)], "doc_id long, text string, lang string, given double")
     assert sorted(r["doc_id"] for r in langid.keep_identified(df).collect()) == [1, 2, 4]
 
 
+def ftrl_by_force(rows, idf, languages, order, scale, epochs):
+    """FTRL-proximal feature by feature, as published: weights from z and n, then one step."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(at, c):
+        if abs(z[at, c]) <= langid.L1:
+            return 0.0
+        return -(z[at, c] - math.copysign(langid.L1, z[at, c])) / ((langid.BETA + math.sqrt(n[at, c])) / langid.ALPHA + langid.L2)
+
+    for _ in range(epochs):
+        for k in order:
+            lang, f, tf = rows[k]
+            x = [*((int(i), float(t) * idf[i] / scale) for i, t in zip(f, tf, strict=True)), ("bias", 1.0)]
+            w = {(at, c): weight(at, c) for at, _ in x for c in languages}
+            s = {c: sum(v * w[at, c] for at, v in x) for c in languages}
+            e = {c: math.exp(s[c] - max(s.values())) for c in languages}
+            for c in languages:
+                slope = e[c] / sum(e.values()) - (c == lang)
+                for at, v in x:
+                    g = v * slope
+                    sigma = (math.sqrt(n[at, c] + g * g) - math.sqrt(n[at, c])) / langid.ALPHA
+                    z[at, c] += g - sigma * w[at, c]
+                    n[at, c] += g * g
+    return {(at, c): weight(at, c) for at, c in list(z)}
+
+
+def test_training_by_force():
+    local = np.random.default_rng(1)
+    rows = [("xy"[k % 2], np.sort(local.choice(40, 6, replace=False) + 25 * (k % 2)).astype(np.int32), local.random(6).astype(np.float32)) for k in range(30)]
+    rows = [("yx"[lang == "y"] if k % 9 == 0 else lang, f, tf) for k, (lang, f, tf) in enumerate(rows)]  # some are wrong
+    idf = local.random(80) + 0.5
+    model = langid.train(rows, idf, epochs=2)
+    order = np.random.default_rng(7).permutation(len(rows))
+    taught = [i for k, i in enumerate(order) if k % langid.CALIBRATION_EVERY]
+    scale = float(np.mean([np.sqrt(((rows[i][2] * idf[rows[i][1]]) ** 2).sum()) for i in taught]))
+    want = ftrl_by_force(rows, idf, model.languages, taught, scale, 2)
+    for c, language in enumerate(model.languages):
+        assert abs(model.bias[c] - want["bias", language]) < 1e-9
+        got = model.weights[:, c] * scale / idf
+        assert np.allclose(got, [want.get((i, language), 0.0) for i in range(80)], atol=1e-5)
+    assert (model.weights == 0).any()  # sparse
+    # the temperature is the best of a fine grid for the rows left out
+    apart = [rows[i] for k, i in enumerate(order) if k % langid.CALIBRATION_EVERY == 0]
+
+    def loss(t):
+        total = 0.0
+        for lang, f, tf in apart:
+            s = [sum([float(a) * idf[i] / scale * want.get((int(i), c), 0.0) for i, a in zip(f, tf, strict=True)], want["bias", c]) / t for c in model.languages]
+            total -= s[model.languages.index(lang)] - math.log(sum(map(math.exp, s)))
+        return total
+
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.2, 20, 25))) + 1e-4
+
+
+def test_texts_of_no_language_are_rejected(spark, sf_dir):
+    """Planted rows of no learned language go, all others stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    local = random.Random(3)
+    noise = ["".join(local.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)) for _ in range(20)]
+    noise += ["日本語の文章です" * 10, "привет как дела " * 8, "qqq zzz xxx " * 30, "def f(x):\n  return {k: v[0] for k, v in x.items()}\n" * 8, "1234 !!", ""]
+    planted = spark.createDataFrame([(10**7 + k, t) for k, t in enumerate(noise)], "doc_id long, text string")
+    kept = langid.keep_identified(docs.unionByName(planted, allowMissingColumns=True))
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert ids == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(df).collect()] == [("und", 0.0)]
@@ -68,6 +138,23 @@ def test_pipeline(spark, sf_dir):
     assert kept.where(F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]")).count() == 0
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, repeated rows, a very long text and clashing names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    first = docs.first()
+    rows = [(None,) * 5, (first["doc_id"], first["text"], None, None, None), (9_000_001, None, "en", "s", 0), (9_000_002, "", "en", "s", 0), (9_000_003, first["text"] * 400, "en", "s", 0), (None, first["text"], "en", "s", 0)]
+    odd = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame(rows, docs.schema))
+    clash = odd.select("*", *(F.lit("x").alias(c) for c in ("lang_pred", "score", "class_id", "node", "start", "spans", "base", "piece", "sequence_id", "label")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialise(stage(spark, clash, sf_dir), "odd")
+        assert out.columns == clash.columns and 0 < out.count() <= clash.count()
+        assert out.where("lang_pred <> 'x' or label <> 'x'").count() == 0
+        clash = out
+    assert clash.where("doc_id is null and text is null or doc_id in (9000001, 9000002)").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, clash, sf_dir)
+    assert packed.select("doc_id").distinct().count() == clash.select("doc_id").distinct().count()
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
