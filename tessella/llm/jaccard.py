@@ -1,20 +1,23 @@
 """Operator 10: near-duplicate join on word n-gram sets, by MinHash banding.
 
 1. Every text becomes its set of word n-grams (64-bit hashes of lower-cased words).  Texts
-   with equal sets form one class, whose representative is its smallest id.
+   with equal sets form one node, whose representative is its row of the smallest id.
 2. Representatives get a MinHash signature, cut into bands; the numbers of bands and rows
    are chosen for a target recall at the threshold.  Band hashes are shuffled; those held by
    two or more representatives are buckets.
 3. Pairs are verified on full n-gram sets, without a row for each pair: every candidate
-   belongs to a block of bounded size, cut from a populous bucket near it.  Two blocks that
-   share a bucket meet in one task, which counts the links of each document and reduces them
-   to a spanning forest.  A large bucket so becomes many block pairs, dealt to all tasks.
+   belongs to a block of bounded size (documents and n-grams), cut from a populous bucket near
+   it.  Two blocks that share a bucket meet in one task, which counts the links of each
+   document and reduces them to a spanning forest.  A large bucket so becomes many block pairs,
+   dealt to all tasks.  The sets of candidates come from a second pass over the texts, where a
+   Bloom filter of bounded size keeps nearly all others from the shuffle.
 4. Linked representatives are joined into groups by label propagation with shortcuts.
 
 Defined results: a text of fewer than n words has one n-gram, all of its words; texts without
-a word (null ones too: empty) are copies only of texts equal to them; rows that repeat an id
-share one row of the result if they have equal sets; a null id gives a null class only if it
-is alone in its class.
+a word (null ones too: empty) are copies only of texts equal to them; every row gives one row
+of the result; rows without an id are compared like all others, behind all ids, and their class
+id is null only where no row of their class has one; a very long text is one document of a
+block; an empty table gives no rows; columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, inputs, map_batches, materialise, text_or_empty
+from tessella.llm.common import bounded_batches, discard, inputs, map_batches, materialise, text_or_empty
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most hashes in a signature.
 SIGNATURE = 128
-#: Documents in a block, about.
-BLOCK = 512
+#: Documents and n-grams in a block, about.
+BLOCK, BLOCK_NGRAMS = 512, 400_000
+#: Bits a candidate in the Bloom filter, hashes of each, and the most 64-bit words (16 MB).
+BLOOM_BITS, BLOOM_HASHES, BLOOM_WORDS = 16, 4, 1 << 21
 #: Word hashes that a worker remembers.
 WORD_CACHE = 150_000
 
@@ -100,11 +105,12 @@ class Signer:
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     slim = inputs(docs, doc_id=id_col, text=text_col)
-    return slim.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    text = text_or_empty(F.col("text"))
+    return slim.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set digest (two longs), n-grams, band hashes."""
+    """doc_id, text_key, set digest (two longs), n-grams, band hashes."""
 
     def start():
         signer = Signer(bands, rows)
@@ -119,12 +125,12 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 low.append(int(h[1]))
                 size.append(len(own))
                 keys.append(signer(own) if len(own) else np.empty(0, np.int64))
-            arrays = [batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "d1", "d2", "n_ngrams", "keys"])
+            arrays = [batch.column(0), batch.column(2), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "d1", "d2", "n_ngrams", "keys"])
 
         return step
 
-    return map_batches(texts, start, "doc_id long, d1 long, d2 long, n_ngrams long, keys array<long>")
+    return map_batches(texts, start, "doc_id long, text_key long, d1 long, d2 long, n_ngrams long, keys array<long>")
 
 
 def _overlaps(sets: list[np.ndarray], most_cells: int = 4_000_000) -> np.ndarray:
@@ -192,69 +198,98 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links of every document.
+def _node() -> Column:
+    return F.xxhash64("d1", "d2")
 
-    class_id: the smallest id of its group of linked documents; n_copies: rows with the same
-    n-gram set, itself included; n_links: other sets (classes of copies) at ``threshold``."""
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): doc_id, text_key, d1, d2 of every row, and of every set (d1, d2) its
+    representative row (rep: last, doc_id, text_key), n_copies, label of its group, n_links."""
     texts = _texts(docs, id_col, text_col)
     bands, rows = choose_bands(threshold, recall)
     signed = materialise(signatures(texts, n, bands, rows), "signatures")
-    copies = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    copies = materialise(copies, "copies")
-    reps = signed.join(copies.where(F.col("rep").isNotNull()), ["d1", "d2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "d1", "d2", "n_ngrams", "keys").dropDuplicates(["rep", "d1", "d2"])
-    # the rows of the table are now known by (rep, d1, d2); rep alone may repeat if ids do
-    reps = reps.withColumn("node", F.xxhash64("rep", "d1", "d2"))
-    banded = materialise(reps.where("n_ngrams > 0").select("rep", "node", F.posexplode("keys").alias("band", "key")), "bands")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("rep")
+    nodes = signed.groupBy("d1", "d2").agg(rep, F.count("*").alias("n_copies"), F.first("n_ngrams").alias("n_ngrams"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes.withColumn("node", _node()), "nodes")
+    banded = nodes.where("n_ngrams > 0").select("node", "n_ngrams", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(buckets, ["band", "key"]), "members")
     # a home is a populous bucket: the most populous one that any member of one's own buckets
     # is in, so that a large group has one home although its members share various buckets
     first = members.groupBy("node").agg(F.max(F.struct("n", "band", "key")).alias("h"))
     within = members.select("node", "band", "key").join(first, "node").groupBy("band", "key").agg(F.max("h").alias("h"))
-    home = members.select("node", "rep", "band", "key").join(within, ["band", "key"]).groupBy("node").agg(F.max("h").alias("h"), F.min("rep").alias("rep"))
-    home = materialise(home.select("node", "rep", "h.band", "h.key"), "home")
-    parts = home.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts"))
+    home = members.select("node", "n_ngrams", "band", "key").join(within, ["band", "key"]).groupBy("node").agg(F.max("h").alias("h"), F.first("n_ngrams").alias("n_ngrams"))
+    home = materialise(home.select("node", "n_ngrams", "h.band", "h.key"), "home")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS))).cast("long")
+    parts = home.groupBy("band", "key").agg(parts.alias("parts"))
     blocks = F.xxhash64("band", "key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")
-    home = materialise(home.join(parts, ["band", "key"]).select("node", "rep", blocks), "blocks")
-    held = members.select("node", "band", "key").join(home.select("node", "block"), "node").select("band", "key", "block").distinct()
+    home = materialise(home.join(parts, ["band", "key"]).select("node", blocks), "blocks")
+    held = members.select("node", "band", "key").join(home, "node").select("band", "key", "block").distinct()
     other = held.select("band", "key", F.col("block").alias("other"))
     meet = held.join(other, ["band", "key"]).where("block <= other").select("block", "other").distinct()
     meet = materialise(meet, "meetings")
-    # texts are the large side at any size: a plan that doesn't change as candidates grow
-    wanted = texts.hint("merge").join(home, texts["doc_id"] == home["rep"]).select("node", "block", "rep", "text")
-    sets = _sets(wanted, n)
+    discard(members)
+    wanted = nodes.join(home, "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.text_key").alias("row"))
+    sets = _sets(texts, bloom(wanted), n).join(home, "node")
     ends = meet.select(F.col("block").alias("at"), "block", "other").unionByName(meet.where("block <> other").select(F.col("other").alias("at"), "block", "other"))
     dealt = sets.withColumnRenamed("block", "at").join(ends, "at").withColumn("pair", F.xxhash64("block", "other"))
     dealt = dealt.repartition("pair", "block", "other").sortWithinPartitions("pair", "block", "other", "node")
     linked = materialise(_links(dealt, threshold), "links")
     counts = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labels = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    named = reps.select("node", "rep", "d1", "d2").join(labels, F.col("node") == F.col("id"), "left").join(counts, "node", "left")
-    named = materialise(named.select("rep", "d1", "d2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    classes = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = named.join(classes, "label").select("d1", "d2", "class_id", "n_links")
-    found = copies.join(named, ["d1", "d2"], "left").select("d1", "d2", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", "class_id", "n_copies", "n_links")
+    named = nodes.drop("keys", "n_ngrams").join(labels.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
+    named = named.select("d1", "d2", "rep", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("doc_id", "text_key", "d1", "d2"), materialise(named, "named")
 
 
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """The candidates' n-gram sets, whose node is computed again to tell apart rows that
-    repeat an id with another text."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links of every document.
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets, d1, d2 = [], [], []
-        for text in batch.column(3).to_pylist():
-            own = ngram_set(text, n)
-            h = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
-            sets.append(own.tobytes())
-            d1.append(int(h[0]))
-            d2.append(int(h[1]))
-        arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["node", "block", "rep", "d1", "d2", "ngrams"])
+    class_id: the smallest id of its group of linked documents; n_copies: rows with the same
+    n-gram set, itself included; n_links: other sets (classes of copies) at ``threshold``."""
+    rows, nodes = _grouped(docs, id_col, text_col, n, threshold, recall, block)
+    classes = nodes.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"))
+    found = nodes.join(classes, "label").select("d1", "d2", "class_id", "n_copies", "n_links")
+    return rows.join(found, ["d1", "d2"]).select("doc_id", "class_id", "n_copies", "n_links")
+
+
+def bloom(rows: DataFrame) -> np.ndarray:
+    """A filter of the longs in column ``row``, in words of 64 bits.  Its size follows their
+    number up to a bound; beyond that it lets more pass, never fewer."""
+    words = 1 << max(4, min(BLOOM_WORDS, rows.count() * BLOOM_BITS // 64 + 1).bit_length() - 1)
+    hashed = rows.select(F.explode(F.array(*(F.xxhash64(F.lit(k), "row") for k in range(BLOOM_HASHES)))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("h"), F.lit(64)).cast("int"))
+    held = hashed.groupBy(F.pmod(F.shiftright("h", 6), F.lit(words)).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    out = np.zeros(words, np.int64)
+    found = held.toArrow()  # at most a row a word
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _sets(texts: DataFrame, filter_: np.ndarray, n: int) -> DataFrame:
+    """node and n-gram set of the rows that pass the filter, in one more pass over the texts;
+    what passes by chance finds no node of its own later."""
+    sent = texts.sparkSession.sparkContext.broadcast(filter_)  # at most 8 * BLOOM_WORDS bytes
+    hashes = F.array(*(F.xxhash64(F.lit(k), F.xxhash64("doc_id", "text_key")) for k in range(BLOOM_HASHES)))
+
+    def start():
+        words = sent.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            h = batch.column(1).flatten().to_numpy().reshape(-1, BLOOM_HASHES)
+            inside = ((words[(h >> 6) % len(words)] >> (h % 64)) & 1).all(axis=1)
+            sets, digests = [], []
+            for text in batch.column(0).filter(pa.array(inside)).to_pylist():
+                own = ngram_set(text, n).tobytes()
+                sets.append(own)
+                digests.append(xxhash.xxh3_128_digest(own))
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sets, pa.binary())], ["d1", "d2", "ngrams"])
+
+        return step
 
-    made = map_batches(texts, lambda: step, "node long, block long, rep long, d1 long, d2 long, ngrams binary")
-    return made.where(F.xxhash64("rep", "d1", "d2") == F.col("node")).select("node", "block", "ngrams")
+    made = map_batches(texts.select("text", hashes.alias("hashes")), start, "d1 long, d2 long, ngrams binary")
+    return made.select(_node().alias("node"), "ngrams")
 
 
 def _links(dealt: DataFrame, threshold: float) -> DataFrame:
@@ -290,15 +325,12 @@ def _links(dealt: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("node", "at", "block", "other", "ngrams").mapInArrow(run, "node long, n_links long, root long")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near duplicates: the one of
-    the smallest id stays, and of rows that repeat that id, one.  Rows without an id stay
-    unless a row with one belongs to their group."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col("class_id") == F.col("doc_id")).select(F.col("doc_id").alias("__tessella_id")).distinct()
-    rows = docs.withColumn("__tessella_own", docs[id_col].cast("long"))
-    once = rows.join(kept, F.col("__tessella_own") == F.col("__tessella_id"), "left_semi")
-    once = once.dropDuplicates(["__tessella_own"]).select(*names)
-    alone = found.where(F.col("doc_id").isNull() & F.col("class_id").isNull()).limit(1).count()
-    return once.unionByName(rows.where("__tessella_own is null").select(*names)) if alone else once
+    the smallest id stays (rows without one come last), and of rows that repeat it, one."""
+    own, key = "__tessella_id", "__tessella_key"
+    _, nodes = _grouped(docs, id_col, text_col, n, threshold, recall, block)
+    kept = nodes.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("kept_id"), F.col("rep.text_key").alias("kept_key"))
+    rows = docs.withColumns({own: docs[id_col].cast("long"), key: F.xxhash64(text_or_empty(docs[text_col]))})
+    once = rows.join(kept, (F.col(key) == F.col("kept_key")) & F.col(own).eqNullSafe(F.col("kept_id")), "left_semi")
+    return once.dropDuplicates([own, key]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -190,6 +190,25 @@ def test_odd_rows(spark):
     assert jaccard.near_duplicates(empty).collect() == [] and jaccard.keep_one_of_each(empty).collect() == []
 
 
+def test_ids_held_by_different_texts_and_rows_without_one(spark):
+    one, two, three = ("word%d " % k + " ".join(f"w{k}x{i}" for i in range(60)) for k in range(3))
+    rows = [(1, one), (1, two), (1, one), (None, two + " more"), (None, three), (None, three + " more"), (None, "alone"), (5, "alone")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rep string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect())
+    assert got == Counter([(1, 1, 0), (1, 1, 1), (1, 1, 0), (None, 1, 1), (None, None, 1), (None, None, 1), (None, 5, 0), (5, 5, 0)])
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in jaccard.keep_one_of_each(df).collect()))
+    assert len(kept) == 4 and kept[1:] == sorted([(1, one), (1, two), (5, "alone")]) and kept[0][1] in (three, three + " more")
+
+
+def test_bloom_filter_loses_nothing(spark):
+    rows = spark.range(5_000).select(F.xxhash64("id").alias("row"))
+    words = jaccard.bloom(rows)
+    texts = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit(1).cast("long").alias("text_key"))
+    keyed = texts.select(F.xxhash64("doc_id", "text_key").alias("row"))
+    assert jaccard._sets(texts, jaccard.bloom(keyed), 5).count() == 5_000
+    assert jaccard._sets(texts, words, 5).count() < 500 and (jaccard.bloom(rows.limit(0)) == 0).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     labels = {r["id"]: r["label"] for r in jaccard.components(edges).collect()}
