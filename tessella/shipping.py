@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
         return
     archive = Path(tempfile.mkdtemp(prefix="tessella-")) / "tessella.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
+        for path in sorted([*root.rglob("*.py"), *root.rglob("*.toml")]):
             out.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
     _sent.add(app)
