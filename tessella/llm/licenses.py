@@ -1,6 +1,6 @@
 """Operator 9: licence scans by a positional index of rare words.
 
-Licence templates are short texts with mandatory key phrases.  Their words are the index:
+Licence templates are notices and whole paragraphs with mandatory key phrases.  Their words are the index:
 word -> (template, position).  How rare each of these words is comes from all files (one
 counter a word).  Every template is looked up by its own rarest words, two more than may be
 missing from it; each posting votes for the places where the template could begin in the file.
@@ -12,12 +12,16 @@ Base labels, by contract, are given wherever the words of a fixed phrase stand i
 
 Defined results: words are runs of a-z (A-Z lower-cased), digits and non-ASCII characters; a
 null or empty text has no words, no labels and score 0; the score is 1 with a base label, else
-the best template's share of words over all places of the file; a null id stays null.
+the best template's share of words over all places of the file; a null id stays null; very long
+texts are read whole, in memory that grows with them; an empty table gives no rows; columns of
+the input, of any name, don't clash with those of the result.
 """
 
 from __future__ import annotations
 
+import tomllib
 from collections import Counter, defaultdict
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +38,13 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: Fixed values: (label, text of a public licence notice, phrases that must stand in it).
-TEMPLATES = [
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license", "version 3"]),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", ["gnu lesser general public license"]),
-    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ["apache license", "version 2 0"]),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", ["apache license", "version 2 0"]),
-    ("mit-notice", "Released under the MIT License.", ["mit license"]),
-    ("mit-text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', ["permission is hereby granted", "free of charge"]),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software", "public domain"]),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0.", ["cc by sa 4 0"]),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution 4 0"]),
-]
+def read_templates(toml: str) -> list[tuple[str, str, list[str]]]:
+    """(label, text, phrases that must stand in it) of every template of a TOML text."""
+    return [(t["label"], t["text"], t["phrases"]) for t in tomllib.loads(toml)["template"]]
+
+
+#: Notices and paragraphs of public licences, from the data file of this package.
+TEMPLATES = read_templates(files("tessella.llm").joinpath("licenses.toml").read_text("utf-8"))
 
 #: How far a word may stand from its place; share of a template's words that must be there;
 #: of the words looked up, how many must be there at least.
