@@ -2,14 +2,15 @@
 
 HTML is parsed into an ordered sequence of structs: texts, and references to media by the
 digest in their address, with their captions.  References are joined to a media table by that
-digest, and what is found comes back at the reference's own position, so that positions and
-captions stay aligned.  Payloads are stored losslessly as 8-bit mono WAV; features are computed
+digest (digests that very many references name apart from the others), and what is found comes
+back at the reference's own position, so that positions and captions stay aligned.  Payloads are stored losslessly as 8-bit mono WAV; features are computed
 from the stored bytes as they are read back.
 
 Defined results: a null text is stored as 64 bytes of 0, as an empty one; equal texts have one
 digest and so equal values; references without a digest, or whose digest the media table
 lacks, stay in the sequence unresolved (null payload columns); media that repeat a digest count
-once; null HTML is an empty sequence; a null id stays null.
+once; null HTML is an empty sequence; a null id stays null; very long texts and pages are read
+whole; an empty table gives no rows; columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, inputs, map_batches, materialise, text_or_empty
+from tessella.llm.common import bounded_batches, inputs, join_hot, map_batches, materialise, text_or_empty
 
 #: Payloads are padded with bytes of 0 to a positive multiple of this.
 BLOCK = 64
@@ -171,9 +172,22 @@ def features(media: DataFrame) -> DataFrame:
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row an item of a sequence, media references with the columns of ``media`` (one row
-    a digest); a digest that very many references name is an ordinary skewed join key."""
+    a digest)."""
     rows = sequences.select(id_col, F.explode("items").alias("item")).select(id_col, "item.*")
-    return rows.join(media, "digest", "left").select(id_col, "position", "kind", "text", "caption", *media.columns)
+    asks = materialise(rows.where("digest is not null"), "references")
+    names = [id_col, "position", "kind", "text", "caption", *media.columns]
+    found = join_hot(asks, media, ["digest"]).select(*names)
+    return found.unionByName(rows.where("digest is null").select(*names[:5], "digest"), allowMissingColumns=True)
+
+
+def references(sequences: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row a sequence and digest that it refers to, with the positions and captions of
+    these references in the order of the page and the number of texts around them."""
+    refs = F.filter("items", lambda x: x["digest"].isNotNull())
+    rows = sequences.select(id_col, F.size(F.filter("items", lambda x: x["kind"] == "text")).alias("n_texts"), refs.alias("refs"))
+    rows = rows.select(id_col, "n_texts", "refs", F.explode(F.array_distinct(F.transform("refs", lambda x: x["digest"]))).alias("digest"))
+    own = F.filter("refs", lambda x: x["digest"] == F.col("digest"))
+    return rows.select(id_col, "digest", "n_texts", F.transform(own, lambda x: x["position"]).alias("positions"), F.transform(own, lambda x: x["caption"]).alias("captions"))
 
 
 def interleave(resolved: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("digest", "payload_bytes", "feature")) -> DataFrame:
@@ -182,14 +196,26 @@ def interleave(resolved: DataFrame, id_col: str = "doc_id", columns: tuple[str,
     return resolved.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """A page of a text's own paragraphs between two references to its payload: a figure with
+    a caption, and at the end a plain element with a title."""
+    plain = text
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        plain = F.replace(plain, F.lit(sign), F.lit(entity))
+    address = F.concat(F.lit('<audio src="sha256:'), digest, F.lit('"'))
+    figure = F.concat(F.lit("<article><figure>"), address, F.lit("></audio><figcaption>"), caption, F.lit("</figcaption></figure><p>"))
+    return F.concat(figure, F.regexp_replace(plain, "\n+", "</p><p>"), F.lit("</p>"), address, F.lit(' title="whole text"></audio></article>'))
+
+
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text as a stored payload that its document refers to from HTML, read back
-    through the reference: doc_id, n_bytes, caption, position and the payload's features."""
+    """Every text as a stored payload that its own page refers to, read back through these
+    references: doc_id, n_bytes, the payload's features, positions, captions, n_texts."""
     media = store(docs, text_col)
     slim = inputs(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text"))
     size = F.octet_length(F.encode("text", "UTF-8")).cast("string")
     digest = F.sha2(payload_of(F.col("text")), 256)
-    html = F.concat(F.lit("<article><p>Recorded text</p><figure><audio src=\"sha256:"), digest, F.lit('"></audio><figcaption>'), size, F.lit("</figcaption></figure></article>"))
-    refs = parse_html(slim.select("doc_id", html.alias("html")), "doc_id", "html")
-    items = resolve(refs, features(media)).where(F.col("kind") == "media")
-    return items.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+    pages = slim.select("doc_id", page_of(F.col("text"), digest, size).alias("html"))
+    refs = materialise(references(parse_html(pages, "doc_id", "html")), "references")
+    found = join_hot(refs, features(media), ["digest"])
+    n_bytes = F.get("captions", F.lit(0)).cast("long").alias("n_bytes")  # the figure's
+    return found.select("doc_id", n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "positions", "captions", "n_texts")

@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessella.llm import licenses, media
+from tessella.llm import common, licenses, media
 
 ODD = ["", None, "x" * 64, "x" * 63, "é" * 100_000, "a\0b", "same", "same", "Gnu  GENERAL-public license cc by cc by é1 MIT License"]
 
@@ -28,6 +28,9 @@ def check_media(docs):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert r["media_bytes"] == len(payload) + 44 and r["feature"]
+        paragraphs = [p for p in re.split("\n+", text or "") if p.split()]
+        assert r["n_texts"] == len(paragraphs) and list(r["positions"]) == [0, len(paragraphs) + 1]
+        assert list(r["captions"]) == [str(len(raw)), "whole text"]
     by_text = {}
     for doc_id, text in texts:
         assert by_text.setdefault(text or "", got[doc_id]["media_sha256"]) == got[doc_id]["media_sha256"]
@@ -60,6 +63,24 @@ def test_interleaving_keeps_order_and_captions(spark):
     assert whole[4][0]["feature"] == "f1"
 
 
+def test_digests_that_many_references_name(spark, monkeypatch):
+    """Hot digests, with media and without, give the rows that a plain join gives."""
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    names = [hashlib.sha256(bytes([k])).hexdigest() for k in range(6)]
+    html = [f"<p>t<img src={names[0]}><img src={names[1 if k % 2 else 5]}><img src={names[2 + k % 3]}><img src=plain.png>" for k in range(40)]
+    sequences = media.parse_html(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"))
+    payloads = spark.createDataFrame([(d, k) for k, d in enumerate(names[:4])], "digest string, payload_bytes long")
+    got = Counter((r["doc_id"], r["position"], r["digest"], r["payload_bytes"]) for r in media.resolve(sequences, payloads).collect())
+    size = {d: k for k, d in enumerate(names[:4])}
+    assert got == Counter((r["doc_id"], x["position"], x["digest"], size.get(x["digest"])) for r in sequences.collect() for x in r["items"])
+
+
+def test_a_very_long_page(spark):
+    page = "<p>word</p><img src=x.png>" * 100_000
+    items = media.parse_html(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["items"]
+    assert len(items) == 200_000 and items[-1]["position"] == 199_999
+
+
 def test_pages_parse(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = media.parse_html(pages).collect()
@@ -94,7 +115,7 @@ def test_license_base(spark, sf_dir):
 
 
 def test_license_templates(spark):
-    notice = licenses.TEMPLATES[7][1]
+    notice = next(t for k, t, _ in licenses.TEMPLATES if k == "mit-text")
     cut = notice.split()
     rows = [(1, "intro words here " + notice + " and more"), (2, " ".join(cut[:9] + ["inserted"] + cut[9:])), (3, " ".join(cut[: len(cut) // 2])), (4, " ".join(sorted(cut))), (5, "nothing of the kind with the permission of any person")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -123,7 +144,8 @@ def test_many_licenses_in_one_file(spark):
     rows = list(enumerate(["\n".join(four), "\n".join(every), "\n".join(reversed(every)), "\n".join(holes), "a b c " + " x y z ".join(every) + " " + every[0][:40]] + every))
     # files that make the words of the short notices common
     rows += [(100 + k, "released under the mit license version 2 0 cc by nc sa 4") for k in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(k, t, "x", 0.5) for k, t in rows], "doc_id long, text string, labels string, score double")
     got = {r["doc_id"]: r["found"] for r in licenses.scan(docs).collect()}
-    assert got == {k: labels_by_force(t) for k, t in rows}
+    forced = {t: labels_by_force(t) for t in {t for _, t in rows}}
+    assert got == {k: forced[t] for k, t in rows}
     assert {x.split("=")[0] for x in got[1].split(",")} == {k for k, _ in notices}
