@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.arrays import bound, running
 from tessella.llm.common import inputs, materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,8 +42,8 @@ GENERALISE, REMOVE = 0.9, 0.995
 #: copies of one don't count.
 LEAST_CONTEXTS = 3
 
-#: Code points of a piece of a text, and values of a block of running sums.
-PIECE, RUN = 256, 64
+#: Code points of a piece of a text.
+PIECE = 256
 
 _MARK, _NOT_MARK = "\x01", "\x02"
 _DOT_IN_DOMAIN = r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])"
@@ -59,28 +60,6 @@ _NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "pho
 _NO_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def running(values: Column, zero: Column, add) -> Column:
-    """For each value the associative ``add`` of all before it.  By blocks, since an array
-    that grows by one is copied each time."""
-
-    def grown(own: Column, first: Column) -> Column:
-        return F.aggregate(own, F.array(first), lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), x))))
-
-    def by_blocks(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda own: F.aggregate(own, zero, add))
-        return bound(grown(totals, zero), lambda firsts: F.flatten(F.transform(blocks, lambda own, k: F.slice(grown(own, F.get(firsts, k)), F.lit(1), F.size(own)))))
-
-    def cut(own: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda k: F.slice(own, k * RUN + 1, F.lit(RUN)))
-
-    return bound(values, lambda own: F.when(F.size(own) == 0, own).otherwise(bound(cut(own), by_blocks)))
-
-
 def matches(text: Column, pattern: str | Column) -> Column:
     """All matches, leftmost first, not overlapping: array of (start, end, hit) in code
     points, from the gaps that a split leaves between them."""

@@ -6,9 +6,9 @@ is named by 96 bits of its digest.  Its first occurrence, by document id and pla
 every later one is a repeat.  Runs of adjacent repeats of at least ``min_bytes`` are removed.
 
 Defined results: a null text counts as empty and stays null in the filtered table; texts
-shorter than the smallest chunk are one chunk; rows that repeat an id are one document: what
-stands at the same place of two of them is first in both; a null id sorts behind all others,
-so its repeats go first; an empty table gives no rows.
+shorter than the smallest chunk are one chunk; rows of the same id, or of none, and the same
+text are one document, while other texts of that id are documents of their own; a null id
+sorts behind all others, so its repeats go first; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.arrays import bound
 from tessella.llm.common import bounded_batches, inputs, map_batches, materialise, text_or_empty
 
 #: Smallest and largest chunk in bytes; an end is found every 2**MASK_BITS bytes on average.
@@ -100,24 +101,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """doc_id, text_key and the spans to remove: start, end (bytes) and the document that
     keeps the first occurrence of the span's first chunk."""
     found = materialise(chunks(_texts(docs, id_col, text_col)), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    # the text tells documents apart only where texts share an id: that is looked up first,
+    # as its key would travel with every chunk
+    own = found.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    shared = own.where("a <> b").limit(1).count()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *["text_key"] * shared, "start")
     firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
     later = found.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
     lists = later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("first.doc_id").alias("first_doc_id")))).alias("repeated"))
-    # adjacent chunks become runs; a run is known by the chunk that has no neighbour before it
-    closed = F.aggregate(
-        "repeated",
-        F.expr("array(cast(null as struct<start:int,end:int,first_doc_id:bigint>))"),
-        lambda runs, x: F.when(
-            F.element_at(runs, -1)["end"] == x["start"],
-            F.concat(
-                F.slice(runs, F.lit(1), F.size(runs) - 1),
-                F.array(F.struct(F.element_at(runs, -1)["start"].alias("start"), x["end"].alias("end"), F.element_at(runs, -1)["first_doc_id"].alias("first_doc_id"))),
-            ),
-        ).otherwise(F.concat(runs, F.array(x))),
-        lambda runs: F.filter(runs, lambda r: r.isNotNull() & (r["end"] - r["start"] >= min_bytes)),
-    )
-    return lists.select("doc_id", "text_key", closed.alias("spans")).where(F.size("spans") > 0)
+    spans = F.filter(_runs(F.col("repeated")), lambda r: r["end"] - r["start"] >= min_bytes)
+    return lists.select("doc_id", "text_key", spans.alias("spans")).where(F.size("spans") > 0)
+
+
+def _runs(chunks: Column) -> Column:
+    """Sorted chunks (start, end, first_doc_id), of which adjacent ones become runs: a run is
+    known by the chunk that has no neighbour before it and ends where the chunk before the
+    next run does."""
+
+    def closed(own: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(own, k - 1)["end"])
+        heads = F.transform(own, lambda x, k: F.when((k == 0) | (before(k) != x["start"]), F.struct(x["start"].alias("start"), x["first_doc_id"].alias("first_doc_id"), before(k).alias("before"))))
+        last = F.element_at(own, -1)["end"]
+        ended = bound(F.filter(heads, lambda h: h.isNotNull()), lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), F.coalesce(F.get(h, k + 1)["before"], last).alias("end"), x["first_doc_id"].alias("first_doc_id"))))
+        return ended
+
+    return bound(chunks, closed)
 
 
 def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:

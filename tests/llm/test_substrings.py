@@ -95,3 +95,20 @@ def test_nulls_repeats_clashing_names_and_empty(spark):
     assert len(got) == 6
     assert substrings.remove_repeats(spark.createDataFrame([], schema)).collect() == []
     assert substrings.deduplicated(df).where(F.col("doc_id") == 1).count() == 2
+
+
+def test_other_texts_of_an_id_are_other_documents(spark):
+    head, tails = prose(40, 7), [prose(60, 20 + k) for k in range(6)]
+    rows = [(1, f"{head} {tails[0]}"), (1, f"{head} {tails[1]}"), (None, f"{head} {tails[2]}"), (None, f"{head} {tails[2]}"), (None, tails[3])]
+    out = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = [r["text"] for r in out.collect()]
+    assert len(kept) == 5 and sum(head in t for t in kept) == 1 and all(any(t[200:] in k for k in kept) for t in tails[:4])
+
+
+def test_a_very_long_text_of_repeated_chunks(spark):
+    """Very many runs in one document: no step that grows with their square."""
+    line = prose(9, 3)
+    text = "".join(f"{line} {prose(9, 100 + k)}\n" for k in range(6_000))
+    out = substrings.deduplicated(spark.createDataFrame([(1, text), (2, line + " " + prose(30, 5))], "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == expected([(1, text), (2, line + " " + prose(30, 5))])
