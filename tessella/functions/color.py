@@ -11,6 +11,8 @@ RGB_TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.072175
 XYZ_TO_RGB = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
 WHITE = (0.95047, 1.0, 1.08883)
 EPSILON, KAPPA = 0.008856, 903.3
+#: Where the inverse's cubes begin, of f and of L.
+CUBE_FROM, L_CUBE_FROM = 0.2068966, 8.0
 LUMA = (0.299, 0.587, 0.114)
 
 
@@ -65,8 +67,8 @@ def with_rgb(df: DataFrame, prefix: str = "lab_", names: tuple[str, str, str] =
     linear = [f"__lin{k}" for k in range(3)]
     fy = (F.col(f"{prefix}l") + 16) / 116
     df = df.withColumns({f[0]: F.col(f"{prefix}a") / 500 + fy, f[1]: fy, f[2]: fy - F.col(f"{prefix}b") / 200})
-    cube = lambda c: F.when(c * c * c > EPSILON, c * c * c).otherwise((116 * c - 16) / KAPPA)
-    y = F.when(F.col(f"{prefix}l") > KAPPA * EPSILON, F.col(f[1]) * F.col(f[1]) * F.col(f[1])).otherwise(F.col(f"{prefix}l") / KAPPA)
+    cube = lambda c: F.when(c > CUBE_FROM, c * c * c).otherwise((116 * c - 16) / KAPPA)
+    y = F.when(F.col(f"{prefix}l") > L_CUBE_FROM, F.col(f[1]) * F.col(f[1]) * F.col(f[1])).otherwise(F.col(f"{prefix}l") / KAPPA)
     xyz = [cube(F.col(f[0])) * WHITE[0], y * WHITE[1], cube(F.col(f[2])) * WHITE[2]]
     df = df.withColumns({name: sum(c * m for c, m in zip(xyz, row, strict=True)) for name, row in zip(linear, XYZ_TO_RGB, strict=True)})
     return df.withColumns({name: half_up(from_linear(F.col(c)) * 255) for name, c in zip(names, linear, strict=True)}).drop(*f, *linear)

@@ -27,9 +27,11 @@ def color_stats(beads: DataFrame, palette: DataFrame, size: int, board: int | No
 
 
 def ranked(stats: DataFrame) -> DataFrame:
-    """Stats with their place by total, then key (in binary order), and by board count."""
-    total = Window.partitionBy("image_id").orderBy(F.desc("total"), "color_key")  # one row a colour
-    board = Window.partitionBy("image_id").orderBy(F.desc("board_count"), F.desc("total"), "color_key")
+    """Stats with their place by total, then key (in the order of Unicode collation, not of
+    bytes), and by board count."""
+    key = F.collate(F.col("color_key"), "UNICODE")
+    total = Window.partitionBy("image_id").orderBy(F.desc("total"), key)  # one row a colour
+    board = Window.partitionBy("image_id").orderBy(F.desc("board_count"), F.desc("total"), key)
     return stats.withColumns({"by_total": F.row_number().over(total), "by_board": F.row_number().over(board)})
 
 

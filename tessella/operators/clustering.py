@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.operators import quantise
 from tessella.operators.lineage import written
-from tessella.operators.matching import LAB, nearest_of_own, with_palette_lab
+from tessella.operators.matching import LAB, nearest_of_own, small, with_palette_lab
 
 
 def seeds(points: DataFrame, k: int) -> DataFrame:
-    """The first centroids, without chance: for each image the colours that come first in the
-    order of a hash; at most k."""
-    order = Window.partitionBy("image_id").orderBy(F.xxhash64("r", "g", "b"), "r", "g", "b")  # one row a colour
-    return points.withColumn("label", F.row_number().over(order) - 1).where(F.col("label") < k).select("image_id", "label", *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
+    """The first centroids of each image, at most k: image_id, label, p_l, p_a, p_b.
+
+    Each next one is drawn with a chance in proportion to its cells times the square of its
+    distance from those before, by hashes instead of random numbers: of -log(u) / weight the
+    smallest wins.  A colour that is a centroid already has no chance."""
+    chance = lambda step: (F.pmod(F.xxhash64(F.lit(step), "image_id", "r", "g", "b"), F.lit(2**40)) + 1) / F.lit(2.0**40 + 1)
+    lab = [F.col(c).alias(f"p_{c[-1]}") for c in LAB]
+    open_ = points.withColumn("weight", F.col("w").cast("double"))
+    found = None
+    for step in range(k):
+        race = -F.log(chance(step)) / F.col("weight")
+        drawn = open_.where(F.col("weight") > 0).groupBy("image_id").agg(F.min(F.struct(race.alias("race"), "r", "g", "b", *lab)).alias("best"))
+        drawn = written(drawn.select("image_id", F.lit(step).alias("label"), "best.p_l", "best.p_a", "best.p_b"))
+        found = drawn if found is None else found.unionByName(drawn)
+        apart = color.with_delta_e(open_.join(drawn.drop("label"), "image_id"), LAB, ("p_l", "p_a", "p_b"))
+        nearer = F.col("w") * F.col("delta_e") * F.col("delta_e")
+        weight = nearer if step == 0 else F.least(F.col("weight"), nearer)
+        open_ = written(apart.withColumn("weight", weight).select(*points.columns, "weight"))
+    return found
 
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -50,7 +65,7 @@ def kmeans(cells: DataFrame, k: int, max_iterations: int = 30) -> tuple[DataFram
 def _cluster_beads(centroids: DataFrame, palette: DataFrame) -> DataFrame:
     """image_id, label, brand, code, ord: the bead nearest to each centre."""
     side = with_palette_lab(palette).select("brand", "code", "ord", *(F.col(c).alias(f"q_{c[-1]}") for c in LAB))
-    pairs = color.with_delta_e(centroids.crossJoin(F.broadcast(side)), ("p_l", "p_a", "p_b"), ("q_l", "q_a", "q_b"))  # k rows an image
+    pairs = color.with_delta_e(centroids.crossJoin(small(side)), ("p_l", "p_a", "p_b"), ("q_l", "q_a", "q_b"))  # k rows an image
     beads = pairs.groupBy("image_id", "label").agg(F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best"))
     return beads.select("image_id", "label", "best.brand", "best.code", "best.ord")
 

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the session's shared folder, where one is set; else as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """``df`` checkpointed at once, so plans that call this run jobs when they are made.
+
+    The folder is the session's (``spark.checkpoint.dir``, which driver and executors share);
+    where none is set, a temporary one is made for a local master, else it is an error."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+    return df.checkpoint()

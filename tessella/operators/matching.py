@@ -26,6 +26,11 @@ def distinct_colors(cells: DataFrame) -> DataFrame:
     return color.with_lab(cells.where(F.col("r").isNotNull()).select("r", "g", "b").distinct())
 
 
+def small(side: DataFrame) -> DataFrame:
+    """``side``, marked for broadcast if its size, checked, allows it."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
 def _measured(pairs: DataFrame) -> DataFrame:
     return color.with_delta_e(pairs, LAB, ("p_l", "p_a", "p_b"))
 
@@ -38,8 +43,7 @@ def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """r, g, b with brand, code, ord and delta_e of the nearest row of one palette.  Every
     colour is compared with every palette row, as the measure has no index."""
     side = _side(with_palette_lab(palette))
-    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = _measured(colors.crossJoin(F.broadcast(side) if small else side))
+    pairs = _measured(colors.crossJoin(small(side)))
     best = F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best")
     return pairs.groupBy("r", "g", "b").agg(best).select("r", "g", "b", "best.brand", "best.code", "best.ord", "best.delta_e")
 

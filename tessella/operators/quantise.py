@@ -56,7 +56,7 @@ def quantise(cells: DataFrame, palette: DataFrame, max_colors: int, confetti_rat
 def with_distance(beads: DataFrame, palette: DataFrame) -> DataFrame:
     """Beads with the distance of their cell's colour (r, g, b) from their bead's."""
     side = with_palette_lab(palette).select("ord", *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
-    pairs = color.with_lab(beads.where("ord is not null").select("r", "g", "b", "ord").distinct()).join(F.broadcast(side), "ord")
+    pairs = color.with_lab(beads.where("ord is not null").select("r", "g", "b", "ord").distinct()).join(matching.small(side), "ord")
     measured = color.with_delta_e(pairs, LAB, ("p_l", "p_a", "p_b")).select("r", "g", "b", "ord", "delta_e")
     return beads.drop("delta_e").join(measured, ["r", "g", "b", "ord"], "left")
 
@@ -153,9 +153,10 @@ def palette_lab(palette: DataFrame) -> DataFrame:
     return with_palette_lab(palette).select("ord", *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
 
 
-def counts(beads: DataFrame) -> DataFrame:
-    """image_id, brand, code, n."""
-    return beads.where("code is not null").groupBy("image_id", "brand", "code").agg(F.count("*").alias("n"))
+def counts(beads: DataFrame, first: bool = False) -> DataFrame:
+    """image_id, brand, code, n; with ``first`` also the place (cy, cx) first seen."""
+    seen = [F.min(F.struct("cy", "cx")).alias("first_seen")] * first
+    return beads.where("code is not null").groupBy("image_id", "brand", "code").agg(F.count("*").alias("n"), *seen)
 
 
 def summary(beads: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import color, strings
 
-#: Colours of empty cells, paper and grid lines.
-EMPTY, PAPER, LINES = "#f9fafb", "#f4dfb7", "#bfa883"
+#: Colours of empty cells, paper and its lines, grid lines and labels.
+EMPTY, PAPER, LINES, GRID_LINES, LABELS = "#f9fafb", "#f4dfb7", "#bfa883", "#9ca3af", "#374151"
 
 
 def label_size(cell: int, labels: bool) -> int:
@@ -37,10 +39,10 @@ def draw_list(beads: DataFrame, palette: DataFrame, cell: int, labels: bool = Fa
         "cy",
         (F.col("cx") * cell + margin).alias("px"),
         (F.col("cy") * cell + margin).alias("py"),
-        F.coalesce(color.rgb_to_hex(r, g, b), F.lit(EMPTY)).alias("fill_hex"),
+        F.when(r.isNotNull(), color.rgb_to_hex(r, g, b)).otherwise(EMPTY).alias("fill_hex"),
         F.col("code").alias("label"),
         F.when(F.col("code").isNotNull(), color.text_color(r, g, b)).alias("text_hex"),
-        *(color.rgb_to_hex(*(color.adjust(c, by) for c in (r, g, b))).alias(name) for name, by in stops.items()),
+        *(F.when(r.isNotNull(), color.rgb_to_hex(*(color.adjust(c, by) for c in (r, g, b)))).alias(name) for name, by in stops.items()),
     )
 
 
@@ -56,9 +58,44 @@ def board_draw_list(beads: DataFrame, palette: DataFrame, size: int, board_row:
 
 
 def count_report(counts: DataFrame, palette: DataFrame) -> DataFrame:
-    """Counts with the palette's names, empty where it has none."""
+    """Counts with the palette's names, empty where it has none; counts with ``first_seen``
+    also get their place in the report, by n, the first seen of equals first."""
     names = palette.groupBy("brand", "code").agg(F.min_by("name", "ord").alias("name"))
-    return counts.join(names, ["brand", "code"], "left").select("image_id", "brand", "code", F.coalesce("name", F.lit("")).alias("name"), "n")
+    order = Window.partitionBy("image_id").orderBy(F.desc("n"), "first_seen")  # one row a colour
+    place = [F.row_number().over(order).alias("place")] * ("first_seen" in counts.columns)
+    return counts.join(names, ["brand", "code"], "left").select("image_id", "brand", "code", F.coalesce("name", F.lit("")).alias("name"), "n", *place)
+
+
+def frame(spark: SparkSession, width: int, height: int, cell: int, labels: bool = False, round_: bool = False) -> DataFrame:
+    """What a pattern's drawing has besides its cells: kind, text, x1, y1, x2, y2, size,
+    color_hex.  Lines (none with round beads) have their width as size, axis labels that of
+    their font, and their middle at both ends."""
+    margin = label_size(cell, labels)
+    font = max(12.0, min(18.0, cell / 1.4))
+    line = float(max(1, int(cell / 20 + 0.5)))
+    at, half = F.col("id") * cell + F.lit(float(margin)), cell / 2
+
+    def rows(n: int, kind: str, text, x1, y1, x2, y2, size: float, hex_: str) -> DataFrame:
+        ends = (F.lit(v).cast("double").alias(k) if isinstance(v, (int, float)) else v.alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2), strict=True))
+        return spark.range(n).select(F.lit(kind).alias("kind"), text.alias("text"), *ends, F.lit(size).alias("size"), F.lit(hex_).alias("color_hex"))
+
+    none, number = F.lit(None).cast("string"), (F.col("id") + 1).cast("string")
+    out = []
+    if not round_:
+        out.append(rows(width + 1, "line", none, at, margin, at, margin + height * cell, line, GRID_LINES))
+        out.append(rows(height + 1, "line", none, margin, at, margin + width * cell, at, line, GRID_LINES))
+    if labels:
+        out.append(rows(width, "x_label", number, at + half, margin / 2, at + half, margin / 2, font, LABELS))
+        out.append(rows(height, "y_label", number, margin / 2, at + half, margin / 2, at + half, font, LABELS))
+    return functools.reduce(DataFrame.unionByName, out) if out else rows(0, "line", none, 0, 0, 0, 0, line, GRID_LINES)
+
+
+def page_layout(sizes: DataFrame) -> DataFrame:
+    """``page_geometry`` for a table of sizes (width, height)."""
+    lying = F.col("width") > F.col("height")
+    w, h = F.when(lying, 297.0).otherwise(210.0), F.when(lying, 210.0).otherwise(297.0)
+    scale = F.least((w - 30.0) / F.col("width"), h * 0.55 / F.col("height"))
+    return sizes.withColumns({"page_width": w, "page_height": h, "image_width": F.col("width") * scale, "image_height": F.col("height") * scale})
 
 
 def page_geometry(width: int, height: int) -> dict[str, float]:
@@ -69,29 +106,49 @@ def page_geometry(width: int, height: int) -> dict[str, float]:
     return {"page_width": page_w, "page_height": page_h, "image_width": width * scale, "image_height": height * scale}
 
 
+def _plain(value: float) -> str:
+    return str(float(value)).removesuffix(".0")
+
+
+def _number(value: Column) -> Column:
+    """A length as the shortest text of a double, whole numbers without a fraction."""
+    return F.regexp_replace(value.cast("double").cast("string"), r"\.0$", "")
+
+
 def svg_cells(beads: DataFrame, palette: DataFrame, cell: int) -> DataFrame:
-    """image_id, cx, cy, svg: the circle of each bead; lengths are in hundredths of a cell."""
+    """image_id, cx, cy, svg: of each bead its shadow, itself and its highlight."""
     found = beads.where("code is not null").join(_channels(palette).select("brand", "code"), ["brand", "code"])
-    at = lambda c: (F.col(c) * cell * 100 + cell * 50).cast("string")
+    x, y = (F.col(c) * F.lit(float(cell)) + cell / 2 for c in ("cx", "cy"))
     key = strings.escape_xml(color.color_key(F.col("brand"), F.col("code")))
-    circle = F.concat(F.lit('<circle data-bead="'), key, F.lit('" cx="'), at("cx"), F.lit('" cy="'), at("cy"), F.lit('" r="'), F.lit(str(max(100, cell * 42))), F.lit('" fill="url(#'), strings.gradient_id(F.col("brand"), F.col("code")), F.lit(')"/>'))
-    return found.select("image_id", "cx", "cy", circle.alias("svg"))
+    radius, shine = _plain(max(1, cell * 0.42)), _plain(max(0.75, cell * 0.08))
+    circle = lambda x, y, r, rest, name=(): F.concat(F.lit("<circle"), *name, F.lit(' cx="'), _number(x), F.lit('" cy="'), _number(y), F.lit(f'" r="{r}" fill="'), rest)
+    parts = [
+        circle(x + cell * 0.035, y + cell * 0.055, radius, F.lit('#000000" opacity="0.14"/>')),
+        circle(x, y, radius, F.concat(F.lit("url(#"), strings.gradient_id(F.col("brand"), F.col("code")), F.lit(')"/>')), (F.lit(' data-bead="'), key, F.lit('"'))),
+        circle(x - cell * 0.18, y - cell * 0.2, shine, F.lit('#ffffff" opacity="0.32"/>')),
+    ]
+    return found.select("image_id", "cx", "cy", F.concat(*parts).alias("svg"))
 
 
 def svg_documents(beads: DataFrame, palette: DataFrame, width: int, height: int, cell: int) -> DataFrame:
     """image_id, svg: one SVG text an image (its grid's size bounds it), beads in row order and
-    one gradient a colour in the order first seen."""
+    one gradient a gradient id in the order first seen."""
     circles = svg_cells(beads, palette, cell)
     body = circles.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "svg"))), lambda s: s["svg"]), "").alias("body"))
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     hexed = lambda by: color.rgb_to_hex(*(color.adjust(c, by) for c in (r, g, b)))
     stops = ((0, 34), (36, 0), (76, 0), (100, -36))
-    gradient = F.concat(F.lit('<radialGradient id="'), strings.gradient_id(F.col("brand"), F.col("code")), F.lit('" cx="32%" cy="28%" r="68%">'), *(x for at, by in stops for x in (F.lit(f'<stop offset="{at}%" stop-color="'), hexed(by), F.lit('"/>'))), F.lit("</radialGradient>"))
+    name = strings.gradient_id(F.col("brand"), F.col("code"))
+    gradient = F.concat(F.lit('<radialGradient id="'), name, F.lit('" cx="32%" cy="28%" r="68%">'), *(x for at, by in stops for x in (F.lit(f'<stop offset="{at}%" stop-color="'), hexed(by), F.lit('"/>'))), F.lit("</radialGradient>"))
     seen = beads.where("code is not null").groupBy("image_id", "brand", "code").agg(F.min(F.col("cy") * width + F.col("cx")).alias("first"))
-    defs = seen.join(_channels(palette), ["brand", "code"]).select("image_id", "first", gradient.alias("def"))
-    defs = defs.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "def"))), lambda s: s["def"]), "").alias("defs"))
-    w, h = width * cell * 100, height * cell * 100
-    lines = "".join(f"M{x * cell * 100} 0V{h}" for x in range(width + 1)) + "".join(f"M0 {y * cell * 100}H{w}" for y in range(height + 1))
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width * cell}" height="{height * cell}" viewBox="0 0 {w} {h}"><defs>'
-    rest = f'</defs><rect width="100%" height="100%" fill="{PAPER}"/><path d="{lines}" stroke="{LINES}" stroke-width="100" opacity="0.42"/><g>'
-    return body.join(defs, "image_id").select("image_id", F.concat(F.lit(head), "defs", F.lit(rest), "body", F.lit("</g></svg>")).alias("svg"))
+    defs = seen.join(_channels(palette), ["brand", "code"]).groupBy("image_id", name.alias("name")).agg(F.min(F.struct("first", gradient.alias("def"))).alias("d"))
+    defs = defs.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda s: s["def"]), "").alias("defs"))
+    w, h = width * cell, height * cell
+    line = lambda d: f'<path d="{d}" stroke="{LINES}" stroke-width="1" opacity="0.42"/>'
+    lines = "".join(line(f"M{_plain(x * cell + 0.5)} 0V{h}") for x in range(width + 1)) + "".join(line(f"M0 {_plain(y * cell + 0.5)}H{w}") for y in range(height + 1))
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}"><defs>'
+    rest = f'</defs><rect width="100%" height="100%" fill="{PAPER}"/><g shape-rendering="crispEdges">{lines}</g><g>'
+    tail = f"</g><desc>Generated from photo with {width}x{height} cells</desc></svg>"
+    images = beads.select("image_id").distinct()  # an image without beads has a page too
+    whole = images.join(body, "image_id", "left").join(defs, "image_id", "left")
+    return whole.select("image_id", F.concat(F.lit(head), F.coalesce("defs", F.lit("")), F.lit(rest), F.coalesce("body", F.lit("")), F.lit(tail)).alias("svg"))

@@ -15,9 +15,11 @@ BOXED = """boxed as (
   select * replace (case when x between 7 and 31 and y between 5 and 40 then a else 0 end as a) from pixels)"""
 
 PALETTE = """palette as (
-  select p_brand as brand, 'P' || lpad(cast(p_partkey as varchar), 4, '0') as code, p_name as name, cast(p_partkey as int) as ord,
+  select p_brand as brand, 'P' || lpad(cast(p_partkey as varchar), 9, '0') as code, p_name as name, cast(p_partkey as int) as ord,
          cast((p_partkey * 97) % 256 as int) as r, cast((p_partkey * p_size * 11) % 256 as int) as g, cast((p_size * 29) % 256 as int) as b
-  from part where p_partkey < 200)"""
+  from part)"""
+
+SHADE = "shade as (select * from palette where brand = 'Brand#13')"
 
 
 def lab(name: str, source: str) -> str:
@@ -64,7 +66,8 @@ cells as (
   select s.image_id, s.cx, s.cy, m.r, m.g, m.b from shares s
   left join modes m on m.image_id = s.image_id and m.cx = s.cx and m.cy = s.cy and m.k = 1 and s.fg / s.total >= 0.7)"""
 
-NEAREST = f"""{lab("pal", "palette")},
+NEAREST = f"""{SHADE},
+{lab("pal", "shade")},
 colors as (select distinct r, g, b from cells where r is not null),
 {lab("col", "colors")},
 against as (select c.r, c.g, c.b, c.lab_l, c.lab_a, c.lab_b, p.brand, p.code, p.ord, p.lab_l as p_l, p.lab_a as p_a, p.lab_b as p_b from col c cross join pal p),
@@ -97,6 +100,28 @@ def hexed(by: int = 0) -> str:
     return "'#' || " + " || ".join(f"printf('%02x', greatest(0, least(255, {c} + {by})))" for c in "rgb")
 
 
+GRADIENT_ID = "regexp_replace('bead-' || b.brand || '-' || b.code, '[^a-zA-Z0-9_-]', '-', 'g')"
+
+
+def P_HEX(by: int) -> str:
+    """The colour of a palette row that a left join found, else null."""
+    own = hexed(by).replace("r +", "p.r +").replace("g +", "p.g +").replace("b +", "p.b +")
+    return f"case when p.r is not null then {own} end"
+
+
+def plain(value: str) -> str:
+    return f"regexp_replace(cast({value} as varchar), '\\.0$', '')"
+
+
+_X, _Y = "(cx * 12.0::double + 6)", "(cy * 12.0::double + 6)"
+#: The circles of each bead, 12 pixels a cell; lengths as the shortest text of a double.
+SVG_BEADS = f"""drawn as (
+  select image_id, cx, cy, '<circle cx="' || {plain(f"({_X} + 12 * 0.035::double)")} || '" cy="' || {plain(f"({_Y} + 12 * 0.055::double)")} || '" r="5.04" fill="#000000" opacity="0.14"/>'
+    || '<circle data-bead="' || brand || ':' || code || '" cx="' || {plain(_X)} || '" cy="' || {plain(_Y)} || '" r="5.04" fill="url(#' || {GRADIENT_ID} || ')"/>'
+    || '<circle cx="' || {plain(f"({_X} - 12 * 0.18::double)")} || '" cy="' || {plain(f"({_Y} - 12 * 0.2::double)")} || '" r="0.96" fill="#ffffff" opacity="0.32"/>' as svg
+  from beads b where code is not null)"""
+
+
 def windows(aggregate: str) -> str:
     """Overlapping windows of a 7 x 9 grid."""
     return f"""with {PIXELS},
@@ -162,7 +187,7 @@ pairs as (select a.ord as one, b.ord as two, a.lab_l, a.lab_a, a.lab_b, b.lab_l
         "palette_by_brand": f"with {PALETTE} select brand, code, name, ord from palette where brand = 'Brand#13' order by code",
         "palette_fallback_brand": f"with {PALETTE} select brand, code, ord from palette where brand = (select brand from palette order by ord limit 1)",
         "palette_upsert": f"""with {PALETTE},
-fresh as (select brand, code, 'new ' || name as name, ord + 1000 as ord from palette where ord % 5 = 0 union all select brand, code || 'x', name, ord + 2000 from palette where ord % 50 = 1)
+fresh as (select brand, code, 'new ' || name as name, ord + 100000000 as ord from palette where ord % 5 = 0 union all select brand, code || 'x', name, ord + 200000000 from palette where ord % 50 = 1)
 select * from fresh union all select brand, code, name, ord from palette where (brand, code) not in (select (brand, code) from fresh)""",
         "foreground_bounds": f"with {PIXELS} select image_id, min(x) as min_x, min(y) as min_y, max(x) as max_x, max(y) as max_y from pixels where x between 7 and 31 and y > 4 and a >= 128 group by image_id",
         "trim_foreground": f"with {TRIMMED} select image_id, x, y, r, g, b, a from trimmed",
@@ -211,18 +236,46 @@ select *, cast(row_number() over (partition by image_id order by total desc, col
         "board_totals": f"{WITH_BEADS} select image_id, cast((cy // 4) * 3 + cx // 4 as int) as board_index, count(code) as beads from beads group by all",
         "row_bead_counts": f"{WITH_BEADS} select image_id, brand, code, count(*) as n, cast(min(cx) as int) as first_x from beads where cy = 3 and code is not null group by all",
         "remaining_beads": f"{WITH_BEADS} select image_id, cx, cy, code from beads where code is not null and (cx + cy) % 3 <> 0",
-        "count_report": f"{WITH_BEADS} select image_id, b.brand, b.code, coalesce(p.name, '') as name, count(*) as n from beads b left join palette p on p.brand = b.brand and p.code = b.code where b.code is not null group by all",
+        "count_report": f"{WITH_BEADS} select image_id, b.brand, b.code, coalesce(p.name, '') as name, count(*) as n, cast(row_number() over (partition by image_id order by count(*) desc, min(cy * 10 + cx)) as int) as place from beads b left join palette p on p.brand = b.brand and p.code = b.code where b.code is not null group by image_id, b.brand, b.code, p.name",
+        "isolated_points_at_once": f"""{WITH_BEADS},
+around(k, dx, dy) as (values (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1)),
+near as (select c.image_id, c.cx, c.cy, c.brand as own_brand, c.code as own_code, n.brand, n.code, k from beads c cross join around join beads n on n.image_id = c.image_id and n.cx = c.cx + dx and n.cy = c.cy + dy where c.code is not null and n.code is not null),
+votes as (select image_id, cx, cy, own_brand, own_code, brand, code, count(*) as n, min(k) as k from near group by all),
+lone as (select image_id, cx, cy from votes group by all having not bool_or(brand = own_brand and code = own_code)),
+winner as (select v.image_id, v.cx, v.cy, v.brand, v.code from votes v join lone using (image_id, cx, cy) qualify row_number() over (partition by v.image_id, v.cx, v.cy order by v.n desc, v.k) = 1)
+select b.image_id, b.cx, b.cy, coalesce(w.brand, b.brand) as brand, coalesce(w.code, b.code) as code from beads b left join winner w on w.image_id = b.image_id and w.cx = b.cx and w.cy = b.cy""",
+        "svg_documents": f"""{WITH_BEADS},
+{SVG_BEADS},
+body as (select image_id, string_agg(svg, '' order by cy, cx) as body from drawn group by image_id),
+gradients as (select image_id, {GRADIENT_ID} as id, min(b.cy * 10 + b.cx) as first, arg_min('<radialGradient id="' || {GRADIENT_ID} || '" cx="32%" cy="28%" r="68%"><stop offset="0%" stop-color="' || {P_HEX(34)} || '"/><stop offset="36%" stop-color="' || {P_HEX(0)} || '"/><stop offset="76%" stop-color="' || {P_HEX(0)} || '"/><stop offset="100%" stop-color="' || {P_HEX(-36)} || '"/></radialGradient>', b.cy * 10 + b.cx) as def
+  from beads b join palette p on p.brand = b.brand and p.code = b.code group by image_id, {GRADIENT_ID}),
+defs as (select image_id, string_agg(def, '' order by first) as defs from gradients group by image_id),
+rules as (select string_agg('<path d="M' || cast(r.range * 12 as varchar) || '.5 0V120" stroke="#bfa883" stroke-width="1" opacity="0.42"/>', '' order by r.range) || string_agg('<path d="M0 ' || cast(r.range * 12 as varchar) || '.5H120" stroke="#bfa883" stroke-width="1" opacity="0.42"/>', '' order by r.range) as rules from range(11) r)
+select i.image_id, '<svg xmlns="http://www.w3.org/2000/svg" width="120" height="120" viewBox="0 0 120 120"><defs>' || coalesce(defs, '') || '</defs><rect width="100%" height="100%" fill="#f4dfb7"/><g shape-rendering="crispEdges">' || rules || '</g><g>' || coalesce(body, '') || '</g><desc>Generated from photo with 10x10 cells</desc></svg>' as svg
+from (select distinct image_id from beads) i cross join rules left join body using (image_id) left join defs using (image_id)""",
+        "pattern_frame": """select 'line' as kind, cast(null as varchar) as text, r.range * 24.0::double + 24 as x1, 24.0::double as y1, r.range * 24.0::double + 24 as x2, 264.0::double as y2, 1.0::double as size, '#9ca3af' as color_hex from range(11) r
+union all select 'line', null, 24.0, r.range * 24.0 + 24, 264.0, r.range * 24.0 + 24, 1.0, '#9ca3af' from range(11) r
+union all select 'x_label', cast(r.range + 1 as varchar), r.range * 24.0 + 36, 12.0, r.range * 24.0 + 36, 12.0, 24::double / 1.4::double, '#374151' from range(10) r
+union all select 'y_label', cast(r.range + 1 as varchar), 12.0, r.range * 24.0 + 36, 12.0, r.range * 24.0 + 36, 24::double / 1.4::double, '#374151' from range(10) r""",
+        "page_layouts": f"""with {PALETTE},
+sized as (select ord, r + 1 as width, g + 1 as height, case when r > g then 297.0::double else 210.0::double end as page_width, case when r > g then 210.0::double else 297.0::double end as page_height from palette),
+scaled as (select *, least((page_width - 30) / width, page_height * 0.55::double / height) as s from sized)
+select ord, width, height, page_width, page_height, round(width * s, 6) as image_width, round(height * s, 6) as image_height from scaled""",
+        "lab_grid_to_rgb": """with grid as (select cast(r.range as int) as id, (r.range // 289) * 5.0::double as l, (r.range // 17 % 17) * 16.0::double - 128 as a, (r.range % 17) * 16.0::double - 128 as b from range(6069) r),
+f as (select id, l, (l + 16) / 116 as fy, a / 500 + (l + 16) / 116 as fx, (l + 16) / 116 - b / 200 as fz from grid),
+xyz as (select id, (case when fx > 0.2068966::double then fx * fx * fx else (116 * fx - 16) / 903.3::double end) * 0.95047::double as x, case when l > 8 then fy * fy * fy else l / 903.3::double end as y, (case when fz > 0.2068966::double then fz * fz * fz else (116 * fz - 16) / 903.3::double end) * 1.08883::double as z from f),
+linear as (select id, x * 3.2404542::double + y * -1.5371385::double + z * -0.4985314::double as r, x * -0.9692660::double + y * 1.8760108::double + z * 0.0415560::double as g, x * 0.0556434::double + y * -0.2040259::double + z * 1.0572252::double as b from xyz)
+select id, """ + ", ".join(f"cast(floor((case when {c} > 0.0031308::double then 1.055::double * pow({c}, 1 / 2.4::double) - 0.055::double else 12.92::double * {c} end) * 255 + 0.5::double) as int) as {c}" for c in "rgb") + " from linear",
         "draw_list": f"""{WITH_BEADS}
-select image_id, cx, cy, cx * 24 + 24 as px, cy * 24 + 24 as py, coalesce({hexed().replace("r +", "p.r +").replace("g +", "p.g +").replace("b +", "p.b +")}, '#f9fafb') as fill_hex, b.code as label,
+select image_id, cx, cy, cx * 24 + 24 as px, cy * 24 + 24 as py, coalesce({P_HEX(0)}, '#f9fafb') as fill_hex, b.code as label,
   case when b.code is not null then case when p.r * 0.299::double + p.g * 0.587::double + p.b * 0.114::double > 128 then '#000000' else '#ffffff' end end as text_hex,
-  {hexed(20).replace("r +", "p.r +").replace("g +", "p.g +").replace("b +", "p.b +")} as light_hex, {hexed(-35).replace("r +", "p.r +").replace("g +", "p.g +").replace("b +", "p.b +")} as dark_hex
+  {P_HEX(20)} as light_hex, {P_HEX(-35)} as dark_hex
 from beads b left join palette p on p.brand = b.brand and p.code = b.code""",
         "board_draw_list": f"""{WITH_BEADS}
-select image_id, cx, cy, cx * 12 - 48 as px, cy * 12 - 48 as py, coalesce({hexed().replace("r +", "p.r +").replace("g +", "p.g +").replace("b +", "p.b +")}, '#f9fafb') as fill_hex, b.code as label,
+select image_id, cx, cy, cx * 12 - 48 as px, cy * 12 - 48 as py, coalesce({P_HEX(0)}, '#f9fafb') as fill_hex, b.code as label,
   case when b.code is not null then case when p.r * 0.299::double + p.g * 0.587::double + p.b * 0.114::double > 128 then '#000000' else '#ffffff' end end as text_hex, cx + 1 as x_label, cy + 1 as y_label, true as highlighted
 from beads b left join palette p on p.brand = b.brand and p.code = b.code where cx // 4 = 1 and cy // 4 = 1""",
-        "svg_cells": f"""{WITH_BEADS}
-select image_id, cx, cy, '<circle data-bead="' || brand || ':' || code || '" cx="' || cast(cx * 1200 + 600 as varchar) || '" cy="' || cast(cy * 1200 + 600 as varchar) || '" r="504" fill="url(#' || regexp_replace('bead-' || brand || '-' || code, '[^a-zA-Z0-9_-]', '-', 'g') || ')"/>' as svg from beads where code is not null""",
+        "svg_cells": f"""{WITH_BEADS}, {SVG_BEADS} select image_id, cx, cy, svg from drawn""",
         "bilateral_filter": f"""with {PIXELS},
 extent as (select image_id, max(x) + 1 as w, max(y) + 1 as h from pixels group by all),
 near as (select dx.range - 2 as dx, dy.range - 2 as dy from range(5) dx, range(5) dy),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tessella.operators import geometry, photo, pooling, quantise
+from tessella.operators import geometry, photo, pooling, quantise, render
+from tessella.operators.lineage import written
 from tessella.plans.config import PRESETS, Config
 
 
@@ -37,13 +39,40 @@ def quantise_cells(cells: DataFrame, palette: DataFrame, config: Config) -> Data
 
 @dataclass
 class Pattern:
+    config: Config
+    cells: DataFrame
     beads: DataFrame
     counts: DataFrame
     summary: DataFrame
 
 
 def make_pattern(pixels: DataFrame, palette: DataFrame, config: Config) -> Pattern:
-    """The beads of every image, their counts and summary, as plans that run when read."""
+    """The sampled cells of every image, its beads, their counts and summary.  Cells and beads
+    are written to the checkpoint folder once, and what is made of them reads them there."""
     config = config.resolved()
-    beads = quantise_cells(sample(preprocess(canvas(pixels, config), config), config), palette, config)
-    return Pattern(beads, quantise.counts(beads), quantise.summary(beads))
+    return _of_cells(written(sample(preprocess(canvas(pixels, config), config), config)), palette, config)
+
+
+def requantise(made: Pattern, palette: DataFrame, **changes) -> Pattern:
+    """A pattern of the same cells with another palette or other settings of the quantiser
+    (max_colors, dither, confetti_min_ratio): nothing is sampled again."""
+    sampled = set(changes) - {"max_colors", "dither", "dither_strength", "confetti_min_ratio"}
+    if sampled:
+        raise ValueError(f"sampling depends on {sorted(sampled)}: make the pattern anew")
+    return _of_cells(made.cells, palette, dataclasses.replace(made.config, **changes))
+
+
+def _of_cells(cells: DataFrame, palette: DataFrame, config: Config) -> Pattern:
+    beads = written(quantise_cells(cells, palette, config))
+    return Pattern(config, cells, beads, quantise.counts(beads), quantise.summary(beads))
+
+
+def preview(made: Pattern, palette: DataFrame, cell: int, labels: bool = True, round_: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cells, frame) of a pattern's drawing."""
+    config = made.config
+    return render.draw_list(made.beads, palette, cell, labels, round_), render.frame(made.beads.sparkSession, config.width, config.height, cell, labels, round_)
+
+
+def used_palette(made: Pattern, palette: DataFrame) -> DataFrame:
+    """The rows of a palette that an image uses, in the palette's order (ord)."""
+    return made.beads.where("code is not null").select("image_id", "brand", "code").distinct().join(palette, ["brand", "code"])

@@ -15,6 +15,7 @@ from tessella.sources import images, palettes
 
 #: 10 x 10 cells of 5 x 5 pixels.
 GRID, MASK, THRESHOLD, COLORS = 10, 0xF0, 0.7, 12
+BRAND = "Brand#13"
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,12 +33,17 @@ def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.palette_of_parts(spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
+def brand_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The palette that beads come from: the colours of one brand."""
+    return palettes.of_brand(palette(spark, sf_dir), BRAND)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.mode_downsample(pixels(spark, sf_dir), GRID, GRID, THRESHOLD, MASK)
 
 
 def beads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantise.quantise(cells(spark, sf_dir), palette(spark, sf_dir), COLORS)
+    return quantise.quantise(cells(spark, sf_dir), brand_palette(spark, sf_dir), COLORS)
 
 
 def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +110,7 @@ def adjust_color(spark, sf_dir):
 
 @query
 def palette_by_brand(spark, sf_dir):
-    return palettes.of_brand(palette(spark, sf_dir), "Brand#13").select("brand", "code", "name", "ord")
+    return brand_palette(spark, sf_dir).select("brand", "code", "name", "ord")
 
 
 @query
@@ -115,8 +121,8 @@ def palette_fallback_brand(spark, sf_dir):
 @query
 def palette_upsert(spark, sf_dir):
     own = palette(spark, sf_dir).select("brand", "code", "name", "ord")
-    new = own.where("ord % 5 = 0").select("brand", "code", F.concat(F.lit("new "), "name").alias("name"), (F.col("ord") + 1000).alias("ord"))
-    added = own.where("ord % 50 = 1").select("brand", F.concat("code", F.lit("x")).alias("code"), "name", (F.col("ord") + 2000).alias("ord"))
+    new = own.where("ord % 5 = 0").select("brand", "code", F.concat(F.lit("new "), "name").alias("name"), (F.col("ord") + 10**8).alias("ord"))
+    added = own.where("ord % 50 = 1").select("brand", F.concat("code", F.lit("x")).alias("code"), "name", (F.col("ord") + 2 * 10**8).alias("ord"))
     return palettes.upsert(own, new.unionByName(added))
 
 
@@ -180,13 +186,13 @@ def alpha_downsample(spark, sf_dir):
 
 @query
 def nearest_color(spark, sf_dir):
-    found = matching.nearest(matching.distinct_colors(cells(spark, sf_dir)), palette(spark, sf_dir))
+    found = matching.nearest(matching.distinct_colors(cells(spark, sf_dir)), brand_palette(spark, sf_dir))
     return rounded(found, "delta_e")
 
 
 @query
 def reduced_palette_topk(spark, sf_dir):
-    return quantise.reduced_palettes(cells(spark, sf_dir), palette(spark, sf_dir), COLORS).select("image_id", "rank", "n", "brand", "code")
+    return quantise.reduced_palettes(cells(spark, sf_dir), brand_palette(spark, sf_dir), COLORS).select("image_id", "rank", "n", "brand", "code")
 
 
 @query
@@ -206,7 +212,7 @@ def bead_summary(spark, sf_dir):
 
 @query
 def confetti_cleanup(spark, sf_dir):
-    return quantise.quantise(cells(spark, sf_dir), palette(spark, sf_dir), COLORS, confetti_ratio=0.08).select("image_id", "cx", "cy", "brand", "code")
+    return quantise.quantise(cells(spark, sf_dir), brand_palette(spark, sf_dir), COLORS, confetti_ratio=0.08).select("image_id", "cx", "cy", "brand", "code")
 
 
 @query
@@ -248,7 +254,7 @@ def remaining_beads(spark, sf_dir):
 
 @query
 def count_report(spark, sf_dir):
-    return render.count_report(quantise.counts(beads(spark, sf_dir)), palette(spark, sf_dir))
+    return render.count_report(quantise.counts(beads(spark, sf_dir), first=True), palette(spark, sf_dir))
 
 
 @query
@@ -256,6 +262,35 @@ def draw_list(spark, sf_dir):
     return render.draw_list(beads(spark, sf_dir), palette(spark, sf_dir), 24, labels=True, round_=True)
 
 
+@query
+def pattern_frame(spark, sf_dir):
+    return render.frame(spark, GRID, GRID, 24, labels=True)
+
+
+@query
+def page_layouts(spark, sf_dir):
+    """A page for every palette colour's channels as the size of an image."""
+    sized = palette(spark, sf_dir).select("ord", (F.col("r") + 1).alias("width"), (F.col("g") + 1).alias("height"))
+    return rounded(render.page_layout(sized), "image_width", "image_height")
+
+
+@query
+def lab_grid_to_rgb(spark, sf_dir):
+    """A grid over Lab, in gamut and out of it."""
+    steps = spark.range(21 * 17 * 17).select(F.col("id").cast("int").alias("id"))
+    axis = lambda by: F.expr(f"id div {by}")
+    lab = steps.select("id", (axis(289) * 5.0).alias("lab_l"), (axis(17) % 17 * 16.0 - 128).alias("lab_a"), (F.col("id") % 17 * 16.0 - 128).alias("lab_b"))
+    return color.with_rgb(lab).select("id", "r", "g", "b")
+
+
+@query
+def requantize(spark, sf_dir):
+    """The sampled cells once more with fewer colours."""
+    config = config_for("subject", width=16, height=12, max_colors=10)
+    made = pattern.make_pattern(pixels(spark, sf_dir), brand_palette(spark, sf_dir), config)
+    return pattern.requantise(made, palettes.of_brand(palette(spark, sf_dir), "Brand#24"), max_colors=4).counts
+
+
 @query
 def board_draw_list(spark, sf_dir):
     return render.board_draw_list(beads(spark, sf_dir), palette(spark, sf_dir), 4, 1, 1, 12)
@@ -292,7 +327,7 @@ def event_json_path(spark, sf_dir):
 
 @query
 def dither(spark, sf_dir):
-    return quantise.quantise(cells(spark, sf_dir), palette(spark, sf_dir), COLORS, dither=0.75).select("image_id", "cx", "cy", "brand", "code")
+    return quantise.quantise(cells(spark, sf_dir), brand_palette(spark, sf_dir), COLORS, dither=0.75).select("image_id", "cx", "cy", "brand", "code")
 
 
 @query
@@ -313,12 +348,12 @@ def flood_fill_background(spark, sf_dir):
 
 @query
 def kmeans_palette(spark, sf_dir):
-    return clustering.cluster_palettes(cells(spark, sf_dir), palette(spark, sf_dir), 8)
+    return clustering.cluster_palettes(cells(spark, sf_dir), brand_palette(spark, sf_dir), 8)
 
 
 @query
 def cluster_quantize(spark, sf_dir):
-    return clustering.cluster_quantise(cells(spark, sf_dir), palette(spark, sf_dir), 8, snap=True, confetti_ratio=0.02).select("image_id", "cx", "cy", "brand", "code")
+    return clustering.cluster_quantise(cells(spark, sf_dir), brand_palette(spark, sf_dir), 8, snap=True, confetti_ratio=0.02).select("image_id", "cx", "cy", "brand", "code")
 
 
 @query
@@ -346,4 +381,4 @@ def svg_documents(spark, sf_dir):
 def photo_to_pattern(spark, sf_dir):
     """The whole plan with the subject preset on a small grid."""
     config = config_for("subject", width=16, height=12, max_colors=10)
-    return pattern.make_pattern(pixels(spark, sf_dir), palette(spark, sf_dir), config).counts
+    return pattern.make_pattern(pixels(spark, sf_dir), brand_palette(spark, sf_dir), config).counts

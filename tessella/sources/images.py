@@ -35,12 +35,12 @@ def pixels_of_events(events: DataFrame, side: int = 50) -> DataFrame:
     )
 
 
-def palette_of_parts(part: DataFrame, below: int = 200) -> DataFrame:
-    """A synthetic palette from a part table."""
+def palette_of_parts(part: DataFrame) -> DataFrame:
+    """Synthetic palettes from a part table: a colour a part, a palette a brand."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    return part.where(key < below).select(
+    return part.select(
         F.col("p_brand").alias("brand"),
-        F.concat(F.lit("P"), F.lpad(key.cast("string"), 4, "0")).alias("code"),
+        F.concat(F.lit("P"), F.lpad(key.cast("string"), 9, "0")).alias("code"),
         F.col("p_name").alias("name"),
         key.cast("int").alias("ord"),
         ((key * 97) % 256).cast("int").alias("r"),

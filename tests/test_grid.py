@@ -185,7 +185,7 @@ def test_config():
 
 def test_svg(spark, palette):
     svg = render.svg_documents(bead_grid(spark, [["R", "B"], [None, "R"]]), palette, 2, 2, 10).first()["svg"]
-    assert svg.count("<circle") == 3 and svg.count("<radialGradient") == 2 and svg.index("bead-TEST-R") < svg.index("bead-TEST-B")
+    assert svg.count("data-bead") == 3 and svg.count("<circle") == 9 and svg.count("<radialGradient") == 2 and svg.index("bead-TEST-R") < svg.index("bead-TEST-B")
     assert svg.startswith("<svg ") and svg.endswith("</svg>")
 
 
@@ -217,3 +217,156 @@ def test_queries_take_all_iterations_and_pixels(spark, sf_dir, monkeypatch):
         with pytest.raises(Seen):
             run(spark, sf_dir)
     assert asked == [30, 30, spark.read.parquet(f"{sf_dir}/events.parquet").count()]
+
+
+def test_draw_list_of_empty_cells(spark, palette):
+    rows = {(r["cx"], r["cy"]): r for r in render.draw_list(bead_grid(spark, [["R", None]]), palette, 10, round_=True).collect()}
+    assert rows[1, 0]["fill_hex"] == render.EMPTY and rows[1, 0]["light_hex"] is None and rows[0, 0]["fill_hex"] == "#ff0000"
+
+
+def test_svg_circles_lines_and_description(spark, palette):
+    svg = render.svg_documents(bead_grid(spark, [["R", None]]), palette, 2, 1, 5).first()["svg"]
+    assert '<circle cx="2.675" cy="2.775" r="2.1" fill="#000000" opacity="0.14"/><circle data-bead="TEST:R" cx="2.5" cy="2.5" r="2.1" fill="url(#bead-TEST-R)"/><circle cx="1.6" cy="1.5" r="0.75" fill="#ffffff" opacity="0.32"/>' in svg
+    assert '<g shape-rendering="crispEdges"><path d="M0.5 0V5" stroke="#bfa883" stroke-width="1" opacity="0.42"/>' in svg and '<path d="M0 5.5H10"' in svg
+    assert svg.endswith("<desc>Generated from photo with 2x1 cells</desc></svg>")
+    bare = render.svg_documents(bead_grid(spark, [[None]]), palette, 1, 1, 5).first()["svg"]
+    assert "<defs></defs>" in bare and "<circle" not in bare
+
+
+def test_frame(spark):
+    rows = render.frame(spark, 3, 2, 40, labels=True).collect()
+    assert [sum(r["kind"] == k for r in rows) for k in ("line", "x_label", "y_label")] == [7, 3, 2]
+    assert {r["size"] for r in rows if r["kind"] == "line"} == {2.0} and {r["size"] for r in rows if r["kind"] != "line"} == {18.0}
+    assert render.frame(spark, 3, 2, 40, round_=True).count() == 0
+
+
+def test_ranks_collate_keys(spark):
+    rows = [(1, k, "T", k, 5, 1) for k in ("a:1", "B:1", "a-b:1", "C:1", "é:1", "f:1")]
+    stats = spark.createDataFrame(rows, "image_id long, color_key string, brand string, code string, total long, board_count long")
+    ranked = assembly.ranked(stats).orderBy("by_total").collect()
+    order = [r["color_key"] for r in ranked]
+    assert order.index("B:1") > order.index("a:1") and order.index("é:1") < order.index("f:1") and [r["by_board"] for r in ranked] == [1, 2, 3, 4, 5, 6]
+
+
+def test_reports_keep_the_first_seen_of_equals_first(spark, palette):
+    beads = bead_grid(spark, [["W", "R", "B"], ["B", "R", "W"], ["K", "K", "K"]])
+    report = render.count_report(quantise.counts(beads, first=True), palette).orderBy("place").collect()
+    assert [r["code"] for r in report] == ["K", "W", "R", "B"]
+
+
+def test_requantise_samples_nothing_again(spark, palette):
+    made = pattern.make_pattern(image(spark, 8, 8, lambda x, y: (30 * x, 0, 30 * y, 255)), palette, Config(8, 8))
+    again = pattern.requantise(made, palette, max_colors=1)
+    assert again.cells is made.cells and again.counts.groupBy().sum("n").first()[0] == 64 and again.counts.count() == 1 < made.counts.count()
+    assert pattern.used_palette(again, palette).count() == 1
+    cells, frame = pattern.preview(made, palette, 20)
+    assert cells.count() == 64 and frame.count() > 0
+    with pytest.raises(ValueError):
+        pattern.requantise(made, palette, width=9)
+
+
+def isolated_by_force(grid_, passes=2):
+    """Left, right, up, down; later cells see what earlier ones became."""
+    grid_ = dict(grid_)
+    for _ in range(passes):
+        for (cy, cx), own in sorted(grid_.items()):
+            near = [n for n in (grid_.get(p) for p in ((cy, cx - 1), (cy, cx + 1), (cy - 1, cx), (cy + 1, cx))) if n]
+            if own and near and own not in near:
+                grid_[cy, cx] = max(near, key=lambda n: (near.count(n), -near.index(n)))
+    return grid_
+
+
+def test_isolated_points_by_force(spark, sf_dir):
+    beads = queries.beads(spark, sf_dir).select("image_id", "cx", "cy", "brand", "code").cache()
+    key = lambda r: (r["brand"], r["code"]) if r["code"] else None
+    by_image = {}
+    for r in beads.collect():
+        by_image.setdefault(r["image_id"], {})[r["cy"], r["cx"]] = key(r)
+    got = {}
+    for r in cleanup.clean_isolated(beads).collect():
+        got.setdefault(r["image_id"], {})[r["cy"], r["cx"]] = key(r)
+    assert got == {k: isolated_by_force(v) for k, v in by_image.items()} and got != by_image
+
+
+def flood_by_force(image_, tolerance):
+    """From each border pixel in turn, depth first, the colour that a path began with."""
+    alpha = {p: v[3] for p, v in image_.items()}
+    width, height = max(x for x, _ in image_) + 1, max(y for _, y in image_) + 1
+    border = [(x, y) for x in range(width) for y in (0, height - 1)] + [(x, y) for y in range(height) for x in (0, width - 1)]
+    todo, seen = [], set()
+    for p in border:
+        if p not in seen:
+            seen.add(p)
+            todo.append((p, image_[p][:3]))
+    while todo:
+        (x, y), seed = todo.pop()
+        for p in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+            if p in image_ and p not in seen and sum(abs(a - b) for a, b in zip(image_[p], seed, strict=False)) <= 3 * tolerance:
+                seen.add(p)
+                todo.append((p, seed))
+    opaque = [p for p, a in alpha.items() if a >= 128]
+    if not opaque or sum(p in seen for p in opaque) / len(opaque) > 0.98:
+        return alpha
+    return {p: 0 if p in seen else a for p, a in alpha.items()}
+
+
+def test_flood_fill_by_force(spark, sf_dir):
+    whole = geometry.resize(queries.pixels(spark, sf_dir), 30, 30).cache()
+    images, got = {}, {}
+    for r in whole.collect():
+        images.setdefault(r["image_id"], {})[r["x"], r["y"]] = (r["r"], r["g"], r["b"], r["a"])
+    for r in photo.flood_fill_background(whole, 16).collect():
+        got.setdefault(r["image_id"], {})[r["x"], r["y"]] = r["a"]
+    assert got == {k: flood_by_force(v, 16) for k, v in images.items()}
+
+
+def test_dither_by_force(spark, sf_dir):
+    """Error diffusion over whole images, with the column functions' distances."""
+    cells = queries.cells(spark, sf_dir).cache()
+    palette = queries.brand_palette(spark, sf_dir)
+    reduced = quantise.reduced_palettes(cells, palette, queries.COLORS).join(palette.select("ord", "r", "g", "b"), "ord").collect()
+    got = {(r["image_id"], r["cx"], r["cy"]): r["code"] for r in queries.dither(spark, sf_dir).collect()}
+    images = {}
+    for r in cells.collect():
+        images.setdefault(r["image_id"], {})[r["cx"], r["cy"]] = None if r["r"] is None else [float(r["r"]), float(r["g"]), float(r["b"])]
+    for image_id, work in images.items():
+        own = sorted((r for r in reduced if r["image_id"] == image_id), key=lambda r: r["rank"])
+        labs = [(r["lab_l"], r["lab_a"], r["lab_b"]) for r in own]
+        for cx, cy in sorted(work, key=lambda p: (p[1], p[0])):
+            now = work[cx, cy]
+            if now is None:
+                assert got[image_id, cx, cy] is None
+                continue
+            now = [min(255.0, max(0.0, c)) for c in now]
+            lab = quantise._lab(quantise.np.array(now))
+            apart = [float(quantise.delta_e(lab, quantise.np.array(p))) for p in labs]
+            best = own[apart.index(min(apart))]
+            assert got[image_id, cx, cy] == best["code"]
+            for dx, dy, part in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+                if (to := work.get((cx + dx, cy + dy))) is not None:
+                    for k, c in enumerate("rgb"):
+                        to[k] += (now[k] - best[c]) * 0.75 * part / 16
+
+
+def test_kmeans_by_force(spark, sf_dir):
+    """Lloyd's steps replayed from the same seeds, over every cell instead of weighted colours."""
+    cells = queries.cells(spark, sf_dir).where("r is not null").cache()
+    weights = cells.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("w"))
+    points = clustering.color.with_lab(weights)
+    first = clustering.seeds(points, 6).collect()
+    assert len({(r["image_id"], r["p_l"], r["p_a"], r["p_b"]) for r in first}) == len(first) == 6 * cells.select("image_id").distinct().count()
+    _, labels = clustering.kmeans(cells, 6)
+    got = {(r["image_id"], r["r"], r["g"], r["b"]): r["label"] for r in labels.collect()}
+    np = quantise.np
+    for image_id in {r["image_id"] for r in first}:
+        own = [r for r in points.where(F.col("image_id") == image_id).collect() for _ in range(r["w"])]
+        lab = np.array([(r["lab_l"], r["lab_a"], r["lab_b"]) for r in own])
+        centres = np.array([(r["p_l"], r["p_a"], r["p_b"]) for r in sorted((r for r in first if r["image_id"] == image_id), key=lambda r: r["label"])])
+        was = None
+        for _ in range(30):
+            now = np.array([quantise.delta_e(x, centres).argmin() for x in lab])
+            if was is not None and (now == was).all():
+                break
+            was = now
+            centres = np.array([lab[now == k].mean(axis=0) if (now == k).any() else c for k, c in enumerate(centres)])
+        assert [got[image_id, r["r"], r["g"], r["b"]] for r in own] == was.tolist()

@@ -33,7 +33,7 @@ def test_job(spark, tmp_path):
     job.main(["--images", str(tmp_path / "in"), "--palettes", str(tmp_path / "cards"), "--out", str(tmp_path / "out"), "--brand", "none", "--size", "6", "--colors", "4", "--svg"])
     counts = {(r["code"], r["name"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out" / "counts")).collect()}
     assert counts == {("R", "Red"): 18, ("B", ""): 18}
-    assert spark.read.parquet(str(tmp_path / "out" / "svg")).first()["svg"].count("<circle") == 36
+    assert spark.read.parquet(str(tmp_path / "out" / "svg")).first()["svg"].count("data-bead") == 36
     with pytest.raises(SystemExit):
         job.main(["--images", "x", "--palettes", "y", "--out", "z", "--size", "0"])
 
