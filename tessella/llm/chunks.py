@@ -13,7 +13,7 @@ from itertools import chain
 
 #: Bytes of each of the two generations of chunks that a worker keeps, and what a chunk
 #: takes besides its characters and its value.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
 #: Longer chunks (texts without spaces) seldom repeat: they are encoded anew each time.
 LONGEST_KEPT = 64
 #: The most frequent chunks of the first batch are also kept in a table small enough for a
@@ -33,20 +33,14 @@ class ChunkCache:
         self.old: dict[str, object] = {}
         self.young_bytes = 0
 
-    def _learn(self, chunks: Iterable[str]) -> dict[str, object]:
-        """The values of new chunks; those worth it are kept."""
-        names = list(chunks)
-        new = dict(zip(names, self.encode(names), strict=True))
-        for name, value in new.items():
-            if len(name) <= LONGEST_KEPT:
-                self._keep(name, value)
-        return new
-
-    def _keep(self, name: str, value: object) -> None:
-        size = ENTRY_BYTES + 4 * len(name) + _size(value)
-        if self.young_bytes + size > self.limit:
+    def _admit(self, found: dict[str, object]) -> None:
+        """Keep a batch's chunks in the young generation: it is over its limit by one batch at
+        most."""
+        kept = {name: value for name, value in found.items() if len(name) <= LONGEST_KEPT}
+        size = ENTRY_BYTES * len(kept) + 4 * sum(map(len, kept)) + sum(map(_size, kept.values()))
+        if self.young and self.young_bytes + size > self.limit:
             self.old, self.young, self.young_bytes = self.young, {}, 0
-        self.young[name] = value
+        self.young.update(kept)
         self.young_bytes += size
 
     def values(self, chunked: list[list[str]]) -> list[list]:
@@ -55,24 +49,26 @@ class ChunkCache:
             counts = Counter(c for c in chain.from_iterable(chunked) if len(c) <= LONGEST_KEPT)
             often = [c for c, _ in counts.most_common(HOT_CHUNKS)]
             self.hot.update(zip(often, self.encode(often), strict=True))
-        hot = self.hot.get
-        out, gaps, new = [], [], set()
+        hot, young, old = self.hot.get, self.young.get, self.old.get
+        out, gaps, new, moved = [], [], set(), {}
         for chunks in chunked:
             own = list(map(hot, chunks))
             for at in [k for k, value in enumerate(own) if value is None]:
                 chunk = chunks[at]
-                value = self.young.get(chunk)
+                value = young(chunk)
                 if value is None:
-                    value = self.old.get(chunk)
+                    value = old(chunk)
                     if value is None:
                         new.add(chunk)
                         gaps.append((own, at, chunk))
                         continue
-                    self._keep(chunk, value)
+                    moved[chunk] = value
                 own[at] = value
             out.append(own)
-        if new:
-            learnt = self._learn(new)
+        if new or moved:
+            names = list(new)
+            learnt = dict(zip(names, self.encode(names), strict=True))
             for own, at, chunk in gaps:
                 own[at] = learnt[chunk]
+            self._admit(moved | learnt)
         return out
