@@ -71,6 +71,31 @@ def md5_hex(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def hmac_sha256_hex(key: Column, message: Column) -> Column:
+    """The keyed digest of RFC 2104, of built-in functions only: the key, hashed if it is longer
+    than a block of 64 bytes, is padded to a block and mixed with two constants."""
+    raw = key.cast("binary")
+    short = F.when(F.octet_length(raw) > 64, F.sha2(raw, 256)).otherwise(F.hex(raw))
+    block = F.rpad(short, 128, "0")
+
+    def mixed(constant: int) -> Column:
+        byte = lambda k: F.conv(F.substring(block, k * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.lpad(F.hex(byte(k).bitwiseXOR(F.lit(constant))), 2, "0")), "")
+
+    inner = F.sha2(F.unhex(F.concat(mixed(0x36), F.hex(message.cast("binary")))), 256)
+    return F.sha2(F.unhex(F.concat(mixed(0x5C), inner)), 256)
+
+
+def uuid(hyphens: bool = True) -> Column:
+    """A random UUID for each row; another one whenever the plan runs again."""
+    return F.uuid() if hyphens else F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
+def random_large_id() -> Column:
+    """A random number of 19 digits from 7 * 10**18 on, below 8 * 10**18 - 1, as text."""
+    return (F.floor(F.rand() * F.lit(999_999_999_999_999_999.0)).cast("decimal(38,0)") + F.lit("7000000000000000000").cast("decimal(38,0)")).cast("string")
+
+
 def json_path(text: Column, path: str) -> Column:
     """A value inside a JSON text, null where any step is missing: '$.a[0].b'."""
     return F.get_json_object(text, path)

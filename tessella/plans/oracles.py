@@ -289,6 +289,12 @@ offered(ratio, v, k) as (values {ratio_rows})
 select ord, size, width, height, case when width is null then '2k' when greatest(width, height) >= 3500 then '4k' when greatest(width, height) >= 1800 then '2k' else '1k' end as resolution,
   case when width is null then '1:1' else (select ratio from offered order by abs(width::double / height - v), k limit 1) end as ratio from parsed""",
         "text_digests": f"""with {PALETTE} select ord, sha256(name) as sha256, md5(name) as md5, '&lt;a b=&quot;&amp;&quot;&gt;' || name as xml, regexp_replace('bead-' || brand || '-' || code, '[^a-zA-Z0-9_-]', '-', 'g') as gradient, name as trimmed, code as bare from palette""",
+        "signed_messages": f"""with {PALETTE},
+asked as (select ord, {", ".join(f"case when octet_length({k}::blob) > 64 then sha256({k}) else lower(hex({k}::blob)) end as {n}, {m} as m{n}" for n, k, m in (("k1", "brand", "name"), ("k2", "repeat(name, 4)", "brand")))}, name, code from palette),
+mixed as (select *, {", ".join(f"array_to_string([lpad(hex(xor(case when b * 2 < length({k}) then ('0x' || substr({k}, b * 2 + 1, 2))::int else 0 end, {c})), 2, '0') for b in range(64)], '') as {k}_{c}" for k in ("k1", "k2") for c in (0x36, 0x5C))} from asked)
+select ord, {", ".join(f"sha256(unhex({k}_92 || sha256(unhex({k}_54 || hex(m{k}::blob))))) as {n}" for k, n in (("k1", "mac"), ("k2", "mac_long")))},
+  'data:text/plain;base64,' || base64(name::blob) as url, name as back, 'name=' || replace(name, ' ', '+') || '&code=' || code as query,
+  case when ord % 3 = 0 then null else ord + 0.5::double end as number from mixed""",
         "tone_low_res": f"""with {PIXELS}, toned as (select image_id, x, y, {", ".join(f"floor(greatest(0, least(255, {c} * {k}::double + {o}::double)) + 0.5) as {c}" for c, k, o in zip("rgb", (1.06, 1.02, 0.94), (10, 6, 0), strict=True))} from pixels)
 select image_id, x as cx, y as cy, {", ".join(f"cast(greatest(0, least(255, floor(floor({c} / (255.0::double / 9) + 0.5) * (255.0::double / 9) + 0.5))) as int) as {c}" for c in "rgb")} from toned""",
         "output_dimensions": f"""with {PALETTE},

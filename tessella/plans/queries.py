@@ -319,6 +319,24 @@ def text_digests(spark, sf_dir):
     return palette(spark, sf_dir).select("ord", strings.sha256_hex(name).alias("sha256"), strings.md5_hex(name).alias("md5"), strings.escape_xml(F.concat(F.lit('<a b="&">'), name)).alias("xml"), strings.gradient_id(F.col("brand"), F.col("code")).alias("gradient"), strings.as_string(F.concat(F.lit("  "), name, F.lit(" "))).alias("trimmed"), strings.strip_slashes(F.concat(F.col("code"), F.lit("//"))).alias("bare"))
 
 
+@query
+def signed_messages(spark, sf_dir):
+    """Keyed digests, data URLs there and back, query strings and numbers of every part."""
+    name = F.col("name")
+    url = strings.data_url(name.cast("binary"), "text/plain")
+    keys = F.create_map(F.lit("name"), name, F.lit("code"), F.col("code"))
+    number = F.when(F.col("ord") % 3 == 0, F.col("code")).otherwise(F.concat(F.col("ord").cast("string"), F.lit(".5")))
+    return palette(spark, sf_dir).select(
+        "ord",
+        strings.hmac_sha256_hex(F.col("brand"), name).alias("mac"),
+        strings.hmac_sha256_hex(F.repeat(name, 4), F.col("brand")).alias("mac_long"),
+        url.alias("url"),
+        strings.data_url_bytes(url).cast("string").alias("back"),
+        strings.query_string(keys).alias("query"),
+        strings.as_number(number).alias("number"),
+    )
+
+
 @query
 def event_json_path(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -1,4 +1,7 @@
+import hmac
 import json
+import math
+import re
 import struct
 import zlib
 
@@ -58,3 +61,35 @@ def test_proxy_strings(spark):
     df = spark.createDataFrame([("https://a", "WEBP", '{"data":[{"error":{"message":" no "}}]}', {"a b": "c&d"})], "u string, f string, e string, m map<string,string>")
     row = df.select(strings.is_image_input(F.col("u")), strings.image_format(F.col("f")), strings.error_message(F.col("e")), strings.query_string(F.col("m")), strings.dimensions(F.lit("4k"), F.lit("16:9")), strings.to_hex(F.lit(b"\x0f"))).first()
     assert tuple(row) == (True, "webp", "no", "a+b=c%26d", "5404x3040", "0f")
+
+
+def test_keyed_digests(spark):
+    cases = [("", ""), ("key", "The quick brown fox jumps over the lazy dog"), ("k" * 64, "m"), ("ü" * 40, "long key"), ("k" * 65, "")]
+    rows = spark.createDataFrame(cases, "k string, m string").select("k", "m", strings.hmac_sha256_hex(F.col("k"), F.col("m")).alias("mac")).collect()
+    assert [r["mac"] for r in rows] == [hmac.new(k.encode(), m.encode(), "sha256").hexdigest() for k, m in cases]
+
+
+def test_random_ids(spark):
+    rows = spark.range(200).select(strings.uuid().alias("u"), strings.uuid(False).alias("h"), strings.random_large_id().alias("n")).collect()
+    assert all(re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", r["u"]) and re.fullmatch("[0-9a-f]{32}", r["h"]) for r in rows)
+    assert len({r["u"] for r in rows}) == 200 and all(7 * 10**18 <= int(r["n"]) < 8 * 10**18 for r in rows)
+
+
+def test_smoothing_by_force(spark):
+    """The definition, pixel by pixel, on an image that lacks one."""
+    at = lambda x, y: ((x * 83 + y * 31) % 256, (x * 7 + y * 59) % 256, 255 * (x > 3), 255)
+    given = image(spark, 7, 5, at).where("not (x = 2 and y = 1)")
+    there = {(x, y): at(x, y)[:3] for x in range(7) for y in range(5) if (x, y) != (2, 1)}
+    wanted = {}
+    for (x, y), own in there.items():
+        sums, total = [0.0] * 3, 0.0
+        for dx in range(-2, 3):
+            for dy in range(-2, 3):
+                near = there.get((min(6, max(0, x + dx)), min(4, max(0, y + dy))))
+                if near:
+                    w = math.exp(-(dx * dx + dy * dy) / 2) * math.exp(-sum((p - q) ** 2 for p, q in zip(own, near, strict=True)) / 1800)
+                    sums, total = [s + w * c for s, c in zip(sums, near, strict=True)], total + w
+        wanted[x, y] = tuple(math.floor(s / total + 0.5) for s in sums)
+    smoothed = photo.bilateral(given, 1.0, 30.0)
+    assert {(r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in smoothed.collect()} == wanted
+    assert photo.bilateral(given.where("false"), 1.0, 30.0).count() == 0
