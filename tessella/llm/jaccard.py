@@ -183,18 +183,23 @@ def components(edges: DataFrame) -> DataFrame:
     """id and label (the smallest id reachable) of every id in ``edges`` (columns u, v).
 
     Every round takes the smallest label among the neighbours and then the label's label;
-    it is written to the shared folder, so a lost executor costs no earlier round."""
+    it is written to the shared folder, so a lost executor costs no earlier round, and then
+    the round before it is deleted.  What is returned may be discarded like a written table."""
     both = edges.where("u <> v")
     both = materialise(both.union(both.select("v", "u")).distinct(), "edges")
     labels = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "labels")
+    before = labels
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
         lower = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         now = materialise(lower.join(jump, "label", "left").select("id", "was", F.least("label", "further").alias("label")), "labels")
         changed = now.where("label <> was").limit(1).count()
-        labels = now.select("id", "label")
+        discard(before)
+        before, labels = now, now.select("id", "label")
         if not changed:
+            discard(both)
+            labels.tessella_path = now.tessella_path
             return labels
 
 
@@ -223,7 +228,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     parts = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS))).cast("long")
     parts = home.groupBy("band", "key").agg(parts.alias("parts"))
     blocks = F.xxhash64("band", "key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")
-    home = materialise(home.join(parts, ["band", "key"]).select("node", blocks), "blocks")
+    populous = home
+    home = materialise(populous.join(parts, ["band", "key"]).select("node", blocks), "blocks")
+    discard(populous)
     held = members.select("node", "band", "key").join(home, "node").select("band", "key", "block").distinct()
     other = held.select("band", "key", F.col("block").alias("other"))
     meet = held.join(other, ["band", "key"]).where("block <= other").select("block", "other").distinct()
@@ -235,11 +242,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     dealt = sets.withColumnRenamed("block", "at").join(ends, "at").withColumn("pair", F.xxhash64("block", "other"))
     dealt = dealt.repartition("pair", "block", "other").sortWithinPartitions("pair", "block", "other", "node")
     linked = materialise(_links(dealt, threshold), "links")
+    discard(home, meet)
     counts = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labels = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = nodes.drop("keys", "n_ngrams").join(labels.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
     named = named.select("d1", "d2", "rep", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "text_key", "d1", "d2"), materialise(named, "named")
+    named = materialise(named, "named")
+    discard(nodes, labels, linked)
+    return signed.select("doc_id", "text_key", "d1", "d2"), named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
