@@ -370,3 +370,77 @@ def test_kmeans_by_force(spark, sf_dir):
             was = now
             centres = np.array([lab[now == k].mean(axis=0) if (now == k).any() else c for k, c in enumerate(centres)])
         assert [got[image_id, r["r"], r["g"], r["b"]] for r in own] == was.tolist()
+
+
+def lab_of(row):
+    return quantise._lab(quantise.np.array([row["r"], row["g"], row["b"]], float))
+
+
+def nearest_by_force(lab, own):
+    """The first of the nearest in a list of (palette row, Lab)."""
+    apart = [float(quantise.delta_e(lab, p)) for _, p in own]
+    return own[apart.index(min(apart))]
+
+
+def by_image(rows):
+    """The rows of each image in the order of their cells."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["image_id"], r["cy"], r["cx"])):
+        out.setdefault(r["image_id"], []).append(r)
+    return out
+
+
+def reduced_by_force(cells, own, most):
+    """code or None of each cell: every cell is matched, and again with the most frequent
+    colours, first seen first, if there are more than ``most``."""
+    labs = [None if c["r"] is None else lab_of(c) for c in cells]
+    first = [None if lab is None else nearest_by_force(lab, own) for lab in labs]
+    seen = {}
+    for p in first:
+        if p:
+            seen.setdefault(p[0]["ord"], [0, len(seen), p])[0] += 1
+    if len(seen) > most:
+        own = [p for _, _, p in sorted(seen.values(), key=lambda s: (-s[0], s[1]))[:most]]
+        first = [None if lab is None else nearest_by_force(lab, own) for lab in labs]
+    return [p and p[0]["code"] for p in first]
+
+
+def counted(found):
+    out = {}
+    for image_id, codes_ in found.items():
+        for c in codes_:
+            if c:
+                out[image_id, c] = out.get((image_id, c), 0) + 1
+    return out
+
+
+def test_patterns_by_force(spark, sf_dir):
+    """The registered plan and its second palette, matched cell by cell from the sampled cells."""
+    config = config_for("subject", width=16, height=12, max_colors=10)
+    made = pattern.make_pattern(queries.pixels(spark, sf_dir), queries.brand_palette(spark, sf_dir), config)
+    cells = by_image(made.cells.collect())
+    for query, brand, most in ((queries.photo_to_pattern, queries.BRAND, 10), (queries.requantize, "Brand#24", 4)):
+        own = [(p, lab_of(p)) for p in palettes.of_brand(queries.palette(spark, sf_dir), brand).orderBy("ord").collect()]
+        got = {(r["image_id"], r["code"]): r["n"] for r in query(spark, sf_dir).collect()}
+        assert got and got == counted({k: reduced_by_force(v, own, most) for k, v in cells.items()})
+
+
+def test_cluster_quantise_by_force(spark, sf_dir):
+    """From the clusters' centres: their beads, every cell's nearest of them, then confetti."""
+    cells = queries.cells(spark, sf_dir).cache()
+    palette = [(p, lab_of(p)) for p in queries.brand_palette(spark, sf_dir).orderBy("ord").collect()]
+    centres = {}
+    for r in clustering.kmeans(cells, 8)[0].orderBy("label").collect():
+        centres.setdefault(r["image_id"], []).append(quantise.np.array([r["p_l"], r["p_a"], r["p_b"]]))
+    got = {k: [r["code"] for r in v] for k, v in by_image(queries.cluster_quantize(spark, sf_dir).collect()).items()}
+    assert len(got) > 1 and any(c for v in got.values() for c in v)
+    for image_id, rows in by_image(cells.collect()).items():
+        own = list({p[0]["ord"]: p for p in (nearest_by_force(c, palette) for c in centres[image_id])}.values())
+        found = [None if r["r"] is None else nearest_by_force(lab_of(r), own) for r in rows]
+        order = [p for p in found if p]
+        seen = list({p[0]["ord"]: p for p in order}.values())
+        count = {p[0]["ord"]: sum(q[0]["ord"] == p[0]["ord"] for q in order) for p in seen}
+        kept = [p for p in seen if count[p[0]["ord"]] / len(order) >= 0.02]
+        if kept:
+            found = [p if p is None or count[p[0]["ord"]] / len(order) >= 0.02 else nearest_by_force(p[1], kept) for p in found]
+        assert got[image_id] == [p and p[0]["code"] for p in found]
