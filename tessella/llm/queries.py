@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bytebpe, jaccard, langid, licenses, media, packing, pii, substrings, tokencount
+from tessella.llm import ann, bytebpe, importance, jaccard, langid, licenses, media, oracles, packing, pii, substrings, tokencount, urlrules
 from tessella.llm.common import table
 
 
@@ -63,6 +63,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: (host, path, verdict) of the rules that pages are judged by.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rules_of(spark, URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing,
@@ -75,9 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_license_scan,
         op10_ngram_jaccard_join,
+        op12_importance_resampling,
+        op13_url_filters,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql(URL_RULES)
