@@ -46,5 +46,22 @@ best as (select row, rule_host || rule_path as rule, rule_verdict from split joi
 select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from split left join best using (row)"""
 
 
+def prefix_trie_sql() -> str:
+    return f"""with {CRC_TABLE},
+turns as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as u, strlen(coalesce(text, '')) as bytes from conversations where conv_id is not null),
+sized as (select c as b, count(*) as nb from turns group by c),
+ids as (select distinct c from turns),
+convs as (select c, c - c % 5 as b, {crc32("c::varchar")} % 9 as h from ids, crc_table),
+rebuilt as (select k.c, t.i as d, u, bytes from convs k join turns t on t.c = k.b and t.i <= h
+  union all select k.c, least(h, coalesce(nb, 0)) + t.i - h, u, bytes from convs k join turns t on t.c = k.c and t.i > h left join sized s on s.b = k.b),
+paths as (select c, 0 as d, '' as p, 0 as bytes from convs union all select c, d, string_agg(u, '') over (partition by c order by d rows unbounded preceding), bytes from rebuilt),
+nodes as (select p, d, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(bytes) as saved from paths group by p, d),
+children as (select left(p, 64 * (d - 1)) as p, count(*) as n_children from nodes where d > 0 group by 1),
+ends as (select p, sha256(string_agg(c::varchar, ',' order by c)) as sha from (select c, arg_max(p, d) as p from paths group by c) group by p),
+sums as (select a.p, count(*) filter (where k.p is null) as n_leaves, sum(n.saved)::bigint as saved_tokens from nodes n left join children k on k.p = n.p join paths a on a.c = n.conv_id and a.d <= n.d group by a.p)
+select n.conv_id, n.d::bigint as depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from nodes n join sums using (p) left join children k on k.p = n.p left join ends e on e.p = n.p left join nodes q on n.d > 0 and q.d = n.d - 1 and q.p = left(n.p, 64 * (n.d - 1))"""
+
+
 def oracle_sql(url_rules: list[tuple[str, str, str]]) -> dict[str, str]:
-    return {"op12_importance_resampling": importance_sql(), "op13_url_filters": url_filters_sql(url_rules)}
+    return {"op11_prefix_trie": prefix_trie_sql(), "op12_importance_resampling": importance_sql(), "op13_url_filters": url_filters_sql(url_rules)}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bytebpe, importance, jaccard, langid, licenses, media, oracles, packing, pii, substrings, tokencount, urlrules
+from tessella.llm import ann, bytebpe, importance, jaccard, langid, licenses, media, oracles, packing, pii, prefixtrie, substrings, tokencount, urlrules
 from tessella.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_license_scan,
         op10_ngram_jaccard_join,
+        op11_prefix_trie,
         op12_importance_resampling,
         op13_url_filters,
     )
