@@ -13,9 +13,17 @@ WORK_SCALE = 4
 
 def sizes(pixels: DataFrame) -> DataFrame:
     """image_id, width, height."""
+    if {"width", "height"} <= set(pixels.columns):
+        return pixels.groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"))
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
+def sized(pixels: DataFrame) -> DataFrame:
+    """Pixels with their image's width and height: as the source gave them, else found by one
+    more pass over the pixels."""
+    return pixels if {"width", "height"} <= set(pixels.columns) else pixels.join(sizes(pixels), "image_id")
+
+
 def foreground_bounds(pixels: DataFrame) -> DataFrame:
     """image_id, min_x, min_y, max_x, max_y of opaque pixels; images without any are left out."""
     opaque = pixels.where("a >= 128")
@@ -24,10 +32,12 @@ def foreground_bounds(pixels: DataFrame) -> DataFrame:
 
 def trim_foreground(pixels: DataFrame) -> DataFrame:
     """Each image cut to its opaque part; images without one stay whole."""
-    cut = pixels.join(foreground_bounds(pixels), "image_id", "left")
+    cut = sized(pixels).join(foreground_bounds(pixels), "image_id", "left")
     inside = F.col("min_x").isNull() | (F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")))
     x, y = F.col("x") - F.coalesce("min_x", F.lit(0)), F.col("y") - F.coalesce("min_y", F.lit(0))
-    return cut.where(inside).select("image_id", x.alias("x"), y.alias("y"), *CHANNELS)
+    width = F.coalesce(F.col("max_x") - F.col("min_x") + 1, F.col("width"))
+    height = F.coalesce(F.col("max_y") - F.col("min_y") + 1, F.col("height"))
+    return cut.where(inside).select("image_id", x.alias("x"), y.alias("y"), *CHANNELS, width.alias("width"), height.alias("height"))
 
 
 def _placed(pixels: DataFrame, width: Column, height: Column, x_from: Column, y_from: Column, x_to: Column, y_to: Column, plan: DataFrame, fill: tuple[int, int, int, int]) -> DataFrame:
@@ -36,10 +46,10 @@ def _placed(pixels: DataFrame, width: Column, height: Column, x_from: Column, y_
     grid = plan.withColumn("x", F.explode(F.sequence(F.lit(0), width - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), height - 1)))
     drawn = F.col("x").between(x_from, x_to - 1) & F.col("y").between(y_from, y_to - 1)
     source = lambda c, off: F.when(drawn, F.floor((F.col(c) - F.col(off)) / F.col("scale")).cast("int"))
-    target = grid.select("image_id", "x", "y", source("x", "off_x").alias("sx"), source("y", "off_y").alias("sy"))
+    target = grid.select("image_id", "x", "y", source("x", "off_x").alias("sx"), source("y", "off_y").alias("sy"), width.cast("int").alias("width"), height.cast("int").alias("height"))
     below = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *CHANNELS)
     found = target.join(below, ["image_id", "sx", "sy"], "left")
-    return found.select("image_id", "x", "y", *(F.coalesce(F.col(c), F.lit(v)).cast("int").alias(c) for c, v in zip(CHANNELS, fill, strict=True)))
+    return found.select("image_id", "x", "y", *(F.coalesce(F.col(c), F.lit(v)).cast("int").alias(c) for c, v in zip(CHANNELS, fill, strict=True)), "width", "height")
 
 
 def resize(pixels: DataFrame, width: int, height: int, fit: str = "cover", fill: tuple[int, int, int, int] = (255, 255, 255, 255)) -> DataFrame:
@@ -72,6 +82,19 @@ def subject_fill(pixels: DataFrame, size: int, pad_ratio: float = 0.04) -> DataF
     return _placed(trimmed, F.lit(size), F.lit(size), F.lit(pad), F.lit(pad), F.lit(size - pad), F.lit(size - pad), plan, (0, 0, 0, 0))
 
 
+def oriented(pixels: DataFrame, orientation: Column) -> DataFrame:
+    """Pixels turned and mirrored upright from one of the eight orientations that cameras note
+    (1: upright, also for any other value; 5 to 8 swap the sides)."""
+    own = sized(pixels).withColumn("__turn", F.coalesce(orientation, F.lit(1)))
+    turn, x, y = F.col("__turn"), F.col("x"), F.col("y")
+    right, low = F.col("width") - 1 - x, F.col("height") - 1 - y
+    new_x = F.when(turn.isin(2, 3), right).when(turn.isin(5, 8), y).when(turn.isin(6, 7), low).otherwise(x)
+    new_y = F.when(turn.isin(3, 4), low).when(turn.isin(5, 6), x).when(turn.isin(7, 8), right).otherwise(y)
+    lying = turn.between(5, 8)
+    width, height = F.when(lying, F.col("height")).otherwise(F.col("width")), F.when(lying, F.col("width")).otherwise(F.col("height"))
+    return own.select("image_id", new_x.alias("x"), new_y.alias("y"), *CHANNELS, width.alias("width"), height.alias("height"))
+
+
 def full_canvas(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """The working canvas of a whole image: four pixels a cell each way."""
     return resize(pixels, width * WORK_SCALE, height * WORK_SCALE, "cover")

@@ -39,19 +39,73 @@ def _side(palette: DataFrame, *columns: str) -> DataFrame:
     return palette.select(*columns, "brand", "code", "ord", *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
 
 
+def _dealt(colors: DataFrame, *by: str) -> DataFrame:
+    """Colours dealt to all partitions: few rows, each of which meets a whole palette, so
+    adaptive execution must not put them into one."""
+    return colors.repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """r, g, b with brand, code, ord and delta_e of the nearest row of one palette.  Every
-    colour is compared with every palette row, as the measure has no index."""
+    colour is compared with every row of a palette that may be broadcast; of larger ones with
+    those that its lightness allows (``nearest_pruned``)."""
     side = _side(with_palette_lab(palette))
-    pairs = _measured(colors.crossJoin(small(side)))
+    if side.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return nearest_pruned(colors, palette)
+    return _best(_measured(_dealt(colors).crossJoin(F.broadcast(side))))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
     best = F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best")
     return pairs.groupBy("r", "g", "b").agg(best).select("r", "g", "b", "best.brand", "best.code", "best.ord", "best.delta_e")
 
 
+#: Sides of the cubes of Lab, fine to coarse, in which a colour looks for a first neighbour.
+CUBES = (3.0, 6.0, 12.0, 24.0, 48.0)
+#: CIEDE2000 divides the lightness difference by 1.747 at most (at L = 0 and 100), and the rest
+#: of the sum of squares is never negative.
+LIGHTNESS_DIVISOR = 1.75
+#: Lightness of a bucket in which colours and palette rows meet.
+STEP = 1.0
+
+
+def _cubes(lab: tuple[str, str, str]) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("cube"), *(F.floor(F.col(c) / size).cast("int").alias(f"at_{n}") for c, n in zip(lab, "lab", strict=True))) for k, size in enumerate(CUBES))))
+
+
+def candidates(colors: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs of a colour with each palette row that its lightness allows to be the nearest.
+
+    A first bound comes from one row of each cube that the colour lies in and from one row of
+    the whole palette.  Every row nearer than that bound lies within ``LIGHTNESS_DIVISOR`` times
+    the bound in lightness, so the colour goes to the buckets of that range only."""
+    reps = side.select(*(f"p_{c}" for c in "lab"), "ord", _cubes(("p_l", "p_a", "p_b")).alias("c")).select("c.*", "ord", *(f"p_{c}" for c in "lab"))
+    reps = reps.groupBy("cube", "at_l", "at_a", "at_b").agg(F.min(F.struct("ord", "p_l", "p_a", "p_b")).alias("rep"))
+    any_ = F.broadcast(side.agg(F.min(F.struct("ord", "p_l", "p_a", "p_b")).alias("any")))  # one row
+    met = colors.select("r", "g", "b", *LAB, _cubes(LAB).alias("c")).select("r", "g", "b", *LAB, "c.*").join(reps, ["cube", "at_l", "at_a", "at_b"], "left").crossJoin(any_)
+    one = F.coalesce("rep", "any")
+    first = _measured(met.select("r", "g", "b", *LAB, *(one[f"p_{c}"].alias(f"p_{c}") for c in "lab")))
+    bounded = first.groupBy("r", "g", "b", *LAB).agg(F.min("delta_e").alias("bound"))
+    reach = F.col("bound") * LIGHTNESS_DIVISOR + 1e-6
+    low, high = (F.floor((F.col("lab_l") + by) / STEP) for by in (-reach, reach))
+    asked = bounded.withColumn("reach", reach).withColumn("bucket", F.explode(F.sequence(F.greatest(low, F.lit(-1)), F.least(high, F.lit(int(100 / STEP) + 1)))))
+    placed = side.withColumn("bucket", F.floor(F.col("p_l") / STEP))
+    return asked.join(placed, "bucket").where(F.abs(F.col("lab_l") - F.col("p_l")) <= F.col("reach"))
+
+
+def nearest_pruned(colors: DataFrame, palette: DataFrame) -> DataFrame:
+    """``nearest`` for a palette of any size: a shuffled join on buckets of lightness.  Of
+    palette rows of one colour only the first is kept."""
+    side = _side(with_palette_lab(palette))
+    same = side.groupBy("p_l", "p_a", "p_b").agg(F.min(F.struct("ord", "brand", "code")).alias("first"))
+    side = same.select("first.*", "p_l", "p_a", "p_b")
+    return _best(_measured(candidates(colors, side)))
+
+
 def nearest_of_own(cells: DataFrame, palettes: DataFrame, tie: Column) -> DataFrame:
     """image_id, r, g, b with the nearest row of each image's own palette (image_id, palette
     columns), ties by ``tie``."""
-    own = color.with_lab(cells.where(F.col("r").isNotNull()).select("image_id", "r", "g", "b").distinct())
+    own = color.with_lab(_dealt(cells.where(F.col("r").isNotNull()).select("image_id", "r", "g", "b").distinct(), "image_id"))
     side = palettes.select("image_id", "brand", "code", "ord", tie.alias("tie"), *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
     pairs = _measured(own.join(side, "image_id"))
     best = F.min(F.struct("delta_e", "tie", "ord", "brand", "code")).alias("best")

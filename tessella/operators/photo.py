@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import color
-from tessella.operators.geometry import sizes
+from tessella.operators.geometry import sized
+from tessella.operators.tiles import TILE, map_tiles
 from tessella.shipping import ship
 
 #: The Sobel kernels by offset.
@@ -31,22 +33,41 @@ def tone(pixels: DataFrame, gains: tuple[float, float, float], offsets: tuple[fl
     return pixels.withColumns({c: color.half_up(color.clamp(F.col(c) * gain + offset)) for c, gain, offset in zip("rgb", gains, offsets, strict=True)})
 
 
+def modulate(pixels: DataFrame, brightness: float = 1.0, saturation: float = 1.0, hue: float = 0.0, lightness: float = 0.0) -> DataFrame:
+    """Lightness times ``brightness`` plus ``lightness``, chroma times ``saturation`` and hue
+    turned by ``hue`` degrees, in the cylinder over CIELAB (LCh); channels out of gamut are
+    clamped."""
+    lab = color.with_lab(pixels)
+    a, b = F.col("lab_a"), F.col("lab_b")
+    chroma, angle = F.sqrt(a * a + b * b) * saturation, F.atan2(b, a) + math.radians(hue)
+    moved = lab.withColumns({"lab_l": F.col("lab_l") * brightness + lightness, "lab_a": chroma * F.cos(angle), "lab_b": chroma * F.sin(angle)})
+    back = color.with_rgb(moved).drop("lab_l", "lab_a", "lab_b")
+    return back.withColumns({c: color.clamp(F.col(c)).cast("int") for c in "rgb"}).select(*pixels.columns)
+
+
 def low_res_cells(pixels: DataFrame, levels: int = 10) -> DataFrame:
     """Every pixel as a cell of its own, its channels on ``levels`` values."""
     return pixels.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), *(color.clamp(color.posterize_channel(F.col(c), levels)).cast("int").alias(c) for c in "rgb"))
 
 
-def gradients(pixels: DataFrame) -> DataFrame:
-    """image_id, x, y, magnitude of the luma gradient of all pixels off the border.
+def _sobel(grey: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
+    """Magnitudes of the gradient, a shift of the whole tile at a time."""
+    height, width = there.shape[0] - 2, there.shape[1] - 2
+    gx, gy = np.zeros((height, width)), np.zeros((height, width))
+    for dx, dy, wx, wy in SOBEL:
+        near = grey[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width, 0]
+        gx += near * wx
+        gy += near * wy
+    return {"magnitude": np.sqrt(gx * gx + gy * gy)}
+
 
-    Each pixel sends its weighted grey to its eight neighbours: one aggregation, no self-join."""
-    bounds = sizes(pixels)
-    kernel = F.array(*(F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(float(wx)).alias("wx"), F.lit(float(wy)).alias("wy")) for dx, dy, wx, wy in SOBEL))
-    sent = pixels.select("image_id", "x", "y", color.grey(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("grey"), F.explode(kernel).alias("k"))
-    sent = sent.select("image_id", (F.col("x") + F.col("k.dx")).alias("x"), (F.col("y") + F.col("k.dy")).alias("y"), (F.col("grey") * F.col("k.wx")).alias("gx"), (F.col("grey") * F.col("k.wy")).alias("gy"))
-    sums = sent.groupBy("image_id", "x", "y").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+def gradients(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """image_id, x, y, magnitude of the luma gradient of all pixels off the border."""
+    pixels = sized(pixels)
+    grey = pixels.select("image_id", "x", "y", "width", "height", color.grey(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("grey"))
+    found = map_tiles(grey, ("grey",), 1, _sobel, "magnitude double", tile)
     inner = F.col("x").between(1, F.col("width") - 2) & F.col("y").between(1, F.col("height") - 2)
-    return sums.join(bounds, "image_id").where(inner).select("image_id", "x", "y", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("magnitude"))
+    return found.where(inner).select("image_id", "x", "y", "magnitude")
 
 
 def enhance_edges(pixels: DataFrame, threshold: float = 90, darken: float = 0.55) -> DataFrame:
@@ -58,43 +79,30 @@ def enhance_edges(pixels: DataFrame, threshold: float = 90, darken: float = 0.55
     return marked.withColumns({c: F.when(on, color.half_up(F.col(c) * factor)).otherwise(F.col(c)) for c in ("r", "g", "b")}).select(*pixels.columns)
 
 
-def _smooth(rgb: np.ndarray, there: np.ndarray, sigma_space: float, sigma_color: float) -> np.ndarray:
-    """Weighted means of one image's neighbourhoods, a shift of the whole image at a time."""
-    height, width = there.shape
+def _smooth(values: np.ndarray, there: np.ndarray, sigma_space: float, sigma_color: float) -> dict[str, np.ndarray]:
+    """Weighted means of a tile's neighbourhoods, a shift of the whole tile at a time."""
     radius = math.ceil(sigma_space * 2)
-    outer = np.pad(rgb, ((radius, radius), (radius, radius), (0, 0)), mode="edge")
-    outer_there = np.pad(there, radius, mode="edge")
-    sums, weights = np.zeros(rgb.shape), np.zeros(there.shape)
+    height, width = there.shape[0] - 2 * radius, there.shape[1] - 2 * radius
+    inner = (slice(radius, radius + height), slice(radius, radius + width))
+    rgb, own = values[..., :3], values[inner][..., :3]
+    sums, weights = np.zeros(own.shape), np.zeros(own.shape[:2])
     for dy in range(-radius, radius + 1):
         for dx in range(-radius, radius + 1):
-            rows, columns = slice(radius + dy, radius + dy + height), slice(radius + dx, radius + dx + width)
-            near = outer[rows, columns]
-            w = math.exp(-(dx * dx + dy * dy) / (2.0 * sigma_space * sigma_space)) * np.exp(-((rgb - near) ** 2).sum(-1) / (2.0 * sigma_color * sigma_color))
-            w = w * outer_there[rows, columns]
-            sums += near * w[..., None]
+            at = (slice(radius + dy, radius + dy + height), slice(radius + dx, radius + dx + width))
+            w = math.exp(-(dx * dx + dy * dy) / (2.0 * sigma_space * sigma_space)) * np.exp(-((own - rgb[at]) ** 2).sum(-1) / (2.0 * sigma_color * sigma_color))
+            w = w * there[at]
+            sums += rgb[at] * w[..., None]
             weights += w
-    return np.floor(sums / np.where(there, weights, 1.0)[..., None] + 0.5)
+    out = np.floor(sums / np.where(there[inner], weights, 1.0)[..., None] + 0.5).astype(np.int32)
+    return {**{c: out[..., k] for k, c in enumerate("rgb")}, "a": values[inner][..., 3].astype(np.int32)}
 
 
-def bilateral(pixels: DataFrame, sigma_space: float, sigma_color: float) -> DataFrame:
+def bilateral(pixels: DataFrame, sigma_space: float, sigma_color: float, tile: int = TILE) -> DataFrame:
     """Edge-keeping smoothing over (2 ceil(2 sigma_space) + 1) squared neighbours, the border
-    repeated outwards; missing pixels weigh nothing.
-
-    As rows, each pixel would meet all of its neighbours in a shuffle of 25 times the table at
-    a ``sigma_space`` of 1.  So pixels are dealt by image once, and an image (bounded by the
-    intake's size limit) is smoothed as arrays."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        shape = (int(y.max()) + 1, int(x.max()) + 1)
-        rgb, there = np.zeros((*shape, 3)), np.zeros(shape, bool)
-        rgb[y, x], there[y, x] = pdf[["r", "g", "b"]].to_numpy(float), True
-        smoothed = _smooth(rgb, there, sigma_space, sigma_color)[y, x].astype(np.int32)
-        return pdf.assign(r=smoothed[:, 0], g=smoothed[:, 1], b=smoothed[:, 2])
-
-    ship(pixels.sparkSession)
-    own = pixels.select("image_id", "x", "y", *(F.col(c).cast("int").alias(c) for c in "rgb"), "a")
-    return own.groupBy("image_id").applyInPandas(one, own.schema)
+    repeated outwards; missing pixels weigh nothing.  As rows, each pixel would meet all of its
+    neighbours in a shuffle of 25 times the table at a ``sigma_space`` of 1."""
+    work = functools.partial(_smooth, sigma_space=sigma_space, sigma_color=sigma_color)
+    return map_tiles(pixels, ("r", "g", "b", "a"), math.ceil(sigma_space * 2), work, "r int, g int, b int, a int", tile)
 
 
 def _flood(data: np.ndarray, alpha: np.ndarray, tolerance: float) -> np.ndarray:
@@ -137,5 +145,5 @@ def flood_fill_background(pixels: DataFrame, tolerance: float = 32) -> DataFrame
         return pdf.assign(a=alpha.reshape(-1).astype(np.int32))
 
     ship(pixels.sparkSession)
-    own = pixels.select("image_id", "x", "y", "r", "g", "b", "a")
+    own = sized(pixels).select("image_id", "x", "y", "r", "g", "b", "a", "width", "height")
     return own.groupBy("image_id").applyInPandas(one, own.schema)

@@ -16,18 +16,12 @@ from tessella.shipping import ship
 BEADS = ("image_id", "cx", "cy", "brand", "code")
 
 
-def with_seq(cells: DataFrame) -> DataFrame:
-    """Cells with their place in row order, which decides what is seen first."""
-    width = cells.groupBy("image_id").agg((F.max("cx") + 1).alias("__width"))
-    return cells.join(width, "image_id").withColumn("seq", F.col("cy") * F.col("__width") + F.col("cx")).drop("__width")
-
-
 def reduced_palettes(cells: DataFrame, palette: DataFrame, max_colors: int) -> DataFrame:
     """Each image's most frequent nearest colours, first seen first among equals: image_id,
     rank, n, dropped (whether the image had more), brand, code, ord, Lab."""
     palette = with_palette_lab(palette)
-    matched = with_seq(cells).join(nearest(matching.distinct_colors(cells), palette), ["r", "g", "b"])
-    counts = matched.groupBy("image_id", "ord").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"))
+    matched = cells.join(nearest(matching.distinct_colors(cells), palette), ["r", "g", "b"])
+    counts = matched.groupBy("image_id", "ord").agg(F.count("*").alias("n"), F.min(F.struct("cy", "cx")).alias("first_seen"))
     by_count = Window.partitionBy("image_id").orderBy(F.desc("n"), "first_seen")  # one row a colour
     ranked = counts.withColumn("rank", F.row_number().over(by_count)).withColumn("dropped", F.count("*").over(Window.partitionBy("image_id")) > max(1, max_colors))
     return ranked.where(F.col("rank") <= max(1, max_colors)).join(palette.select("ord", "brand", "code", *LAB), "ord")
@@ -65,7 +59,7 @@ def clean_confetti(beads: DataFrame, palette: DataFrame, min_ratio: float) -> Da
     """Beads of colours below a share of the image's beads take the nearest colour that is
     not, the first seen of equals; nothing changes where all or none are below."""
     lab = with_palette_lab(palette).select("ord", "brand", "code", *LAB)
-    counts = with_seq(beads).where("ord is not null").groupBy("image_id", "ord").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"))
+    counts = beads.where("ord is not null").groupBy("image_id", "ord").agg(F.count("*").alias("n"), F.min(F.struct("cy", "cx")).alias("first_seen"))
     kept = F.col("n") / F.sum("n").over(Window.partitionBy("image_id")) >= min_ratio  # one row a colour
     shares = counts.withColumn("kept", kept).join(lab.drop("brand", "code"), "ord")
     orphans = shares.where(~F.col("kept")).select("image_id", F.col("ord").alias("orphan"), *LAB)

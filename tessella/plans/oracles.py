@@ -90,6 +90,13 @@ SWAPS = """swaps as (
 swapped as (
   select image_id, cx, cy, coalesce(new_brand, brand) as brand, coalesce(new_code, code) as code from beads left join swaps on brand || ':' || code = color_key)"""
 
+NEAREST_OF_ALL = f"""{lab("pal", "palette")},
+colors as (select distinct r, g, b from cells where r is not null),
+{lab("col", "colors")},
+against as (select c.r, c.g, c.b, c.lab_l, c.lab_a, c.lab_b, p.brand, p.code, p.ord, p.lab_l as p_l, p.lab_a as p_a, p.lab_b as p_b from col c cross join pal p),
+{delta_e("measured", "against")}
+select r, g, b, brand, code, ord, round(delta_e, 6) as delta_e from measured qualify row_number() over (partition by r, g, b order by delta_e, ord) = 1"""
+
 WITH_CELLS = f"with {PIXELS},\n{CELLS}"
 WITH_NEAREST = f"with {PIXELS},\n{PALETTE},\n{CELLS},\n{NEAREST}"
 WITH_BEADS = f"{WITH_NEAREST},\n{REDUCED},\n{BEADS}"
@@ -144,6 +151,54 @@ select t.image_id, t.x, t.y, coalesce(p.r, 255) as r, coalesce(p.g, 255) as g, c
 from target t left join pixels p on p.image_id = t.image_id and p.x = t.sx and p.y = t.sy"""
 
 
+_KERNEL = "case when t = 0 then 1 when abs(t) < 3 then sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) else 0 end"
+
+
+def lanczos(name: str, source: str, width: int, height: int) -> str:
+    """A chain of CTEs that resamples the pixels of ``source`` by rows of weights an axis."""
+    taps = lambda axis, side, n: f"""{name}_u{axis} as (select image_id, {side}, g.range as target, (g.range - floor(({n} - v{axis}) / 2.0) + 0.5::double) * ({side} / v{axis}) - 0.5::double as u, greatest(1.0::double, {side} / v{axis}) as k from {name}_virtual, range({n}) g),
+{name}_w{axis} as (select image_id, target, greatest(0, least({side} - 1, tap)) as src, (tap - u) / k as t from (select *, unnest(generate_series(floor(u - 3 * k)::bigint, ceil(u + 3 * k)::bigint)) as tap from {name}_u{axis})),
+{name}_{axis} as (select image_id, target, src, sum({_KERNEL}) as w from {name}_w{axis} group by all)"""
+    sums = lambda values, w: ", ".join(f"sum({v} * {w}) / sum({w}) as {c}" for v, c in zip(values, "rgba", strict=True))
+    channel = lambda v: f"cast(floor(greatest(0, least(255, round({v}, 6))) + 0.5) as int)"
+    return f"""{name}_extent as (select image_id, max(x) + 1 as w, max(y) + 1 as h from {source} group by all),
+{name}_virtual as (select *, greatest(1, floor(w * s + 0.5))::double as vx, greatest(1, floor(h * s + 0.5))::double as vy from (select *, greatest({width}.0::double / w, {height}.0::double / h) as s from {name}_extent)),
+{taps("x", "w", width)},
+{taps("y", "h", height)},
+{name}_down as (select p.image_id, p.x, target as y, {sums(("p.r * p.a", "p.g * p.a", "p.b * p.a", "p.a"), "w")} from {source} p join {name}_y k on k.image_id = p.image_id and k.src = p.y group by p.image_id, p.x, target),
+{name}_both as (select p.image_id, target as x, p.y, {sums(("p.r", "p.g", "p.b", "p.a"), "w")} from {name}_down p join {name}_x k on k.image_id = p.image_id and k.src = p.x group by p.image_id, target, p.y),
+{name} as (select image_id, cast(x as int) as x, cast(y as int) as y, {", ".join(f"case when round(a, 6) > 0 then {channel(f'{c} / a')} else 0 end as {c}" for c in "rgb")}, {channel("a")} as a from {name}_both)"""
+
+
+def rgb(name: str, source: str) -> str:
+    """A chain of CTEs that replaces r, g, b by those of lab_l, lab_a, lab_b, clamped."""
+    linear = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+    cube = lambda f: f"case when {f} > 0.2068966::double then {f} * {f} * {f} else (116 * {f} - 16) / 903.3::double end"
+    return f"""{name}_f as (select *, (lab_l + 16) / 116 as fy, lab_a / 500 + (lab_l + 16) / 116 as fx, (lab_l + 16) / 116 - lab_b / 200 as fz from {source}),
+{name}_xyz as (select *, ({cube("fx")}) * 0.95047::double as cx_, (case when lab_l > 8 then fy * fy * fy else lab_l / 903.3::double end) as cy_, ({cube("fz")}) * 1.08883::double as cz_ from {name}_f),
+{name}_lin as (select *, {", ".join(f"cx_ * {m[0]}::double + cy_ * {m[1]}::double + cz_ * {m[2]}::double as l{c}" for c, m in zip("rgb", linear, strict=True))} from {name}_xyz),
+{name} as (select * replace ({", ".join(f"cast(greatest(0, least(255, floor((case when l{c} > 0.0031308::double then 1.055::double * pow(l{c}, 1 / 2.4::double) - 0.055::double else 12.92::double * l{c} end) * 255 + 0.5::double))) as int) as {c}" for c in "rgb")}) from {name}_lin)"""
+
+
+def modulated(name: str, source: str, hue: float = 0.0) -> str:
+    turned = lambda f: f"sqrt(lab_a * lab_a + lab_b * lab_b) * 1.22::double * {f}(atan2(lab_b, lab_a) + radians({hue}::double))"
+    return f"""{lab(name + "_lab", source)},
+{name}_moved as (select * replace (lab_l * 1.08::double as lab_l, {turned("cos")} as lab_a, {turned("sin")} as lab_b) from {name}_lab),
+{rgb(name, name + "_moved")}"""
+
+
+TURNED = """turning as (select p.*, image_id % 9 as o, max(x) over (partition by image_id) - x as right_, max(y) over (partition by image_id) - y as low from pixels p),
+upright as (
+  select image_id, case when o in (2, 3) then right_ when o in (5, 8) then y when o in (6, 7) then low else x end as x,
+         case when o in (3, 4) then low when o in (5, 6) then x when o in (7, 8) then right_ else y end as y, r, g, b, a from turning)"""
+
+
+def toned(name: str, source: str) -> str:
+    """The tone of the photo preset and posterised cells, each pixel one."""
+    return f"""{name}_1 as (select image_id, x, y, {", ".join(f"floor(greatest(0, least(255, {c} * {k}::double + {o}::double)) + 0.5) as {c}" for c, k, o in zip("rgb", (1.06, 1.02, 0.94), (10, 6, 0), strict=True))} from {source}),
+{name} as (select image_id, x as cx, y as cy, {", ".join(f"cast(greatest(0, least(255, floor(floor({c} / (255.0::double / 9) + 0.5) * (255.0::double / 9) + 0.5))) as int) as {c}" for c in "rgb")} from {name}_1)"""
+
+
 TRIMMED = f"""{PIXELS},
 {BOXED},
 box as (select image_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from boxed where a >= 128 group by all),
@@ -193,6 +248,10 @@ select * from fresh union all select brand, code, name, ord from palette where (
         "trim_foreground": f"with {TRIMMED} select image_id, x, y, r, g, b, a from trimmed",
         "resize_cover_nearest": resized("greatest"),
         "resize_contain_nearest": resized("least"),
+        "resize_cover_lanczos": f"with {PIXELS}, {lanczos('small', 'pixels', 40, 28)} select * from small",
+        "oriented": f"with {PIXELS}, {TURNED} select * from upright",
+        "modulate": f"with {PIXELS}, {modulated('vivid', 'pixels', 30.0)} select image_id, seq, r, g, b, a from vivid",
+        "photo_cells": f"with {PIXELS}, {TURNED}, {lanczos('small', 'upright', 24, 18)}, {modulated('vivid', 'small')}, {toned('cells', 'vivid')} select * from cells",
         "subject_fill": f"""with {TRIMMED},
 extent as (select image_id, max(x) + 1 as w, max(y) + 1 as h from trimmed group by all),
 scaled as (select *, greatest(34.0::double / w, 34.0::double / h) as scale from extent),
@@ -215,6 +274,7 @@ group by all""",
         "area_downsample": windows(", ".join(f"cast(floor(avg(p.{c}) + 0.5) as int) as {c}" for c in "rgb")),
         "alpha_downsample": windows("cast(floor(avg(p.a) + 0.5) as int) as a"),
         "nearest_color": f"{WITH_NEAREST} select r, g, b, brand, code, ord, round(delta_e, 6) as delta_e from nearest",
+        "nearest_color_pruned": f"with {PIXELS}, {PALETTE}, {CELLS}, {NEAREST_OF_ALL}",
         "reduced_palette_topk": f"{WITH_NEAREST}, {REDUCED} select image_id, cast(rank as int) as rank, n, brand, code from reduced",
         "quantize_grid": f"{WITH_BEADS} select image_id, cx, cy, brand, code from beads",
         "bead_counts": f"{WITH_BEADS} select image_id, brand, code, count(*) as n from beads where code is not null group by all",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tessella.operators import geometry, photo, pooling, quantise, render
+from tessella.operators import geometry, photo, pooling, quantise, render, resample
 from tessella.operators.lineage import written
 from tessella.plans.config import PRESETS, Config
 
@@ -53,6 +53,23 @@ def make_pattern(pixels: DataFrame, palette: DataFrame, config: Config) -> Patte
     return _of_cells(written(sample(preprocess(canvas(pixels, config), config), config)), palette, config)
 
 
+#: The photo preset's gains and offsets.
+BRIGHTNESS, SATURATION, GAINS, OFFSETS = 1.08, 1.22, (1.06, 1.02, 0.94), (10, 6, 0)
+PHOTO_CONFETTI = 0.0015
+
+
+def photo_cells(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Cells of upright photos: resampled to the grid's size, livened up, toned and posterised."""
+    small = resample.resize_lanczos(pixels, width, height)
+    return photo.low_res_cells(photo.tone(photo.modulate(small, BRIGHTNESS, SATURATION), GAINS, OFFSETS))
+
+
+def make_photo_pattern(pixels: DataFrame, palette: DataFrame, size: int = 96, max_colors: int = 32) -> Pattern:
+    """The pattern of photos whose every resampled pixel is a bead."""
+    config = Config(size, size, max_colors=max_colors, dither=False, confetti_min_ratio=PHOTO_CONFETTI).resolved()
+    return _of_cells(written(photo_cells(pixels, size, size)), palette, config)
+
+
 def requantise(made: Pattern, palette: DataFrame, **changes) -> Pattern:
     """A pattern of the same cells with another palette or other settings of the quantiser
     (max_colors, dither, confetti_min_ratio): nothing is sampled again."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color, strings
-from tessella.operators import assembly, cleanup, clustering, geometry, matching, photo, pooling, quantise, render, replacement
+from tessella.operators import assembly, cleanup, clustering, geometry, matching, photo, pooling, quantise, render, replacement, resample
 from tessella.plans import pattern
 from tessella.plans.config import config_for
 from tessella.sources import images, palettes
@@ -16,6 +16,7 @@ from tessella.sources import images, palettes
 #: 10 x 10 cells of 5 x 5 pixels.
 GRID, MASK, THRESHOLD, COLORS = 10, 0xF0, 0.7, 12
 BRAND = "Brand#13"
+PIXEL = ("image_id", "x", "y", "r", "g", "b", "a")
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -135,23 +136,45 @@ def foreground_bounds(spark, sf_dir):
 @query
 def trim_foreground(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    return geometry.trim_foreground(p.withColumn("a", F.when(F.col("x").between(7, 31) & F.col("y").between(5, 40), F.col("a")).otherwise(0)))
+    return geometry.trim_foreground(p.withColumn("a", F.when(F.col("x").between(7, 31) & F.col("y").between(5, 40), F.col("a")).otherwise(0))).select(*PIXEL)
 
 
 @query
 def resize_cover_nearest(spark, sf_dir):
-    return geometry.resize(pixels(spark, sf_dir), 40, 28, "cover")
+    return geometry.resize(pixels(spark, sf_dir), 40, 28, "cover").select(*PIXEL)
 
 
 @query
 def resize_contain_nearest(spark, sf_dir):
-    return geometry.resize(pixels(spark, sf_dir), 40, 28, "contain")
+    return geometry.resize(pixels(spark, sf_dir), 40, 28, "contain").select(*PIXEL)
+
+
+@query
+def resize_cover_lanczos(spark, sf_dir):
+    return resample.resize_lanczos(pixels(spark, sf_dir), 40, 28).select(*PIXEL)
+
+
+@query
+def oriented(spark, sf_dir):
+    """Every image turned from one of the eight orientations."""
+    return geometry.oriented(pixels(spark, sf_dir), F.col("image_id") % 9).select(*PIXEL)
+
+
+@query
+def modulate(spark, sf_dir):
+    return photo.modulate(pixels(spark, sf_dir), pattern.BRIGHTNESS, pattern.SATURATION, hue=30.0).select("image_id", "seq", "r", "g", "b", "a")
+
+
+@query
+def photo_cells(spark, sf_dir):
+    """The whole way of a photo to its cells: upright, resampled, livened up, toned, posterised."""
+    return pattern.photo_cells(geometry.oriented(pixels(spark, sf_dir), F.col("image_id") % 9), 24, 18)
 
 
 @query
 def subject_fill(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    return geometry.subject_fill(p.withColumn("a", F.when(F.col("x").between(7, 31) & F.col("y").between(5, 40), F.col("a")).otherwise(0)), 36, 0.04)
+    return geometry.subject_fill(p.withColumn("a", F.when(F.col("x").between(7, 31) & F.col("y").between(5, 40), F.col("a")).otherwise(0)), 36, 0.04).select(*PIXEL)
 
 
 @query
@@ -190,6 +213,13 @@ def nearest_color(spark, sf_dir):
     return rounded(found, "delta_e")
 
 
+@query
+def nearest_color_pruned(spark, sf_dir):
+    """The whole part table as one palette, met by lightness instead of all with all."""
+    found = matching.nearest_pruned(matching.distinct_colors(cells(spark, sf_dir)), palette(spark, sf_dir))
+    return rounded(found, "delta_e")
+
+
 @query
 def reduced_palette_topk(spark, sf_dir):
     return quantise.reduced_palettes(cells(spark, sf_dir), brand_palette(spark, sf_dir), COLORS).select("image_id", "rank", "n", "brand", "code")
@@ -303,7 +333,7 @@ def svg_cells(spark, sf_dir):
 
 @query
 def bilateral_filter(spark, sf_dir):
-    return photo.bilateral(pixels(spark, sf_dir), 1.0, 30.0)
+    return photo.bilateral(pixels(spark, sf_dir), 1.0, 30.0).select(*PIXEL)
 
 
 @query
