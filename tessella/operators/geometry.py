@@ -105,10 +105,34 @@ def subject_canvas(pixels: DataFrame, width: int, height: int, detail: bool = Fa
     return subject_fill(pixels, max(width, height) * WORK_SCALE, 0.02 if detail else 0.04)
 
 
+#: The sizes of boards to choose from.
+BOARD_SIZES = (29, 57, 80)
+
+
+def boards_of(grids: DataFrame, size: Column) -> DataFrame:
+    """The boards that each grid (width, height and further columns) is split into, row by row;
+    the last ones are cut.  A size below 1 counts as 1."""
+    whole = grids.withColumn("__size", F.greatest(F.lit(1), size.cast("int")))
+    whole = whole.withColumns({"__cols": F.ceil(F.col("width") / F.col("__size")).cast("int"), "__rows": F.ceil(F.col("height") / F.col("__size")).cast("int")})
+    boards = whole.where("__cols > 0 and __rows > 0").withColumn("board_index", F.explode(F.sequence(F.lit(0), F.col("__cols") * F.col("__rows") - 1)))
+    boards = boards.withColumns({"board_row": F.floor(F.col("board_index") / F.col("__cols")).cast("int"), "board_col": (F.col("board_index") % F.col("__cols")).cast("int")})
+    x, y = F.col("board_col") * F.col("__size"), F.col("board_row") * F.col("__size")
+    rest = [c for c in grids.columns if c not in ("width", "height")]
+    return boards.select(*rest, "board_index", "board_row", "board_col", x.alias("x"), y.alias("y"), F.least("__size", F.col("width") - x).alias("width"), F.least("__size", F.col("height") - y).alias("height"))
+
+
 def board_regions(spark: SparkSession, width: int, height: int, size: int) -> DataFrame:
-    """Boards that a width x height grid is split into, row by row; the last ones are cut."""
-    size = max(1, int(size))
-    cols, rows = -(-width // size), -(-height // size)
-    boards = spark.range(cols * rows).select(F.col("id").cast("int").alias("board_index"), F.floor(F.col("id") / cols).cast("int").alias("board_row"), (F.col("id") % cols).cast("int").alias("board_col"))
-    x, y = F.col("board_col") * size, F.col("board_row") * size
-    return boards.select("*", x.alias("x"), y.alias("y"), F.least(F.lit(size), width - x).alias("width"), F.least(F.lit(size), height - y).alias("height"))
+    """``boards_of`` one grid."""
+    return boards_of(spark.range(1).select(F.lit(width).alias("width"), F.lit(height).alias("height")), F.lit(size))
+
+
+def cell_size(container: Column, cells: Column) -> Column:
+    """Pixels of a cell, 12 to 30, so that a grid of so many cells and its labels fit into a
+    container of at least 240 pixels inside its padding."""
+    room = F.greatest(F.lit(240), container - 32)
+    return F.greatest(F.lit(12), F.least(F.lit(30), F.floor((room - 28) / cells))).cast("int")
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Whole percent, rounded half up; 0 of nothing."""
+    return F.when(total > 0, half_up(done * 100 / total)).otherwise(0)

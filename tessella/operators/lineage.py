@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed at once, so plans that call this run jobs when they are made.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
 
-    The folder is the session's (``spark.checkpoint.dir``, which driver and executors share);
-    where none is set, a temporary one is made for a local master, else it is an error."""
-    context = df.sparkSession.sparkContext
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed at once, so plans that call this run jobs when they are made.
+
+    The folder is the session's (``spark.checkpoint.dir``, which driver and executors share);
+    where none is set, a temporary one is made for a local master, else it is an error."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -22,7 +22,7 @@ def canvas_size(width: int, height: int, cell: int, labels: bool = False) -> tup
     return width * cell + margin, height * cell + margin
 
 
-def _channels(palette: DataFrame) -> DataFrame:
+def channels(palette: DataFrame) -> DataFrame:
     return palette.select("brand", "code", "r", "g", "b").dropDuplicates(["brand", "code"])
 
 
@@ -31,7 +31,7 @@ def draw_list(beads: DataFrame, palette: DataFrame, cell: int, labels: bool = Fa
     the stops of their gradient, light_hex and dark_hex."""
     margin = label_size(cell, labels)
     r, g, b = F.col("r"), F.col("g"), F.col("b")
-    found = beads.select("image_id", "cx", "cy", "brand", "code").join(_channels(palette), ["brand", "code"], "left")
+    found = beads.select("image_id", "cx", "cy", "brand", "code").join(channels(palette), ["brand", "code"], "left")
     stops = {"light_hex": 20, "dark_hex": -35} if round_ else {}
     return found.select(
         "image_id",
@@ -90,6 +90,60 @@ def frame(spark: SparkSession, width: int, height: int, cell: int, labels: bool
     return functools.reduce(DataFrame.unionByName, out) if out else rows(0, "line", none, 0, 0, 0, 0, line, GRID_LINES)
 
 
+def frames(grids: DataFrame, cell: int, labels: bool = False, round_: bool = False) -> DataFrame:
+    """``frame`` for every image of a table of grids (image_id, width, height in cells)."""
+    margin = float(label_size(cell, labels))
+    font, line, half = max(12.0, min(18.0, cell / 1.4)), float(max(1, int(cell / 20 + 0.5))), cell / 2
+
+    def pieces(side: str, other: str, name: str) -> list[Column]:
+        upto = lambda n: F.sequence(F.lit(0), F.col(side) + n)
+        ends, middle = (F.lit(margin), F.col(other) * cell + margin), (F.lit(margin / 2), F.lit(margin / 2))
+        lines = F.transform(upto(0), lambda k: _piece("line", None, name, k * cell + margin, ends, line, GRID_LINES))
+        texts = F.transform(upto(-1), lambda k: _piece(f"{name}_label", (k + 1).cast("string"), name, k * cell + (margin + half), middle, font, LABELS))
+        return [lines] * (not round_) + [texts] * labels
+
+    kinds = pieces("width", "height", "x") + pieces("height", "width", "y")
+    if not kinds:  # round beads without axes
+        return frames(grids, cell, labels=True).where("false")
+    return grids.select("image_id", F.inline(F.concat(*kinds)))
+
+
+def _piece(kind: str, text: Column | None, axis: str, at: Column, ends: tuple[Column, Column], size: float, hex_: str) -> Column:
+    """A line or label at a place of one axis, between two places of the other."""
+    x1, x2, y1, y2 = (at, at, *ends) if axis == "x" else (*ends, at, at)
+    values = {"x1": x1, "y1": y1, "x2": x2, "y2": y2}
+    return F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if text is None else text).alias("text"), *(v.cast("double").alias(k) for k, v in values.items()), F.lit(size).alias("size"), F.lit(hex_).alias("color_hex"))
+
+
+#: Points in a millimetre; of the report's table in points: the font's size, the
+#: padding of a cell, the page's margin.  In mm: page margin and heading over the drawing, and
+#: the gap below it.
+POINTS, FONT, PADDING, TABLE_MARGIN = 72 / 25.4, 9, 5, 40
+PAGE_MARGIN, HEADING, GAP = 15.0, 18.0, 8.0
+
+
+def report_pages(report: DataFrame, sizes: DataFrame) -> DataFrame:
+    """image_id, page, y, kind, place, brand, code, name, n: the rows of a report (image_id,
+    place, ...) laid on pages.  The table begins below the drawing (sizes: image_id, width,
+    height in pixels) and goes on over the next page where the page is full, each time under a
+    head row (kind ``head``); ``y`` is a row's upper edge in mm."""
+    row, margin = (FONT * 1.15 + 2 * PADDING) / POINTS, TABLE_MARGIN / POINTS
+    laid = page_layout(sizes).withColumn("begin", PAGE_MARGIN + HEADING + GAP + F.col("image_height"))
+    rows = lambda begin: F.greatest(F.lit(0), F.floor((F.col("page_height") - margin - begin) / row) - 1).cast("int")
+    laid = laid.select("image_id", "begin", rows(F.col("begin")).alias("first"), rows(F.lit(margin)).alias("later"))
+    found = report.join(laid, "image_id")
+    after = F.col("place") - F.col("first") - 1
+    on_first = F.col("place") <= F.col("first")
+    page = F.when(on_first, 1).otherwise(F.floor(after / F.col("later")) + 2).cast("int")
+    line = F.when(on_first, F.col("place")).otherwise(after % F.col("later") + 1)
+    top = F.when(on_first, F.col("begin")).otherwise(margin)
+    head = lambda c, v: F.when(F.col("head"), F.lit(None)).otherwise(v).alias(c)
+    found = found.withColumns({"page": page, "line": line, "top": top})
+    found = found.withColumn("head", F.explode(F.when(F.col("line") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    y = F.col("top") + F.when(F.col("head"), 0.0).otherwise(F.col("line") * row)
+    return found.select("image_id", "page", y.alias("y"), F.when(F.col("head"), "head").otherwise("row").alias("kind"), *(head(c, F.col(c)) for c in ("place", "brand", "code", "name", "n")))
+
+
 def page_layout(sizes: DataFrame) -> DataFrame:
     """``page_geometry`` for a table of sizes (width, height)."""
     lying = F.col("width") > F.col("height")
@@ -117,7 +171,7 @@ def _number(value: Column) -> Column:
 
 def svg_cells(beads: DataFrame, palette: DataFrame, cell: int) -> DataFrame:
     """image_id, cx, cy, svg: of each bead its shadow, itself and its highlight."""
-    found = beads.where("code is not null").join(_channels(palette).select("brand", "code"), ["brand", "code"])
+    found = beads.where("code is not null").join(channels(palette).select("brand", "code"), ["brand", "code"])
     x, y = (F.col(c) * F.lit(float(cell)) + cell / 2 for c in ("cx", "cy"))
     key = strings.escape_xml(color.color_key(F.col("brand"), F.col("code")))
     radius, shine = _plain(max(1, cell * 0.42)), _plain(max(0.75, cell * 0.08))
@@ -141,7 +195,7 @@ def svg_documents(beads: DataFrame, palette: DataFrame, width: int, height: int,
     name = strings.gradient_id(F.col("brand"), F.col("code"))
     gradient = F.concat(F.lit('<radialGradient id="'), name, F.lit('" cx="32%" cy="28%" r="68%">'), *(x for at, by in stops for x in (F.lit(f'<stop offset="{at}%" stop-color="'), hexed(by), F.lit('"/>'))), F.lit("</radialGradient>"))
     seen = beads.where("code is not null").groupBy("image_id", "brand", "code").agg(F.min(F.col("cy") * width + F.col("cx")).alias("first"))
-    defs = seen.join(_channels(palette), ["brand", "code"]).groupBy("image_id", name.alias("name")).agg(F.min(F.struct("first", gradient.alias("def"))).alias("d"))
+    defs = seen.join(channels(palette), ["brand", "code"]).groupBy("image_id", name.alias("name")).agg(F.min(F.struct("first", gradient.alias("def"))).alias("d"))
     defs = defs.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda s: s["def"]), "").alias("defs"))
     w, h = width * cell, height * cell
     line = lambda d: f'<path d="{d}" stroke="{LINES}" stroke-width="1" opacity="0.42"/>'

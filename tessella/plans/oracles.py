@@ -107,6 +107,50 @@ def hexed(by: int = 0) -> str:
     return "'#' || " + " || ".join(f"printf('%02x', greatest(0, least(255, {c} + {by})))" for c in "rgb")
 
 
+CARDS = f"""cards as (select replace(brand, '#', '-') as brand, code, case when ord % 7 <> 0 then name end as name, upper({hexed()}) as rgbHex, 'part' as source, ord % 3 = 0 as isApproximate, ord, r, g, b from palette)"""
+
+
+def over(paint: str, alpha: str) -> str:
+    """r, g, b painted over; ``paint`` has a place for the channel's letter and number."""
+    return ", ".join(f"{c} + ({paint.format(c=c, k=k)} - {c}) * ({alpha}) as {c}" for k, c in enumerate("rgb"))
+
+
+def _lines(name: str, source: str, along: str, across: str) -> str:
+    """Grid lines of 8 pixels a cell, 10 x 10 cells behind a margin of 18; the lower of the two
+    lines next to a pixel first."""
+    step = lambda k: f"case when {across} between 18 and 97 and floor(({along} - 18) / 8.0) + {k} between 0 and 10 then greatest(0.0::double, least({along} + 1, (floor(({along} - 18) / 8.0) + {k}) * 8 + 18 + 0.5::double) - greatest({along}, (floor(({along} - 18) / 8.0) + {k}) * 8 + 18 - 0.5::double)) else 0 end"
+    grey = "[156, 163, 175][{k} + 1]"
+    return f"{name}_1 as (select * replace ({over(grey, step(0))}) from {source}), {name} as (select * replace ({over(grey, step(1))}) from {name}_1)"
+
+
+_ROUNDED = ", ".join(f"cast(floor(greatest(0, least(255, round({c}, 6))) + 0.5) as int) as {c}" for c in "rgb")
+_INKED = "inked as (select b.image_id, b.cx, b.cy, b.code, p.r::double as r, p.g::double as g, p.b::double as b from beads b left join palette p on p.brand = b.brand and p.code = b.code)"
+SQUARES = f"""{_INKED},
+canvas as (select image_id, x.range as x, y.range as y, (x.range - 18) // 8 as cx, (y.range - 18) // 8 as cy, x.range between 18 and 97 and y.range between 18 and 97 as inside from (select distinct image_id from beads), range(100) x, range(100) y),
+filled as (select k.image_id, k.x, k.y, {", ".join(f"case when not inside then 255.0::double when i.{c} is null then {e}.0::double else i.{c} end as {c}" for c, e in zip("rgb", (249, 250, 251)))} from canvas k left join inked i on inside and i.image_id = k.image_id and i.cx = k.cx and i.cy = k.cy),
+{_lines("upright_", "filled", "x", "y")},
+{_lines("level_", "upright_", "y", "x")},
+drawn as (select image_id, cast(x as int) as x, cast(y as int) as y, {_ROUNDED} from level_)"""
+
+#: Round beads of 12 pixels a cell, radius 5, on a canvas of 122 x 122 without axes.
+_STOPS = ((0.0, 20), (0.25, 0), (0.75, 0), (0.95, -20), (1.0, -35))
+
+
+def _ramp(c: str) -> str:
+    stop = lambda by: f"greatest(0, least(255, {c} + ({by})))"
+    parts = [f"when t <= {high}::double then {stop(one)} + ({stop(two)} - {stop(one)}) * ((t - {low}::double) / {high - low}::double)" for (low, one), (high, two) in zip(_STOPS, _STOPS[1:])]
+    return f"case {' '.join(parts)} else {stop(-35)} end"
+
+
+_AT = "sqrt(pow(u - ({dx}), 2) + pow(v - ({dy}), 2)) <= {r}"
+ROUND = f"""{_INKED},
+canvas as (select image_id, x.range as x, y.range as y, x.range // 12 as cx, y.range // 12 as cy, x.range < 120 and y.range < 120 as inside, (x.range % 12 + 0.5::double - 6) / 5 as u, (y.range % 12 + 0.5::double - 6) / 5 as v from (select distinct image_id from beads), range(122) x, range(122) y),
+cone as (select *, 0.3::double * (u + v + 0.6::double) + 0.08::double as kb, pow(u + 0.3::double, 2) + pow(v + 0.3::double, 2) - 0.01::double as kc from canvas),
+shaded as (select k.image_id, k.x, k.y, inside, u, v, greatest(0, least(1, (sqrt(greatest(0, kb * kb + 0.46::double * kc)) - kb) / 0.46::double)) as t, i.r, i.g, i.b from cone k left join inked i on inside and i.image_id = k.image_id and i.cx = k.cx and i.cy = k.cy),
+painted as (select *, {", ".join(f"case when {_AT.format(dx=0, dy=0, r=0.9)} then {_ramp(c)} when {_AT.format(dx=0.06, dy=0.1, r=0.92)} then 255 * 0.9::double else 255 end as p{c}" for c in "rgb")} from shaded),
+shiny as (select image_id, x, y, {", ".join(f"case when not inside then 255 when {c} is null then {e} when {_AT.format(dx=-0.25, dy=-0.28, r=0.12)} then p{c} + (255 - p{c}) * 0.25::double else p{c} end as {c}" for c, e in zip("rgb", (249, 250, 251)))} from painted),
+drawn as (select image_id, cast(x as int) as x, cast(y as int) as y, {_ROUNDED} from shiny)"""
+
 GRADIENT_ID = "regexp_replace('bead-' || b.brand || '-' || b.code, '[^a-zA-Z0-9_-]', '-', 'g')"
 
 
@@ -289,7 +333,13 @@ final as (select b.image_id, b.cx, b.cy, coalesce(m.ord, b.ord) as ord from bead
 select f.image_id, f.cx, f.cy, p.brand, p.code from final f left join palette p on p.ord = f.ord""",
         "color_replacements": f"{WITH_BEADS}, {SWAPS} select image_id, cx, cy, brand, code from swapped",
         "replacement_stats": f"{WITH_BEADS}, {SWAPS}, before as (select image_id, coalesce(avg(delta_e), 0) as d from beads group by all) select s.image_id, count(code) as total, count(distinct brand || ':' || code) as actual_colors, round(any_value(d), 6) as avg_delta_e from swapped s join before using (image_id) group by s.image_id",
-        "board_regions": "select cast(r.range * 3 + c.range as int) as board_index, cast(r.range as int) as board_row, cast(c.range as int) as board_col, cast(c.range * 29 as int) as x, cast(r.range * 29 as int) as y, cast(least(29, 80 - c.range * 29) as int) as width, cast(least(29, 57 - r.range * 29) as int) as height from range(2) r, range(3) c",
+        "board_regions": f"""{WITH_BEADS}, grids as (select image_id, max(cx) + 1 as w, max(cy) + 1 as h from beads group by all)
+select image_id, cast(r.range * ((w + 3) // 4) + c.range as int) as board_index, cast(r.range as int) as board_row, cast(c.range as int) as board_col, cast(c.range * 4 as int) as x, cast(r.range * 4 as int) as y, cast(least(4, w - c.range * 4) as int) as width, cast(least(4, h - r.range * 4) as int) as height
+from grids, range(3) r, range(3) c where r.range * 4 < h and c.range * 4 < w""",
+        "board_size_options": f"""with {PALETTE}, grids as (select ord, r + 1 as w, b + 1 as h, size from palette, (values (29), (57), (80)) s(size))
+select ord, size, cast(r.range * ((w + size - 1) // size) + c.range as int) as board_index, cast(r.range as int) as board_row, cast(c.range as int) as board_col, cast(c.range * size as int) as x, cast(r.range * size as int) as y, cast(least(size, w - c.range * size) as int) as width, cast(least(size, h - r.range * size) as int) as height
+from grids, range(9) r, range(9) c where r.range * size < h and c.range * size < w""",
+        "cell_sizes": f"with {PALETTE} select ord, cast(greatest(12, least(30, floor((greatest(240, ord * 37 % 1500 + 100 - 32) - 28) / (r + 1)))) as int) as cell, case when r + g > 0 then cast(floor(g * 100 / (r + g) + 0.5) as int) else 0 end as percent from palette",
         "board_color_stats": f"""{WITH_BEADS},
 stats as (select image_id, brand || ':' || code as color_key, brand, code, count(*) as total, count(*) filter (where (cy // 4) * 3 + cx // 4 = 4) as board_count from beads where code is not null group by all)
 select *, cast(row_number() over (partition by image_id order by total desc, color_key) as int) as by_total, cast(row_number() over (partition by image_id order by board_count desc, total desc, color_key) as int) as by_board from stats""",
@@ -313,19 +363,42 @@ defs as (select image_id, string_agg(def, '' order by first) as defs from gradie
 rules as (select string_agg('<path d="M' || cast(r.range * 12 as varchar) || '.5 0V120" stroke="#bfa883" stroke-width="1" opacity="0.42"/>', '' order by r.range) || string_agg('<path d="M0 ' || cast(r.range * 12 as varchar) || '.5H120" stroke="#bfa883" stroke-width="1" opacity="0.42"/>', '' order by r.range) as rules from range(11) r)
 select i.image_id, '<svg xmlns="http://www.w3.org/2000/svg" width="120" height="120" viewBox="0 0 120 120"><defs>' || coalesce(defs, '') || '</defs><rect width="100%" height="100%" fill="#f4dfb7"/><g shape-rendering="crispEdges">' || rules || '</g><g>' || coalesce(body, '') || '</g><desc>Generated from photo with 10x10 cells</desc></svg>' as svg
 from (select distinct image_id from beads) i cross join rules left join body using (image_id) left join defs using (image_id)""",
-        "pattern_frame": """select 'line' as kind, cast(null as varchar) as text, r.range * 24.0::double + 24 as x1, 24.0::double as y1, r.range * 24.0::double + 24 as x2, 264.0::double as y2, 1.0::double as size, '#9ca3af' as color_hex from range(11) r
-union all select 'line', null, 24.0, r.range * 24.0 + 24, 264.0, r.range * 24.0 + 24, 1.0, '#9ca3af' from range(11) r
-union all select 'x_label', cast(r.range + 1 as varchar), r.range * 24.0 + 36, 12.0, r.range * 24.0 + 36, 12.0, 24::double / 1.4::double, '#374151' from range(10) r
-union all select 'y_label', cast(r.range + 1 as varchar), 12.0, r.range * 24.0 + 36, 12.0, r.range * 24.0 + 36, 24::double / 1.4::double, '#374151' from range(10) r""",
+        "pattern_frame": f"""{WITH_BEADS}, grids as (select image_id, max(cx) + 1 as w, max(cy) + 1 as h from beads group by all),
+steps as (select image_id, w, h, r.range as k, r.range * 24.0::double as spot from grids, range(11) r)
+select image_id, 'line' as kind, cast(null as varchar) as text, spot + 24 as x1, 24.0::double as y1, spot + 24 as x2, h * 24.0::double + 24 as y2, 1.0::double as size, '#9ca3af' as color_hex from steps where k <= w
+union all select image_id, 'line', null, 24.0, spot + 24, w * 24.0 + 24, spot + 24, 1.0, '#9ca3af' from steps where k <= h
+union all select image_id, 'x_label', cast(k + 1 as varchar), spot + 36, 12.0, spot + 36, 12.0, 24::double / 1.4::double, '#374151' from steps where k < w
+union all select image_id, 'y_label', cast(k + 1 as varchar), 12.0, spot + 36, 12.0, spot + 36, 24::double / 1.4::double, '#374151' from steps where k < h""",
+        "pattern_raster": f"{WITH_BEADS}, {SQUARES} select image_id, x, y, r, g, b, 255 as a from drawn",
+        "bead_raster": f"{WITH_BEADS}, {ROUND} select image_id, x, y, r, g, b, 255 as a from drawn",
+        "report_pages": f"""with {PALETTE},
+own as (select cast(substr(brand, 7, 2) as int) as image_id, brand, code, name, r + g as n, ord from palette),
+report as (select *, row_number() over (partition by image_id order by n desc, ord) as place from own),
+sized as (select image_id, max(n) + 100 as w, min(n) + 200 as h from own group by all),
+fixed as (select 20.35::double / (72 / 25.4::double) as line, 40 / (72 / 25.4::double) as margin),
+paged as (select *, case when w > h then 297.0::double else 210.0::double end as pw, case when w > h then 210.0::double else 297.0::double end as ph from sized),
+laid as (select image_id, line, margin, 41.0::double + h * least((pw - 30) / w, ph * 0.55::double / h) as begin, ph - margin as bottom from paged, fixed),
+room as (select *, greatest(0, cast(floor((bottom - begin) / line) as int) - 1) as first, cast(floor((bottom - margin) / line) as int) - 1 as later from laid),
+pages as (select *, k.range + 1 as page, case when k.range = 0 then 0 else first + (k.range - 1) * later end as before, case when k.range = 0 then first else later end as held, case when k.range = 0 then begin else margin end as top from room, range(300) k),
+placed as (select p.image_id, p.page, p.top, p.line, r.place - p.before as nth, r.place, r.brand, r.code, r.name, r.n from report r join pages p on p.image_id = r.image_id and r.place > p.before and r.place <= p.before + p.held)
+select image_id, cast(page as int) as page, round(top + nth * line, 6) as y, 'row' as kind, cast(place as int) as place, brand, code, name, n from placed
+union all select image_id, cast(page as int), round(top, 6), 'head', null, null, null, null, null from placed where nth = 1""",
         "page_layouts": f"""with {PALETTE},
 sized as (select ord, r + 1 as width, g + 1 as height, case when r > g then 297.0::double else 210.0::double end as page_width, case when r > g then 210.0::double else 297.0::double end as page_height from palette),
 scaled as (select *, least((page_width - 30) / width, page_height * 0.55::double / height) as s from sized)
 select ord, width, height, page_width, page_height, round(width * s, 6) as image_width, round(height * s, 6) as image_height from scaled""",
-        "lab_grid_to_rgb": """with grid as (select cast(r.range as int) as id, (r.range // 289) * 5.0::double as l, (r.range // 17 % 17) * 16.0::double - 128 as a, (r.range % 17) * 16.0::double - 128 as b from range(6069) r),
-f as (select id, l, (l + 16) / 116 as fy, a / 500 + (l + 16) / 116 as fx, (l + 16) / 116 - b / 200 as fz from grid),
-xyz as (select id, (case when fx > 0.2068966::double then fx * fx * fx else (116 * fx - 16) / 903.3::double end) * 0.95047::double as x, case when l > 8 then fy * fy * fy else l / 903.3::double end as y, (case when fz > 0.2068966::double then fz * fz * fz else (116 * fz - 16) / 903.3::double end) * 1.08883::double as z from f),
-linear as (select id, x * 3.2404542::double + y * -1.5371385::double + z * -0.4985314::double as r, x * -0.9692660::double + y * 1.8760108::double + z * 0.0415560::double as g, x * 0.0556434::double + y * -0.2040259::double + z * 1.0572252::double as b from xyz)
-select id, """ + ", ".join(f"cast(floor((case when {c} > 0.0031308::double then 1.055::double * pow({c}, 1 / 2.4::double) - 0.055::double else 12.92::double * {c} end) * 255 + 0.5::double) as int) as {c}" for c in "rgb") + " from linear",
+        "lab_grid_to_rgb": f"""with {PALETTE}, {lab("pal", "palette")},
+strong as (select * replace (lab_a * strength as lab_a, lab_b * strength as lab_b) from pal, (values (1.0::double), (1.5::double)) s(strength)),
+{rgb("back", "strong")}
+select ord, strength, """ + ", ".join(f"cast(floor((case when l{c} > 0.0031308::double then 1.055::double * pow(l{c}, 1 / 2.4::double) - 0.055::double else 12.92::double * l{c} end) * 255 + 0.5::double) as int) as {c}" for c in "rgb") + " from back_lin",
+        "json_cards": f"with {PALETTE}, {CARDS} select cast(row_number() over (order by brand, ord) as int) as id, brand, code, name, source, isApproximate, cast(row_number() over (partition by brand order by ord) - 1 as int) as ord, r, g, b from cards",
+        "csv_cards": f"with {PALETTE} select 'acme' as brand, code, name, upper({hexed()}) as rgbHex, 'csv' as source, false as isApproximate from palette",
+        "json_array_cards": f"with {PALETTE}, {CARDS} select ord as id, brand, code, name, rgbHex, source, isApproximate from cards",
+        "palette_table": f"""with {PALETTE}, {CARDS}
+select brand, code, case when brand < 'Brand-3' and ord % 5 = 0 then 'new ' || code else name end as name, rgbHex, ord, case when max(brand < 'Brand-3' and ord % 5 = 0) over (partition by brand) then 2 else 1 end::bigint as version from cards""",
+        "collated_ranks": f"""with {PALETTE},
+keyed as (select cast(substr(brand, 7, 2) as int) as image_id, case ord % 3 when 0 then upper(name) when 1 then array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(name, ' ')], ' ') else name end || ':' || r || ' ' || ord as color_key, b % 4 as total, g % 3 as board_count from palette)
+select *, cast(row_number() over (partition by image_id order by total desc, color_key collate en) as int) as by_total, cast(row_number() over (partition by image_id order by board_count desc, total desc, color_key collate en) as int) as by_board from keyed""",
         "draw_list": f"""{WITH_BEADS}
 select image_id, cx, cy, cx * 24 + 24 as px, cy * 24 + 24 as py, coalesce({P_HEX(0)}, '#f9fafb') as fill_hex, b.code as label,
   case when b.code is not null then case when p.r * 0.299::double + p.g * 0.587::double + p.b * 0.114::double > 128 then '#000000' else '#ffffff' end end as text_hex,

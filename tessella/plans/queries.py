@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color, strings
-from tessella.operators import assembly, cleanup, clustering, geometry, matching, photo, pooling, quantise, render, replacement, resample
+from tessella.operators import assembly, cleanup, clustering, geometry, matching, photo, pooling, quantise, raster, render, replacement, resample
+from tessella.operators.lineage import shared_folder
 from tessella.plans import pattern
 from tessella.plans.config import config_for
 from tessella.sources import images, palettes
@@ -47,6 +48,11 @@ def beads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantise.quantise(cells(spark, sf_dir), brand_palette(spark, sf_dir), COLORS)
 
 
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id and the size of its bead grid."""
+    return beads(spark, sf_dir).groupBy("image_id").agg((F.max("cx") + 1).alias("width"), (F.max("cy") + 1).alias("height"))
+
+
 def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements for every seventh colour: the colour after it in the palette."""
     own = palette(spark, sf_dir)
@@ -127,6 +133,59 @@ def palette_upsert(spark, sf_dir):
     return palettes.upsert(own, new.unionByName(added))
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as cards; a brand's name without what a file's name can't hold."""
+    own = palette(spark, sf_dir)
+    hexed = F.upper(color.rgb_to_hex(F.col("r"), F.col("g"), F.col("b")))
+    name = F.when(F.col("ord") % 7 != 0, F.col("name"))
+    return own.select(F.replace("brand", F.lit("#"), F.lit("-")).alias("brand"), "code", name.alias("name"), hexed.alias("rgbHex"), F.lit("part").alias("source"), (F.col("ord") % 3 == 0).alias("isApproximate"), "ord")
+
+
+@query
+def json_cards(spark, sf_dir):
+    """Palette files, one a brand, written and read, numbered over all brands."""
+    path = shared_folder(spark, "brands")
+    palettes.write_brand_files(cards(spark, sf_dir), path)
+    return palettes.with_channels(palettes.numbered(palettes.read_json_cards(spark, path))).select("id", "brand", "code", "name", "source", "isApproximate", "ord", "r", "g", "b")
+
+
+@query
+def csv_cards(spark, sf_dir):
+    """Cards of CSV files without a header, written and read."""
+    path = shared_folder(spark, "csv")
+    own = palette(spark, sf_dir)
+    own.select("code", "name", "r", "g", "b").write.option("quote", "").csv(path)
+    return palettes.read_csv_cards(spark, path, "csv", "acme").select("brand", "code", "name", "rgbHex", "source", "isApproximate")
+
+
+@query
+def json_array_cards(spark, sf_dir):
+    """All cards as one JSON array over several files, written and read."""
+    path = shared_folder(spark, "array")
+    own = cards(spark, sf_dir).withColumnRenamed("ord", "id")
+    palettes.write_json_array(own, path)
+    return palettes.read_json_array(spark, path, "id int, " + palettes.CARD_SCHEMA + ", brand string").select("id", "brand", *(c.split()[0] for c in palettes.CARD_SCHEMA.split(", ")))
+
+
+@query
+def palette_table(spark, sf_dir):
+    """A stored table of cards after two upserts: which cards and versions it holds."""
+    path = shared_folder(spark, "palette")
+    own = cards(spark, sf_dir)
+    palettes.upsert_table(spark, path, own)
+    new = own.where("brand < 'Brand-3' and ord % 5 = 0").withColumn("name", F.concat(F.lit("new "), "code"))
+    same = own.where("brand >= 'Brand-3' and ord % 5 = 1")
+    return palettes.upsert_table(spark, path, new.unionByName(same)).select("brand", "code", "name", "rgbHex", "ord", "version")
+
+
+@query
+def collated_ranks(spark, sf_dir):
+    """Keys in mixed case by Unicode collation, where totals are equal."""
+    key = F.when(F.col("ord") % 3 == 0, F.upper("name")).when(F.col("ord") % 3 == 1, F.initcap("name")).otherwise(F.col("name"))
+    own = palette(spark, sf_dir).select(F.substring("brand", 7, 2).cast("int").alias("image_id"), F.concat(key, F.lit(":"), F.col("r").cast("string"), F.lit(" "), "ord").alias("color_key"), (F.col("b") % 4).alias("total"), (F.col("g") % 3).alias("board_count"))
+    return assembly.ranked(own)
+
+
 @query
 def foreground_bounds(spark, sf_dir):
     p = pixels(spark, sf_dir)
@@ -258,7 +317,23 @@ def replacement_stats(spark, sf_dir):
 
 @query
 def board_regions(spark, sf_dir):
-    return geometry.board_regions(spark, 80, 57, 29)
+    """Boards of four cells a side of every image's own beads."""
+    return geometry.boards_of(grids(spark, sf_dir), F.lit(4))
+
+
+@query
+def board_size_options(spark, sf_dir):
+    """Boards of every size on offer for a grid a part, up to 256 cells a side."""
+    own = palette(spark, sf_dir).select("ord", (F.col("r") + 1).alias("width"), (F.col("b") + 1).alias("height"))
+    offered = own.withColumn("size", F.explode(F.array(*map(F.lit, geometry.BOARD_SIZES))))
+    return geometry.boards_of(offered, F.col("size"))
+
+
+@query
+def cell_sizes(spark, sf_dir):
+    """Cells for containers of many widths, and how far a job of many steps is."""
+    width = (F.col("ord") * 37 % 1500 + 100).cast("int")
+    return palette(spark, sf_dir).select("ord", geometry.cell_size(width, F.col("r") + 1).alias("cell"), geometry.progress(F.col("g"), F.col("r") + F.col("g")).alias("percent"))
 
 
 @query
@@ -294,7 +369,29 @@ def draw_list(spark, sf_dir):
 
 @query
 def pattern_frame(spark, sf_dir):
-    return render.frame(spark, GRID, GRID, 24, labels=True)
+    """Lines and axis labels of every image's grid."""
+    return render.frames(grids(spark, sf_dir), 24, labels=True)
+
+
+@query
+def pattern_raster(spark, sf_dir):
+    """Square cells under grid lines, with room for the axes, as pixels."""
+    return raster.raster(beads(spark, sf_dir), palette(spark, sf_dir), GRID, GRID, 8, labels=True).select(*PIXEL)
+
+
+@query
+def bead_raster(spark, sf_dir):
+    """Round beads with shadow, gradient and highlight, as pixels."""
+    return raster.raster(beads(spark, sf_dir), palette(spark, sf_dir), GRID, GRID, 12, round_=True).select(*PIXEL)
+
+
+@query
+def report_pages(spark, sf_dir):
+    """Each brand's parts as a report that goes on over pages."""
+    own = palette(spark, sf_dir).select(F.substring("brand", 7, 2).cast("int").alias("image_id"), "brand", "code", (F.col("r") + F.col("g")).alias("n"), F.struct("ord").alias("first_seen"))
+    report = render.count_report(own, palette(spark, sf_dir))
+    sizes = own.groupBy("image_id").agg((F.max("n") + 100).alias("width"), (F.min("n") + 200).alias("height"))
+    return rounded(render.report_pages(report, sizes), "y")
 
 
 @query
@@ -306,11 +403,10 @@ def page_layouts(spark, sf_dir):
 
 @query
 def lab_grid_to_rgb(spark, sf_dir):
-    """A grid over Lab, in gamut and out of it."""
-    steps = spark.range(21 * 17 * 17).select(F.col("id").cast("int").alias("id"))
-    axis = lambda by: F.expr(f"id div {by}")
-    lab = steps.select("id", (axis(289) * 5.0).alias("lab_l"), (axis(17) % 17 * 16.0 - 128).alias("lab_a"), (F.col("id") % 17 * 16.0 - 128).alias("lab_b"))
-    return color.with_rgb(lab).select("id", "r", "g", "b")
+    """The Lab of every part and its chroma once more half as strong again, in gamut and out."""
+    lab = color.with_lab(palette(spark, sf_dir)).withColumn("strength", F.explode(F.array(F.lit(1.0), F.lit(1.5))))
+    lab = lab.withColumns({f"lab_{c}": F.col(f"lab_{c}") * F.col("strength") for c in "ab"}).drop("r", "g", "b")
+    return color.with_rgb(lab).select("ord", "strength", "r", "g", "b")
 
 
 @query

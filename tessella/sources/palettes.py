@@ -6,10 +6,14 @@ in the file and breaks all ties, since a DataFrame has no order of its own.
 
 from __future__ import annotations
 
+import urllib.parse
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.functions import color
+from tessella.operators.lineage import shared_folder
 
 CARD_SCHEMA = "code string, name string, rgbHex string, source string, isApproximate boolean"
 
@@ -70,6 +74,84 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__age")
 
 
+def upsert_table(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Upsert cards into a table at ``path``, one folder a brand, and return the whole table.
+
+    Only brands of which a card is new or differs are written, by a dynamic overwrite of their
+    folders; all other files stay as they are.  A card carries the ``version`` of the upsert that
+    wrote its brand last.  Cards are compared without their ``ord``, unless they change besides.
+
+    A run that was broken off is simply run again: brands that it had replaced don't differ any
+    more, the others are still as they were.  What is to be written lies in the shared folder
+    before, since a plan can't overwrite what it reads."""
+    fields = [f for f in new.schema.fields if f.name != "version"]
+    cards, schema = [f.name for f in fields], StructType(fields).add("version", "long")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(path) if files.exists(folder) else spark.createDataFrame([], schema)
+
+    old, latest = stored(), upsert(new.select(*cards).limit(0), new.select(*cards))
+    version = (old.agg(F.max("version")).first()[0] or 0) + 1
+    compared = [c for c in cards if c not in ("brand", "code", "ord")]
+    before = old.select("brand", "code", *(F.col(c).alias(f"old_{c}") for c in compared), F.lit(True).alias("known"))
+    differs = F.col("known").isNull()
+    for c in compared:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    changed = latest.join(before, ["brand", "code"], "left").where(differs).select(*cards)
+    merged = upsert(old.select(*cards), changed).join(changed.select("brand").distinct(), "brand", "left_semi")
+    staged = shared_folder(spark, "cards")
+    merged.withColumn("version", F.lit(version).cast("long")).write.parquet(staged)
+    ready = spark.read.schema(schema).parquet(staged)
+    if ready.limit(1).count():
+        ready.repartition("brand").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("brand").parquet(path)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+    return stored()
+
+
+def write_json_array(cards: DataFrame, path: str, order: str = "id", parts: int = 8) -> None:
+    """Cards as one JSON array over many text files: read one after the other in the order of
+    their names they are one document, its objects in the order of the unique column ``order``.
+
+    Rows are dealt by ranges of ``order`` and sorted within a file; Spark's committer moves the
+    files, and nothing goes through the driver but the first and last place."""
+    first, last = cards.agg(F.min(order), F.max(order)).first()
+    if first is None:
+        cards.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
+        return
+    object_ = F.to_json(F.struct(*cards.columns), {"ignoreNullFields": "false"})
+    at = F.col(order)
+    line = F.concat(F.when(at == F.lit(first), "[").otherwise(" "), object_, F.when(at == F.lit(last), "]").otherwise(","))
+    cards.repartitionByRange(parts, order).sortWithinPartitions(order).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cards that ``write_json_array`` wrote, a line an object."""
+    bare = F.regexp_replace("value", r"^[\[ ]|[\],]$", "")
+    return spark.read.text(path).select(F.from_json(bare, schema).alias("card")).where("card is not null").select("card.*")
+
+
+def write_brand_files(cards: DataFrame, path: str) -> None:
+    """Cards as the files that ``read_json_cards`` reads: one JSON array a brand in the order of
+    ``ord``, named after it.  A palette file is one document, so a brand's cards are one row."""
+    object_ = F.to_json(F.struct("code", "name", "rgbHex", "source", "isApproximate"), {"ignoreNullFields": "false"})
+    texts = cards.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("ord", object_.alias("card")))).alias("cards"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("cards", lambda c: c["card"]), ",\n"), F.lit("]"))
+    texts.select("brand", text.alias("value")).repartition("brand").write.mode("overwrite").partitionBy("brand").option("lineSep", "\n").text(path)
+    spark = cards.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(top):  # a brand each; only names change
+        name = folder.getPath().getName()
+        if folder.isDirectory() and name.startswith("brand="):
+            brand = urllib.parse.unquote(name.removeprefix("brand="))
+            for part in files.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(top, f"{brand}.json"))
+            files.delete(folder.getPath(), True)
+
+
 def write_json(cards: DataFrame, path: str, by_brand: bool = False) -> None:
     """JSON lines, in one folder a brand if asked for."""
     writer = cards.write.mode("overwrite")
