@@ -1,65 +1,92 @@
-"""k-means of cell colours in Lab with CIEDE2000 assignment, one clustering an image."""
+"""k-means of cell colours in Lab with CIEDE2000 assignment, one clustering an image.
+
+Points are an image's distinct colours weighted by their cells: one for each cell of its grid at
+most, 40 000 at the largest grid on offer.  So an image's points are one group, and all seeds
+and rounds run within it: one job for all images instead of several a round.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.operators import quantise
 from tessella.operators.lineage import written
-from tessella.operators.matching import LAB, nearest_of_own, small, with_palette_lab
-
+from tessella.operators.matching import LAB, dealt, nearest_of_own, small, with_palette_lab
+from tessella.shipping import ship
 
-def seeds(points: DataFrame, k: int) -> DataFrame:
-    """The first centroids of each image, at most k: image_id, label, p_l, p_a, p_b.
 
-    Each next one is drawn with a chance in proportion to its cells times the square of its
-    distance from those before, by hashes instead of random numbers: of -log(u) / weight the
-    smallest wins.  A colour that is a centroid already has no chance."""
+def _with_races(points: DataFrame, k: int) -> DataFrame:
+    """Points with -log(u) of a number u from 0 to 1 for every seed, by hashes."""
     chance = lambda step: (F.pmod(F.xxhash64(F.lit(step), "image_id", "r", "g", "b"), F.lit(2**40)) + 1) / F.lit(2.0**40 + 1)
-    lab = [F.col(c).alias(f"p_{c[-1]}") for c in LAB]
-    open_ = points.withColumn("weight", F.col("w").cast("double"))
-    found = None
-    for step in range(k):
-        race = -F.log(chance(step)) / F.col("weight")
-        drawn = open_.where(F.col("weight") > 0).groupBy("image_id").agg(F.min(F.struct(race.alias("race"), "r", "g", "b", *lab)).alias("best"))
-        drawn = written(drawn.select("image_id", F.lit(step).alias("label"), "best.p_l", "best.p_a", "best.p_b"))
-        found = drawn if found is None else found.unionByName(drawn)
-        apart = color.with_delta_e(open_.join(drawn.drop("label"), "image_id"), LAB, ("p_l", "p_a", "p_b"))
-        nearer = F.col("w") * F.col("delta_e") * F.col("delta_e")
-        weight = nearer if step == 0 else F.least(F.col("weight"), nearer)
-        open_ = written(apart.withColumn("weight", weight).select(*points.columns, "weight"))
-    return found
-
-
-def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """image_id, r, g, b and the label of the nearest centroid, the lowest of equals."""
-    pairs = color.with_delta_e(points.join(centroids, "image_id"), LAB, ("p_l", "p_a", "p_b"))
-    return pairs.groupBy("image_id", "r", "g", "b").agg(F.min(F.struct("delta_e", "label")).alias("best")).select("image_id", "r", "g", "b", F.col("best.label").alias("label"))
+    return points.withColumn("races", F.array(*(-F.log(chance(step)) for step in range(k))))
+
+
+def _seeds(rgb: np.ndarray, lab: np.ndarray, w: np.ndarray, races: np.ndarray) -> np.ndarray:
+    """The first centroids.  Each next one is drawn with a chance in proportion to its cells
+    times the square of its distance from those before: of -log(u) / weight the smallest wins.
+    A colour that is a centroid already has no chance."""
+    weight, found = w.astype(float), []
+    for step in range(races.shape[1]):
+        open_ = np.flatnonzero(weight > 0)
+        if not len(open_):
+            break
+        race = races[open_, step] / weight[open_]
+        best = open_[np.lexsort((*rgb[open_].T[::-1], race))[0]]
+        found.append(lab[best])
+        nearer = w * quantise.delta_e(lab, lab[best]) ** 2
+        weight = nearer if step == 0 else np.minimum(weight, nearer)
+    return np.array(found).reshape(-1, 3)
+
+
+def _lloyd(lab: np.ndarray, w: np.ndarray, centres: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, labels): a cluster without points keeps its centroid; the loop ends when no
+    label changes."""
+    labels = None
+    for _ in range(most):
+        now = quantise.delta_e(lab[:, None], centres[None]).argmin(1)  # the lowest of equals
+        if labels is not None and (now == labels).all():
+            break
+        labels = now
+        total = np.bincount(labels, w, len(centres))
+        sums = np.stack([np.bincount(labels, w * lab[:, c], len(centres)) for c in range(3)], 1)
+        centres = np.where(total[:, None] > 0, sums / np.maximum(total, 1)[:, None], centres)
+    return centres, labels
+
+
+def _clustered(points: DataFrame, k: int, most: int) -> DataFrame:
+    """Rows of centroids (image_id, label, p_l, p_a, p_b) and, after ``most`` rounds at most, of
+    labels (image_id, r, g, b, label), which have no centroid."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rgb, lab, w = pdf[["r", "g", "b"]].to_numpy(), pdf[list(LAB)].to_numpy(), pdf["w"].to_numpy()
+        centres, labels = _seeds(rgb, lab, w, np.stack(pdf["races"].to_numpy())), None
+        if most:
+            centres, labels = _lloyd(lab, w, centres, most)
+        image_id = pdf["image_id"].iloc[0]
+        out = [pd.DataFrame({"image_id": image_id, "label": np.arange(len(centres)), **{f"p_{c}": centres[:, n] for n, c in enumerate("lab")}})]
+        if labels is not None:
+            out.append(pd.DataFrame({"image_id": image_id, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "label": labels}))
+        return pd.concat(out).reindex(columns=["image_id", "r", "g", "b", "label", "p_l", "p_a", "p_b"]).astype({c: "Int32" for c in ("r", "g", "b", "label")})
 
+    ship(points.sparkSession)
+    own = dealt(_with_races(points, k).select("image_id", "r", "g", "b", *LAB, "w", "races"), "image_id")
+    return own.groupBy("image_id").applyInPandas(one, f"image_id {dict(points.dtypes)['image_id']}, r int, g int, b int, label int, p_l double, p_a double, p_b double")
 
-def kmeans(cells: DataFrame, k: int, max_iterations: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(centroids, labels): (image_id, label, p_l, p_a, p_b) and (image_id, r, g, b, label).
 
-    Points are distinct colours weighted by their cells.  A cluster without points keeps its
-    centroid; the loop ends when no label changes."""
+def seeds(points: DataFrame, k: int) -> DataFrame:
+    """The first centroids of each image, at most k: image_id, label, p_l, p_a, p_b."""
+    return _clustered(points, k, 0).select("image_id", "label", "p_l", "p_a", "p_b")
+
+
+def kmeans(cells: DataFrame, k: int, max_iterations: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(centroids, labels): (image_id, label, p_l, p_a, p_b) and (image_id, r, g, b, label)."""
     weights = cells.where(F.col("r").isNotNull()).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("w"))
-    points = written(color.with_lab(weights))
-    centroids = written(seeds(points, k))
-    labels = None
-    for _ in range(max_iterations):
-        now = written(assign(points, centroids))
-        if labels is not None:
-            moved = now.join(labels.withColumnRenamed("label", "was"), ["image_id", "r", "g", "b"]).where("label <> was").limit(1).count()
-            if not moved:
-                break
-        labels = now
-        w = F.col("w")
-        means = points.join(labels, ["image_id", "r", "g", "b"]).groupBy("image_id", "label").agg(*((F.sum(F.col(c) * w) / F.sum(w)).alias(f"n_{c[-1]}") for c in LAB))
-        moved_to = centroids.join(means, ["image_id", "label"], "left")
-        centroids = written(moved_to.select("image_id", "label", *(F.coalesce(f"n_{c}", f"p_{c}").alias(f"p_{c}") for c in "lab")))
-    return centroids, labels
+    found = written(_clustered(color.with_lab(weights), k, max_iterations))
+    return found.where("p_l is not null").select("image_id", "label", "p_l", "p_a", "p_b"), found.where("p_l is null").select("image_id", "r", "g", "b", "label")
 
 
 def _cluster_beads(centroids: DataFrame, palette: DataFrame) -> DataFrame:

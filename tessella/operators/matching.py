@@ -39,7 +39,7 @@ def _side(palette: DataFrame, *columns: str) -> DataFrame:
     return palette.select(*columns, "brand", "code", "ord", *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
 
 
-def _dealt(colors: DataFrame, *by: str) -> DataFrame:
+def dealt(colors: DataFrame, *by: str) -> DataFrame:
     """Colours dealt to all partitions: few rows, each of which meets a whole palette, so
     adaptive execution must not put them into one."""
     return colors.repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
@@ -52,7 +52,7 @@ def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
     side = _side(with_palette_lab(palette))
     if side.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return nearest_pruned(colors, palette)
-    return _best(_measured(_dealt(colors).crossJoin(F.broadcast(side))))
+    return _best(_measured(dealt(colors).crossJoin(F.broadcast(side))))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def nearest_pruned(colors: DataFrame, palette: DataFrame) -> DataFrame:
 def nearest_of_own(cells: DataFrame, palettes: DataFrame, tie: Column) -> DataFrame:
     """image_id, r, g, b with the nearest row of each image's own palette (image_id, palette
     columns), ties by ``tie``."""
-    own = color.with_lab(_dealt(cells.where(F.col("r").isNotNull()).select("image_id", "r", "g", "b").distinct(), "image_id"))
+    own = color.with_lab(dealt(cells.where(F.col("r").isNotNull()).select("image_id", "r", "g", "b").distinct(), "image_id"))
     side = palettes.select("image_id", "brand", "code", "ord", tie.alias("tie"), *(F.col(c).alias(f"p_{c[-1]}") for c in LAB))
     pairs = _measured(own.join(side, "image_id"))
     best = F.min(F.struct("delta_e", "tie", "ord", "brand", "code")).alias("best")
