@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_batches, discard, inputs, map_batches, materialise, text_or_empty
@@ -237,7 +237,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     meet = materialise(meet, "meetings")
     discard(members)
     wanted = nodes.join(home, "node", "left_semi").select(F.xxhash64("rep.doc_id", "rep.text_key").alias("row"))
-    sets = _sets(texts, bloom(wanted), n).join(home, "node")
+    sets = _sets(texts, bloom(wanted), n, once=True).join(home, "node")
     ends = meet.select(F.col("block").alias("at"), "block", "other").unionByName(meet.where("block <> other").select(F.col("other").alias("at"), "block", "other"))
     dealt = sets.withColumnRenamed("block", "at").join(ends, "at").withColumn("pair", F.xxhash64("block", "other"))
     dealt = dealt.repartition("pair", "block", "other").sortWithinPartitions("pair", "block", "other", "node")
@@ -276,14 +276,17 @@ def bloom(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(texts: DataFrame, filter_: np.ndarray, n: int) -> DataFrame:
+def _sets(texts: DataFrame, filter_: np.ndarray, n: int, once: bool = False) -> DataFrame:
     """node and n-gram set of the rows that pass the filter, in one more pass over the texts;
-    what passes by chance finds no node of its own later."""
+    what passes by chance finds no node of its own later.
+
+    Rows that repeat pass the filter too.  With ``once`` a task sends a set once, and of what
+    tasks send of a node one row is kept, so a set meets others once however many rows have it."""
     sent = texts.sparkSession.sparkContext.broadcast(filter_)  # at most 8 * BLOOM_WORDS bytes
     hashes = F.array(*(F.xxhash64(F.lit(k), F.xxhash64("doc_id", "text_key")) for k in range(BLOOM_HASHES)))
 
     def start():
-        words = sent.value
+        words, sent_before = sent.value, set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             h = batch.column(1).flatten().to_numpy().reshape(-1, BLOOM_HASHES)
@@ -291,15 +294,23 @@ def _sets(texts: DataFrame, filter_: np.ndarray, n: int) -> DataFrame:
             sets, digests = [], []
             for text in batch.column(0).filter(pa.array(inside)).to_pylist():
                 own = ngram_set(text, n).tobytes()
-                sets.append(own)
-                digests.append(xxhash.xxh3_128_digest(own))
+                digest = xxhash.xxh3_128_digest(own)
+                if digest not in sent_before:
+                    if once:
+                        sent_before.add(digest)
+                    sets.append(own)
+                    digests.append(digest)
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sets, pa.binary())], ["d1", "d2", "ngrams"])
 
         return step
 
     made = map_batches(texts.select("text", hashes.alias("hashes")), start, "d1 long, d2 long, ngrams binary")
-    return made.select(_node().alias("node"), "ngrams")
+    named = made.select(_node().alias("node"), "ngrams")
+    if not once:
+        return named
+    first = Window.partitionBy("node").orderBy(F.lit(1))  # a row a task at most, alike
+    return named.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
 
 
 def _links(dealt: DataFrame, threshold: float) -> DataFrame:

@@ -15,7 +15,9 @@ texts that exceed this by ``MARGIN``: they are in no learned language.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text when nothing can be learned from (no labelled row with a letter).  Rows without a
 language are predicted but not learned from.  Equal texts get equal results; of equally likely
-languages the first by name is predicted.  A very long text is read whole, in memory that grows
+languages the first by name is predicted.  Ids may be null or repeat: the sample is bounded for
+any ids, and rows that repeat count once in it.  A sample of fewer than 20 rows fits no
+temperature, which then is 1.  A very long text is read whole, in memory that grows
 with it; an empty table gives no rows; columns may have any name.
 """
 
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_batches, inputs, map_batches, materialise
@@ -136,16 +138,22 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(training: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, features, their frequencies) of at most ``rows`` rows or a few more,
-    dealt evenly to the languages and picked by a hash of the id."""
-    sizes = {lang: n for lang, n in training.groupBy("lang").count().collect()}
+    """(language, features, their frequencies) of at most ``rows`` rows (one a language at
+    least): of each language the distinct rows with the smallest hashes of id and text.
+
+    A first bound on the hash, from an estimate of the distinct rows, leaves about twice as many
+    as are wanted; rows that repeat, with whatever ids, are collapsed before the exact cut."""
+    keyed = training.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    sizes = {lang: n for lang, n in keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02)).collect()}
     if not sizes:
         return []
     each = max(1, rows // len(sizes))
-    keep = F.lit(False)
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    near = F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (spread < min(1.0, each / n)))
+        share = (1.5 * each + 30) / n
+        near = near | ((F.col("lang") == lang) & (F.lit(True) if share > 0.99 else F.col("key") < int(share * 2**64) - 2**63))
+    once = keyed.where(near).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    kept = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= each)  # about twice ``each`` rows
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [[], [], []]
@@ -157,7 +165,7 @@ def sample(training: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.nda
                 out[2].append(np.concatenate([c / len(x) for (_, c), x in zip(found, own, strict=True)]).astype(np.float32))
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float32()))], ["lang", "features", "tf"])
 
-    picked = map_batches(training.where(keep).select("lang", "text"), lambda: step, "lang string, features array<int>, tf array<float>")
+    picked = map_batches(kept.select("lang", "text"), lambda: step, "lang string, features array<int>, tf array<float>")
     # one job on all tasks; what comes to the driver is the bounded sample
     picked = materialise(picked, "sample")
     out = [(r[0], np.array(r[1], np.int32), np.array(r[2], np.float32)) for r in picked.toLocalIterator()]

@@ -213,3 +213,16 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     labels = {r["id"]: r["label"] for r in jaccard.components(edges).collect()}
     assert all(labels[k] == 0 for k in range(41)) and labels[100] == labels[101] == 100
+
+
+def test_a_set_is_dealt_once_however_many_rows_have_it(spark):
+    """Rows that repeat, with and without ids, and a near copy of them."""
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, text)] * 400 + [(k, text) for k in range(400)] + [(7, text)] * 400 + [(1000, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = jaccard._texts(docs, "doc_id", "text")
+    everything = jaccard.bloom(texts.select(F.xxhash64("doc_id", "text_key").alias("row")).distinct())
+    assert jaccard._sets(texts, everything, 5, once=True).count() == 2
+    found = {(r["doc_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert {f[1:] for f in found if f[0] != 1000} == {(0, 1200, 1)} and (1000, 0, 1, 1) in found

@@ -160,3 +160,53 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), "empty")
     assert docs.count() == 0
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+
+
+def sampled_by_force(table, each):
+    """The smallest hashes of distinct (id, text) of each language."""
+    keys = defaultdict(dict)
+    for r in table.select("lang", "text", F.xxhash64("doc_id", "text").alias("key")).collect():
+        keys[r["lang"]][r["key"]] = r["text"]
+    return [(lang, own[k]) for lang, own in keys.items() for k in sorted(own)[:each]]
+
+
+def features_of(lang, text):
+    found = [np.unique(x, return_counts=True) for x in langid.grams(text)]
+    return lang, tuple(np.concatenate([f for f, _ in found]).tolist())
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    texts = [f"text number {k} {chr(97 + k % 26) * 3}" for k in range(4000)]
+    tables = {
+        "ids": [(k, t, "ab"[k % 2]) for k, t in enumerate(texts)],
+        "no ids": [(None, t, "ab"[k % 2]) for k, t in enumerate(texts)],
+        "one id": [(7, t, "ab"[k % 2]) for k, t in enumerate(texts)],
+        "one rare language": [(k, t, "a" if k else "b") for k, t in enumerate(texts)],
+    }
+    for name, rows in tables.items():
+        table = labelled(spark, rows)
+        got = langid.sample(table, 300)
+        assert sorted((lang, tuple(f.tolist())) for lang, f, _ in got) == sorted(features_of(*x) for x in sampled_by_force(table, 150)), name
+        assert len(got) == (151 if "rare" in name else 300)
+    equal = labelled(spark, [(None, "the same text", "a")] * 3000 + [(k, "the same text", "b") for k in range(3000)])
+    assert len(langid.sample(equal, 300)) == 151
+
+
+def test_frequencies_and_surprise_by_force(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + [None, "", "123 -"]
+    counts, n = langid.document_frequencies(spark.createDataFrame([(t or "",) for t in texts], "text string"))
+    expected, known = defaultdict(int), 0
+    for own in filter(None, (langid.grams(t or "") for t in texts)):
+        known += 1
+        for feature in {int(f) for x in own for f in x}:
+            expected[feature] += 1
+    assert n == known and {int(f): int(counts[f]) for f in np.flatnonzero(counts)} == expected
+    idf = np.log((1 + n) / (1 + counts)) + 0.05
+    model = langid.train([("x", np.array(features_of("x", t)[1], np.int32), np.ones(len(features_of("x", t)[1]), np.float32)) for t in texts[:3]], idf)
+    for text in texts[:20]:
+        longest = langid.grams(text)[-1]
+        assert math.isclose(model.surprise(langid.grams(text)), sum(idf[f] for f in longest.tolist()) / len(longest), rel_tol=1e-4)
