@@ -19,8 +19,6 @@ PALETTE = """palette as (
          cast((p_partkey * 97) % 256 as int) as r, cast((p_partkey * p_size * 11) % 256 as int) as g, cast((p_size * 29) % 256 as int) as b
   from part)"""
 
-SHADE = "shade as (select * from palette where brand = 'Brand#13')"
-
 
 def lab(name: str, source: str) -> str:
     """A chain of CTEs that adds lab_l, lab_a, lab_b to the rows of ``source``."""
@@ -66,7 +64,9 @@ cells as (
   select s.image_id, s.cx, s.cy, m.r, m.g, m.b from shares s
   left join modes m on m.image_id = s.image_id and m.cx = s.cx and m.cy = s.cy and m.k = 1 and s.fg / s.total >= 0.7)"""
 
-NEAREST = f"""{SHADE},
+def nearest_of(brand: str) -> str:
+    """Each distinct colour of ``cells`` with the nearest colour of one brand."""
+    return f"""shade as (select * from palette where brand = '{brand}'),
 {lab("pal", "shade")},
 colors as (select distinct r, g, b from cells where r is not null),
 {lab("col", "colors")},
@@ -74,10 +74,18 @@ against as (select c.r, c.g, c.b, c.lab_l, c.lab_a, c.lab_b, p.brand, p.code, p.
 {delta_e("measured", "against")},
 nearest as (select r, g, b, brand, code, ord, delta_e from measured qualify row_number() over (partition by r, g, b order by delta_e, ord) = 1)"""
 
-REDUCED = """matched as (select c.image_id, c.cy * 10 + c.cx as seq, n.ord from cells c join nearest n using (r, g, b)),
+NEAREST = nearest_of("Brand#13")
+
+
+def reduced_to(most: int, width: int) -> str:
+    """Each image's ``most`` most frequent nearest colours; ``width`` cells a row."""
+    return f"""matched as (select c.image_id, c.cy * {width} + c.cx as seq, n.ord from cells c join nearest n using (r, g, b)),
 freq as (select image_id, ord, count(*) as n, min(seq) as first_seen from matched group by all),
-placed as (select *, row_number() over (partition by image_id order by n desc, first_seen) as rank, count(*) over (partition by image_id) > 12 as dropped from freq),
-reduced as (select p.image_id, p.rank, p.n, p.dropped, q.brand, q.code, p.ord, q.lab_l as p_l, q.lab_a as p_a, q.lab_b as p_b from placed p join pal q using (ord) where rank <= 12)"""
+placed as (select *, row_number() over (partition by image_id order by n desc, first_seen) as rank, count(*) over (partition by image_id) > {most} as dropped from freq),
+reduced as (select p.image_id, p.rank, p.n, p.dropped, q.brand, q.code, p.ord, q.lab_l as p_l, q.lab_a as p_a, q.lab_b as p_b from placed p join pal q using (ord) where rank <= {most})"""
+
+
+REDUCED = reduced_to(12, 10)
 
 BEADS = f"""own as (select distinct image_id, c.r, c.g, c.b, lab_l, lab_a, lab_b from cells c join col using (r, g, b)),
 again as (select o.*, d.brand, d.code, d.ord, d.rank, d.dropped, d.p_l, d.p_a, d.p_b from own o join reduced d using (image_id)),
@@ -231,6 +239,47 @@ def modulated(name: str, source: str, hue: float = 0.0) -> str:
 {rgb(name, name + "_moved")}"""
 
 
+STEP_OF_8 = "(255.0::double / 7)"
+
+
+def posterized(c: str) -> str:
+    return f"case when a < 128 then {c} else cast(floor(floor({c} / {STEP_OF_8} + 0.5::double) * {STEP_OF_8} + 0.5::double) as int) end"
+
+
+#: The subject preset on 16 x 12 cells: the opaque part over 62 of 64 pixels a side, posterised,
+#: edges darkened, and the most frequent masked colours of cells.
+SUBJECT_CELLS = f"""box as (select image_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from pixels where a >= 128 group by all),
+trimmed as (
+  select p.image_id, p.x - coalesce(x0, 0) as x, p.y - coalesce(y0, 0) as y, r, g, b, a from pixels p left join box k on k.image_id = p.image_id
+  where x0 is null or (p.x between x0 and x1 and p.y between y0 and y1)),
+trimmed_size as (select image_id, max(x) + 1 as w, max(y) + 1 as h from trimmed group by all),
+trimmed_scale as (select *, greatest(62.0::double / w, 62.0::double / h) as scale from trimmed_size),
+trimmed_plan as (select *, 1 + floor((62 - greatest(1, floor(w * scale + 0.5))) / 2.0) as ox, 1 + floor((62 - greatest(1, floor(h * scale + 0.5))) / 2.0) as oy from trimmed_scale),
+canvas as (
+  select t.image_id, tx.range as x, ty.range as y, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b, coalesce(p.a, 0) as a
+  from trimmed_plan t cross join range(64) tx cross join range(64) ty left join trimmed p on p.image_id = t.image_id and tx.range between 1 and 62 and ty.range between 1 and 62 and p.x = floor((tx.range - ox) / scale) and p.y = floor((ty.range - oy) / scale)),
+poster as (select * replace ({", ".join(f"{posterized(c)} as {c}" for c in "rgb")}) from canvas),
+grey as (select image_id, x, y, case when a < 128 then 255.0::double else r * 0.299::double + g * 0.587::double + b * 0.114::double end as v from poster),
+kernel as (select dx.range - 1 as dx, dy.range - 1 as dy, (dx.range - 1) * (2 - abs(dy.range - 1)) as wx, (dy.range - 1) * (2 - abs(dx.range - 1)) as wy from range(3) dx, range(3) dy),
+edges as (
+  select c.image_id, c.x, c.y, sqrt(pow(sum(n.v * wx), 2) + pow(sum(n.v * wy), 2)) > 80 as edge
+  from grey c cross join kernel k join grey n on n.image_id = c.image_id and n.x = c.x + dx and n.y = c.y + dy where c.x between 1 and 62 and c.y between 1 and 62 group by c.image_id, c.x, c.y),
+lined as (select p.image_id, p.x, p.y, {", ".join(f"case when edge and a >= 128 then cast(floor({c} * 0.7::double + 0.5::double) as int) else {c} end as {c}" for c in "rgb")}, a from poster p left join edges e on e.image_id = p.image_id and e.x = p.x and e.y = p.y),
+rows_of as (select y.range as y, max(g.range) as cy from range(64) y, range(12) g where floor(g.range * (64 / 12.0::double)) <= y.range group by y.range),
+owned as (select image_id, x // 4 as cx, cy, y * 64 + x as seq, a, r & 240 as r, g & 240 as g, b & 240 as b from lined join rows_of using (y)),
+tally as (select image_id, cx, cy, r, g, b, count(*) as n, min(seq) as first_seen from owned where a >= 128 group by all),
+modes as (select *, row_number() over (partition by image_id, cx, cy order by n desc, first_seen) as k from tally),
+shares as (select image_id, cx, cy, count(*) as total, count(*) filter (where a >= 128) as fg from owned group by all),
+cells as (
+  select s.image_id, s.cx, s.cy, m.r, m.g, m.b from shares s
+  left join modes m on m.image_id = s.image_id and m.cx = s.cx and m.cy = s.cy and m.k = 1 and s.fg / s.total >= 0.2)"""
+
+
+def subject_counts(brand: str, most: int) -> str:
+    return f"""with {PIXELS}, {PALETTE}, {SUBJECT_CELLS}, {nearest_of(brand)}, {reduced_to(most, 16)}, {BEADS}
+select image_id, brand, code, count(*) as n from beads where code is not null group by all"""
+
+
 TURNED = """turning as (select p.*, image_id % 9 as o, max(x) over (partition by image_id) - x as right_, max(y) over (partition by image_id) - y as low from pixels p),
 upright as (
   select image_id, case when o in (2, 3) then right_ when o in (5, 8) then y when o in (6, 7) then low else x end as x,
@@ -262,8 +311,7 @@ gradients as (
 
 
 def oracle_sql() -> dict[str, str]:
-    step = "(255.0::double / 7)"
-    post = ", ".join(f"case when a < 128 then {c} else cast(floor(floor({c} / {step} + 0.5::double) * {step} + 0.5::double) as int) end as {c}" for c in "rgb")
+    post = ", ".join(f"{posterized(c)} as {c}" for c in "rgb")
     ratios = {"21:9": 0, "16:9": 1, "3:2": 2, "4:3": 3, "1:1": 4, "3:4": 5, "2:3": 6, "9:16": 7}
     ratio_rows = ", ".join(f"('{k}', {k.split(':')[0]}::double / {k.split(':')[1]}, {v})" for k, v in ratios.items())
     widths = {  # fixed values: width and height by resolution, in the order of ratios
@@ -295,6 +343,8 @@ select * from fresh union all select brand, code, name, ord from palette where (
         "resize_cover_lanczos": f"with {PIXELS}, {lanczos('small', 'pixels', 40, 28)} select * from small",
         "oriented": f"with {PIXELS}, {TURNED} select * from upright",
         "modulate": f"with {PIXELS}, {modulated('vivid', 'pixels', 30.0)} select image_id, seq, r, g, b, a from vivid",
+        "photo_to_pattern": subject_counts("Brand#13", 10),
+        "requantize": subject_counts("Brand#24", 4),
         "photo_cells": f"with {PIXELS}, {TURNED}, {lanczos('small', 'upright', 24, 18)}, {modulated('vivid', 'small')}, {toned('cells', 'vivid')} select * from cells",
         "subject_fill": f"""with {TRIMMED},
 extent as (select image_id, max(x) + 1 as w, max(y) + 1 as h from trimmed group by all),
