@@ -67,7 +67,7 @@ def read_orientations(spark: SparkSession, path: str) -> DataFrame:
         return content.map(exif_orientation)
 
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # whole files
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # whole files: a batch ends by bytes
     files = spark.read.format("binaryFile").load(path)
     return files.select(_image_id("path").alias("image_id"), noted("content").alias("orientation"))
 
