@@ -1,12 +1,14 @@
 """Operator 9: licence scans by a positional index of rare words.
 
-Licence templates are notices and whole paragraphs with mandatory key phrases.  Their words are the index:
-word -> (template, position).  How rare each of these words is comes from all files (one
-counter a word).  Every template is looked up by its own rarest words, two more than may be
-missing from it; each posting votes for the places where the template could begin in the file.
-Wherever a template matches, at least two of them vote, so comparing it at the places with two
-votes, word by word, misses none.  A template counts if enough of its words stand within a few
-places of where they should and all its key phrases stand in that part.
+Licence templates are notices and whole paragraphs with mandatory key phrases.  How rare each
+of their words is comes from all files (one counter a word).  The index has, of each template,
+the words of highest IDF, two more than may be missing from it: word -> (template, position).
+A file's words are looked up there; each posting says where the template would begin, which is
+the word's place in the file less its place in the template.  These relative positions are
+intersected: a template is a candidate wherever all but the words that may be missing agree
+within the slip.  Wherever a template matches, they do, so no match is lost and commoner words
+are never looked up.  A candidate counts if all its key phrases stand in that part and enough
+of its words stand within a few places of where they should.
 
 Base labels, by contract, are given wherever the words of a fixed phrase stand in a row.
 
@@ -47,7 +49,7 @@ def read_templates(toml: str) -> list[tuple[str, str, list[str]]]:
 TEMPLATES = read_templates(files("tessella.llm").joinpath("licenses.toml").read_text("utf-8"))
 
 #: How far a word may stand from its place; share of a template's words that must be there;
-#: of the words looked up, how many must be there at least.
+#: of the words in the index, how many must be there at least.
 SLIP, LEAST_SHARE, LEAST_VOTES = 3, 0.8, 2
 
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -62,77 +64,81 @@ class Index:
         self.labels = [label for label, _, _ in templates]
         self.texts = [words_of(text) for _, text, _ in templates]
         self.keys = [[words_of(p) for p in phrases] for _, _, phrases in templates]
+        self.vocabulary = frozenset(word for words in self.texts for word in words)
+        # word -> (template, position), of each template's words of highest IDF only
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = []
         for k, words in enumerate(self.texts):
-            for at, word in enumerate(words):
-                self.postings[word].append((k, at))
-        self.counts = {word: Counter(k for k, _ in own) for word, own in self.postings.items()}
-        self.vocabulary = frozenset(self.postings)
-        self.chosen, self.needed = [], []
-        for words in self.texts:
             missing = sum((len(words) - n) / len(words) >= LEAST_SHARE for n in range(1, len(words) + 1))
             order = sorted(range(len(words)), key=lambda i: (-(rarity or {}).get(words[i], 0.0), words[i], i))
-            self.chosen.append(order[: missing + LEAST_VOTES])
-            self.needed.append(len(self.chosen[-1]) - missing)
+            chosen = order[: missing + LEAST_VOTES]
+            self.needed.append(len(chosen) - missing)
+            for at in chosen:
+                self.postings[words[at]].append((k, at))
+        self.rare = frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
         """label -> best share of words, for the templates that pass."""
-        # a template can only pass if the file holds enough of its words at all
-        present = self.vocabulary.intersection(words)
-        held: Counter = Counter()
-        for word in present:
-            held.update(self.counts[word])
-        open_ = sorted(k for k, n in held.items() if n / len(self.texts[k]) >= LEAST_SHARE)
-        keys = {k: [(len(key), np.array(places(words, key), np.int64)) for key in self.keys[k]] for k in open_}
-        open_ = [k for k in open_ if all(len(at) for _, at in keys[k])]
+        looked_up: dict[int, list[int]] = defaultdict(list)
+        for word in self.rare.intersection(words):
+            for k, at in self.postings[word]:
+                looked_up[k].append(at)
+        open_ = sorted(k for k, at in looked_up.items() if len(at) >= self.needed[k])
         if not open_:
             return {}
         wanted = {word for k in open_ for word in self.texts[k]}
-        stands: dict[bytes, list[int]] = defaultdict(list)
+        found_at: dict[bytes, list[int]] = defaultdict(list)
         for at, word in enumerate(words):
             if word in wanted:
-                stands[word].append(at)
-        # near[word][SLIP + x]: the word stands within SLIP of x, from x = -SLIP on
-        near = {word: _near(np.array(at), len(words)) for word, at in stands.items()}
+                found_at[word].append(at)
+        stands = {word: np.array(at, np.int64) for word, at in found_at.items()}
         found: dict[str, float] = {}
         for k in open_:
-            begins = self._candidates(k, near, len(words))
-            share = self._hits(k, range(len(self.texts[k])), near, begins, len(words)) / len(self.texts[k])
-            good = (share >= LEAST_SHARE) & self._keys(k, keys[k], begins)
-            if good.any():
-                found[self.labels[k]] = max(found.get(self.labels[k], 0.0), float(share[good].max()))
+            begins = _agreeing([stands[self.texts[k][at]] - at for at in looked_up[k]], self.needed[k])
+            for key in self.keys[k]:
+                begins = self._with_phrase(k, key, words, begins)
+            if len(begins):
+                share = float(self._hits(k, stands, begins).max()) / len(self.texts[k])
+                if share >= LEAST_SHARE:
+                    found[self.labels[k]] = max(found.get(self.labels[k], 0.0), share)
         return found
 
-    def _candidates(self, k: int, near: dict[bytes, np.ndarray], n: int) -> np.ndarray:
-        """The places where enough of the template's chosen words stand."""
-        begins = np.arange(-len(self.texts[k]) - SLIP, n + SLIP)
-        return begins[self._hits(k, self.chosen[k], near, begins, n) >= self.needed[k]]
-
-    def _hits(self, k: int, template_places, near: dict[bytes, np.ndarray], begins: np.ndarray, n: int) -> np.ndarray:
-        """For every begin, how many of these words of the template stand near their places."""
+    def _with_phrase(self, k: int, key: list[bytes], words: list[bytes], begins: np.ndarray) -> np.ndarray:
+        """The begins in whose part of the file the key phrase stands."""
+        at = np.array(places(words, key) if len(begins) else [], np.int64)
+        if not len(at):
+            return begins[:0]
+        first = np.searchsorted(at, begins - SLIP)
+        inside = at[np.minimum(first, len(at) - 1)] + len(key) <= begins + len(self.texts[k]) + SLIP
+        return begins[(first < len(at)) & inside]
+
+    def _hits(self, k: int, stands: dict[bytes, np.ndarray], begins: np.ndarray) -> np.ndarray:
+        """For every begin, how many words of the template stand near their places."""
         hits = np.zeros(len(begins), np.int64)
-        for place in template_places:
-            own = near.get(self.texts[k][place])
-            if own is not None:
-                # beyond either end of the file nothing is near
-                hits += own[np.clip(begins + place + SLIP, -1, n + 2 * SLIP)]
+        for place, word in enumerate(self.texts[k]):
+            at = stands.get(word)
+            if at is not None:
+                first = np.searchsorted(at, begins + place - SLIP)
+                hits += (first < len(at)) & (at[np.minimum(first, len(at) - 1)] <= begins + place + SLIP)
         return hits
 
-    def _keys(self, k: int, keys: list[tuple[int, np.ndarray]], begins: np.ndarray) -> np.ndarray:
-        """Whether all key phrases stand in the part at each begin."""
-        good = np.ones(len(begins), bool)
-        for length, at in keys:
-            first = np.searchsorted(at, begins - SLIP)
-            good &= (first < len(at)) & (at[np.minimum(first, len(at) - 1)] + length <= begins + len(self.texts[k]) + SLIP)
-        return good
-
-
-def _near(at: np.ndarray, n: int) -> np.ndarray:
-    """n + 2 * SLIP + 1 flags; the last one, which index -1 reaches too, is False."""
-    out = np.zeros(n + 2 * SLIP + 1, bool)
-    for slip in range(2 * SLIP + 1):
-        out[at + slip] = True
-    return out
+
+def _agreeing(relative: list[np.ndarray], needed: int) -> np.ndarray:
+    """The begins that lie within SLIP of a relative position of ``needed`` postings or more;
+    each of the sorted arrays has one posting's."""
+    starts, ends = [], []
+    for at in relative:
+        apart = np.diff(at) > 2 * SLIP  # a posting counts once where its own reaches overlap
+        starts.append(at[np.r_[True, apart]] - SLIP)
+        ends.append(at[np.r_[apart, True]] + SLIP + 1)
+    edges = np.concatenate(starts + ends)
+    steps = np.repeat([1, -1], [sum(map(len, starts)), sum(map(len, ends))])
+    order = np.argsort(edges, kind="stable")
+    edges, agree = edges[order], np.cumsum(steps[order])
+    if not (agree >= needed).any():
+        return edges[:0]
+    lengths = np.diff(edges, append=edges[-1]) * (agree >= needed)
+    return np.repeat(edges - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:

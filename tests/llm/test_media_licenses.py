@@ -1,10 +1,12 @@
 import hashlib
 import io
+import random
 import re
 import wave
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import common, licenses, media
@@ -149,3 +151,34 @@ def test_many_licenses_in_one_file(spark):
     forced = {t: labels_by_force(t) for t in {t for _, t in rows}}
     assert got == {k: forced[t] for k, t in rows}
     assert {x.split("=")[0] for x in got[1].split(",")} == {k for k, _ in notices}
+
+
+def test_index_against_force_at_any_rarity():
+    """Whatever words are rare, the intersected places lose no template; words of the index only are looked up."""
+    rng = random.Random(5)
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in licenses.words_of(t)})
+    matches = 0
+    for _ in range(60):
+        rarity = {w: rng.choice([0.0, rng.random()]) for w in vocabulary}
+        index = licenses.Index(licenses.TEMPLATES, rarity)
+        assert index.rare < index.vocabulary
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            drop = rng.choice([0, 0.1, 0.2])
+            notice = [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() > drop]
+            at = rng.randint(0, len(notice))
+            notice[at:at] = [rng.choice(["zz", "the", "license"])] * rng.randint(0, 3)
+            parts += notice + [w.decode() for w in rng.choices(vocabulary, k=rng.randint(0, 8))]
+        text = " ".join(parts)
+        found = index.scan(licenses.words_of(text))
+        assert ",".join(f"{k}={v:.4f}" for k, v in sorted(found.items())) == labels_by_force(text)
+        matches += len(found)
+    assert matches > 30
+
+
+def test_agreeing_places():
+    at = [np.array([0, 2, 40]), np.array([3, 46]), np.array([10])]
+    whole = range(-20, 80)
+    for needed in (1, 2, 3):
+        forced = [b for b in whole if sum(any(abs(x - b) <= licenses.SLIP for x in own) for own in at) >= needed]
+        assert licenses._agreeing(at, needed).tolist() == forced
