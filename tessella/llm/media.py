@@ -139,10 +139,28 @@ def wav_of(payload: Column) -> Column:
 
 
 def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The media table of a column of texts, written to the shared folder: digest, stored."""
+    """The media table of a column of texts, written to the shared folder: digest, stored.
+
+    A task writes a payload once, however many of its rows hold it; so one that any number of
+    documents share is stored, read back and hashed at most once a task, and no payload is
+    shuffled for it."""
+    bounded_batches(docs.sparkSession)
     payload = payload_of(text_or_empty(docs[text_col]))
     media = docs.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), wav_of(F.col("payload")).alias("stored"))
-    return materialise(media, "media")
+
+    def start():
+        written: set[str] = set()  # at most a digest a row of the task
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            new = []
+            for digest in batch.column(0).to_pylist():
+                new.append(digest not in written)
+                written.add(digest)
+            return batch.filter(pa.array(new, pa.bool_()))
+
+        return step
+
+    return materialise(map_batches(media, start, "digest string, stored binary"), "media")
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -44,6 +44,17 @@ def test_text_media(spark, sf_dir):
     assert media.text_media(odd(spark).limit(0)).collect() == []
 
 
+def test_a_shared_payload_is_stored_once_a_task(spark):
+    """Among other texts, one that a third of all rows hold."""
+    texts = [f"own {k}" if k % 3 else "shared" for k in range(3_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5, "doc_id")
+    stored = media.store(docs)
+    copies = Counter(r["digest"] for r in stored.select("digest").collect())
+    shared = hashlib.sha256(b"shared" + bytes(58)).hexdigest()
+    assert 1 <= copies.pop(shared) <= 5 and set(copies.values()) == {1} and len(copies) == 2_000
+    check_media(docs)
+
+
 def test_wav_is_read_by_others(spark):
     raw = bytes(odd(spark).where("doc_id = 4").select(media.wav_of(media.payload_of(F.col("text")))).first()[0])
     with wave.open(io.BytesIO(raw)) as sound:
