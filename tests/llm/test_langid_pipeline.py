@@ -210,3 +210,64 @@ def test_frequencies_and_surprise_by_force(spark, sf_dir):
     for text in texts[:20]:
         longest = langid.grams(text)[-1]
         assert math.isclose(model.surprise(langid.grams(text)), sum(idf[f] for f in longest.tolist()) / len(longest), rel_tol=1e-4)
+
+
+def made_texts(n):
+    local = random.Random(5)
+    words = {"a": ["kata", "lumi", "zora", "mina"], "b": ["quen", "dwab", "pliv", "mina"]}
+    return [(k, " ".join(local.choices(words[lang], k=6)) + f" {chr(97 + k % 26) * 2}{chr(97 + k // 26 % 26) * 2}", "ba"[lang == "a" if k % 37 else lang == "b"]) for k, lang in ((k, "ab"[k % 3 == 0]) for k in range(n))]
+
+
+def test_the_model_is_of_all_training_rows_by_force(spark, monkeypatch):
+    """More rows than any sample held: shards, their mean, temperature and bound on the surprise."""
+    monkeypatch.setattr(langid, "SHARD_ROWS", 1000)
+    df = labelled(spark, made_texts(5500) + [(None, "kata lumi", "a")] * 3 + [(10**6, "jjqx jjqx", "a")])
+    model = langid.fit(df)
+    training = [r for r in df.withColumn("key", F.xxhash64("doc_id", "text")).collect() if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    counts = np.zeros(len(langid.ORDERS) * langid.BUCKETS)
+    for r in training:
+        counts[np.unique(np.concatenate(langid.grams(r["text"])))] += 1
+    idf = np.log((1 + len(training)) / (1 + counts)) + 0.05
+    shards, seen = defaultdict(list), set()
+    for r in sorted(training, key=lambda r: r["key"]):
+        if r["key"] not in seen:
+            seen.add(r["key"])
+            shards[(r["key"] >> 32) % langid.CALIBRATION_EVERY == 0, r["key"] % -(-len(training) // 1000)].append((r["lang"], *langid.term_frequencies(langid.grams(r["text"]))))
+    assert len(seen) == len(training) - 2 > 4000 and len(shards) == 10
+
+    def mean(kinds):
+        top, below = np.zeros((len(idf) + 1, 2)), np.zeros((len(idf) + 1, 2))
+        for (apart, _), rows in shards.items():
+            if apart in kinds:
+                w, n, scale = langid.ftrl(rows, ["a", "b"], idf)
+                top += n * w * np.append(idf / scale, 1.0)[:, None]
+                below += n
+        return np.divide(top, below, out=np.zeros_like(top), where=below > 1e-6)
+
+    want = mean((True, False))
+    assert model.languages == ["a", "b"] and np.allclose(model.bias, want[-1], atol=1e-4)
+    assert np.allclose(model.weights, want[:-1], rtol=1e-2, atol=1e-2) and np.abs(want[:-1]).max() > 1
+    taught = mean((False,))
+    held = [r for (apart, _), rows in shards.items() if apart for r in rows]
+    raw, gold = np.array([taught[-1] + tf @ taught[f] for _, f, tf in held]), np.array(["ab".index(r[0]) for r in held])
+    costs = [langid.losses(raw, gold, t).mean() for t in langid.TEMPERATURES]
+    assert costs[int(np.argmin(np.abs(langid.TEMPERATURES - model.temperature)))] <= min(costs) + 1e-4
+    surprise = sorted((s for rows in shards.values() for s in langid.surprises(rows, idf)), reverse=True)
+    assert math.isclose(model.most_surprise, langid.MARGIN * surprise[len(surprise) // langid.OUTLIERS], abs_tol=0.0013)
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SHARD_ROWS", 300)
+    df = labelled(spark, made_texts(1500))
+    one, two = langid.fit(df), langid.fit(df.orderBy("lang", F.desc("doc_id")).coalesce(1))
+    assert (one.weights == two.weights).all() and (one.bias == two.bias).all()
+    assert (one.temperature, one.most_surprise) == (two.temperature, two.most_surprise)
+
+
+def test_a_language_of_one_row_is_learned(spark):
+    """Whichever row it is: rows that fit the temperature are learned from, too."""
+    rare = [k for k in range(2000, 2100) if zlib.crc32(str(k).encode()) % 5][:3]
+    for k in rare:
+        df = labelled(spark, [*made_texts(400), (k, "ghoth vrexu ghoth", "c")])
+        model = langid.fit(df)
+        assert model.languages == ["a", "b", "c"] and model.weights[:, 2].max() > 0
