@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache
-from tessella.llm.common import bounded_batches, inputs, map_batches, text_or_empty
+from tessella.llm.common import bounded_batches, inputs, kept, map_batches, text_or_empty
 
 #: Entries of the literal rank map that share a bucket, about.
 BUCKET = 8
@@ -91,12 +91,10 @@ class Ranks:
         return [ranks[p] for p in parts if p]
 
 
-_caches: dict[tuple[str, str], tuple[ChunkCache, Ranks]] = {}
-
-
 def cache_of(path: str, pattern: str) -> tuple[ChunkCache, Ranks]:
     """Chunks to (little-endian ids, their decimals each with a comma behind)."""
-    if (path, pattern) not in _caches:
+    caches: dict[tuple[str, str], tuple[ChunkCache, Ranks]] = kept(__name__)
+    if (path, pattern) not in caches:
         table = Ranks(read_ranks(path))
         words = regex.compile(pattern).findall
 
@@ -107,8 +105,8 @@ def cache_of(path: str, pattern: str) -> tuple[ChunkCache, Ranks]:
                     ids += table.fold(word.encode("utf-8", "surrogatepass"))
                 yield np.array(ids, "<u4").tobytes()
 
-        _caches[path, pattern] = ChunkCache(encode), table
-    return _caches[path, pattern]
+        caches[path, pattern] = ChunkCache(encode), table
+    return caches[path, pattern]
 
 
 _run_with_space = regex.compile(r"\s ").search

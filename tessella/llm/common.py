@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +20,9 @@ BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 #: A join key is hot if more than one row in so many has it, so fewer than so many keys are.
 HOT_SHARE, LEAST_HOT = 500, 1_000
 
+#: What a Python worker keeps from one task to the next, of one operator only.
+_kept: dict[str, dict] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,6 +94,40 @@ def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return the memory that a worker has freed to the system.  A worker lives on between tasks,
+    also through stages that run no Python, beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc holds freed memory back; others may not have this
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(operator: str) -> dict:
+    """What tasks of ``operator`` keep in this worker for later ones.  Workers are handed from
+    operator to operator, so the first task of another one drops what those before had kept."""
+    own = _kept.get(operator)
+    if own is None:
+        own, had = {}, bool(_kept)
+        _kept.clear()
+        _kept[operator] = own
+        if had:
+            gc.collect()
+            give_back()
+    return own
+
+
+def map_task(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose worker returns at its end what the task took, and drops at its start
+    what other operators, known by the module of ``run``, had kept."""
+
+    def freed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(run.__module__)
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(freed, schema)
+
+
 def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with a set-up step: ``start()`` runs once a task and returns the function
     that turns a batch into a batch (None: nothing)."""
@@ -98,4 +138,5 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa
             if (out := step(batch)) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    run.__module__ = start.__module__
+    return map_task(df, run, schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, discard, inputs, map_batches, materialise, text_or_empty
+from tessella.llm.common import bounded_batches, discard, inputs, kept, map_batches, map_task, materialise, text_or_empty
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most hashes in a signature.
@@ -44,7 +44,6 @@ BLOOM_BITS, BLOOM_HASHES, BLOOM_WORDS = 16, 4, 1 << 21
 WORD_CACHE = 150_000
 
 words_of = re.compile(r"\w+").findall
-_hashes: dict[str, int] = {}
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = SIGNATURE) -> tuple[int, int]:
@@ -69,11 +68,12 @@ def ngram_set(text: str, n: int = WORDS) -> np.ndarray:
     words = words_of(text.lower())
     if not words:
         return np.empty(0, np.uint64)
-    if len(_hashes) > WORD_CACHE:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes: dict[str, int] = kept(__name__)
+    if len(hashes) > WORD_CACHE:
+        hashes.clear()
+    for w in set(words).difference(hashes):
+        hashes[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(n, len(h))
     total = h[: len(h) - n + 1].copy()
     for k in range(1, n):
@@ -343,7 +343,7 @@ def _links(dealt: DataFrame, threshold: float) -> DataFrame:
         settle()
         yield batch_of()
 
-    return dealt.select("node", "at", "block", "other", "ngrams").mapInArrow(run, "node long, n_links long, root long")
+    return map_task(dealt.select("node", "at", "block", "other", "ngrams"), run, "node long, n_links long, root long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:

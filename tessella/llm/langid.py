@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, inputs, map_batches, materialise
+from tessella.llm.common import bounded_batches, inputs, kept, map_batches, map_task, materialise
 
 UNDETERMINED = "und"
 #: Hashed features for each length of n-gram.
@@ -62,15 +62,13 @@ MARGIN, OUTLIERS = 1.2, 1_000
 #: Gradients, weights and losses are added as multiples of this, exactly.
 UNIT = 2.0**-28
 
-_letters: np.ndarray | None = None
-
 
 def letter_codes() -> np.ndarray:
     """For each code point itself if it is a letter, else 0."""
-    global _letters
-    if _letters is None:
-        _letters = np.array([i if unicodedata.category(chr(i))[0] == "L" else 0 for i in range(0x110000)], np.uint32)
-    return _letters
+    own = kept(__name__)
+    if "letters" not in own:
+        own["letters"] = np.array([i if unicodedata.category(chr(i))[0] == "L" else 0 for i in range(0x110000)], np.uint32)
+    return own["letters"]
 
 
 def grams(text: str) -> list[np.ndarray] | None:
@@ -146,7 +144,7 @@ def statistics(training: DataFrame) -> tuple[np.ndarray, int, list[str]]:
         names = [*[None] * len(used), *languages]
         yield pa.RecordBatch.from_arrays([pa.array(features, pa.int64()), pa.array(names, pa.string()), pa.array([*counts[used].tolist(), *languages.values()], pa.int64())], ["feature", "lang", "n"])
 
-    sums = training.select("text", "lang").mapInArrow(run, "feature long, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    sums = map_task(training.select("text", "lang"), run, "feature long, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
     counts, n, languages = np.zeros(size, np.int64), 0, []
     for feature, lang, value in sums.collect():  # at most one row a feature and language
         if feature < 0:
@@ -333,7 +331,7 @@ def learned(keyed: DataFrame, languages: list[str], idf: np.ndarray, shards: int
     names = ["kind", "at", *sums]
     dealt = keyed.select(F.pmod("key", F.lit(shards)).alias("shard"), "apart", "key", "lang", "text")
     dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "apart", "key", "lang")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("kind", "at").agg(*(F.sum(c).alias(c) for c in sums))
+    return map_task(dealt, run, ", ".join(f"{c} long" for c in names)).groupBy("kind", "at").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def calibrated(apart: DataFrame, model: Model) -> float:
@@ -352,7 +350,7 @@ def calibrated(apart: DataFrame, model: Model) -> float:
         if sums.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["at", "loss"])
 
-    found = dict(apart.select("lang", "text").mapInArrow(run, "at long, loss long").groupBy("at").agg(F.sum("loss")).collect())
+    found = dict(map_task(apart.select("lang", "text"), run, "at long, loss long").groupBy("at").agg(F.sum("loss")).collect())
     return float(TEMPERATURES[min(found, key=lambda k: (found[k], k))]) if found else 1.0
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache
-from tessella.llm.common import bounded_batches, inputs, map_batches, materialise, text_or_empty
+from tessella.llm.common import bounded_batches, inputs, kept, map_batches, map_task, materialise, text_or_empty
 from tessella.shipping import ship
 
 MAX_TOKENS = 2048
@@ -43,8 +43,6 @@ BINS = "bin_id long, used long, doc_id array<long>, piece array<int>, start arra
 MEMBERS = ("doc_id", "piece", "start", "length", "ids_crc32")
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
-_encoders: dict[str, ChunkCache] = {}
-
 
 #: Lower-case words of these letters are one pre-token each, whatever stands beside them.
 plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -55,7 +53,8 @@ def encoder(vocabulary: str) -> ChunkCache:
 
     A chunk that is a plain word, perhaps capitalised and with a comma or full stop behind
     it, is put together from its parts; all others go to the tokenizer as they are."""
-    if vocabulary not in _encoders:
+    encoders: dict[str, ChunkCache] = kept(__name__)
+    if vocabulary not in encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,8 +109,8 @@ def encoder(vocabulary: str) -> ChunkCache:
                 out[k] = words[word] + tails[tail]
             return out
 
-        _encoders[vocabulary] = ChunkCache(encode)
-    return _encoders[vocabulary]
+        encoders[vocabulary] = ChunkCache(encode)
+    return encoders[vocabulary]
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, end_token: int = END_TOKEN, with_ids: bool = False) -> DataFrame:
@@ -217,7 +216,7 @@ def pack_local(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group_items: int
         if held:
             yield flush()
 
-    return pieces.mapInArrow(run, BINS)
+    return map_task(pieces, run, BINS)
 
 
 def pack_again(bins: DataFrame, level: int, groups: int, max_tokens: int = MAX_TOKENS) -> DataFrame:

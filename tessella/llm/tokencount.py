@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache
-from tessella.llm.common import bounded_batches, inputs, map_batches, text_or_empty
+from tessella.llm.common import bounded_batches, inputs, kept, map_batches, text_or_empty
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -85,16 +85,14 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in odd)]
 
 
-_counters: dict[str, ChunkCache] = {}
-
-
 def counter(path: str) -> ChunkCache:
-    if path not in _counters:
+    counters: dict[str, ChunkCache] = kept(__name__)
+    if path not in counters:
         model = Unigram(read_vocabulary(path))
         if not model.borders:
             raise ValueError("a piece of this vocabulary spans a word border")
-        _counters[path] = ChunkCache(lambda words: [model.count(SPACE + w) for w in words])
-    return _counters[path]
+        counters[path] = ChunkCache(lambda words: [model.count(SPACE + w) for w in words])
+    return counters[path]
 
 
 def words_of(text: str) -> list[str]:
