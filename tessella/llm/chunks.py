@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import accumulate, chain, pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of each of the two generations of chunks that a worker keeps, and what a chunk
 #: takes besides its characters and its value.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
 #: Longer chunks (texts without spaces) seldom repeat: they are encoded anew each time.
 LONGEST_KEPT = 64
+#: Bytes of a ``ChunkTable``, and what an entry takes besides its characters and its value.
+TABLE_BYTES, PLACE_BYTES = 32 << 20, 24
 #: The most frequent chunks of the first batch are also kept in a table small enough for a
 #: CPU's cache.
 HOT_CHUNKS = 16_000
@@ -72,3 +78,49 @@ class ChunkCache:
                 own[at] = learnt[chunk]
             self._admit(moved | learnt)
         return out
+
+
+class ChunkTable(ChunkCache):
+    """The same as Arrow columns, for values that are bytes: looks up a whole column of chunks at
+    once, and hands only new ones, each of them once, to ``encode``.  Over its limit it keeps
+    those that were used last, to half of it."""
+
+    def __init__(self, encode: Callable[[pa.Array], pa.Array], limit: int = TABLE_BYTES):
+        self.encode, self.limit = encode, limit
+        self.names, self.found = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used = np.zeros(0, "i8")
+        self.ticks = 0
+
+    def look_up(self, chunks: pa.Array) -> pa.Array:
+        """For each chunk (large_string, not null) its value (large_binary)."""
+        at = pc.index_in(chunks, value_set=self.names)
+        names, found = self.names, self.found
+        if at.null_count:
+            new = chunks.filter(at.is_null()).dictionary_encode()
+            names = pa.concat_arrays([names, new.dictionary])
+            found = pa.concat_arrays([found, self.encode(new.dictionary)])
+            places = np.where(at.is_null().to_numpy(zero_copy_only=False), -1, at.fill_null(0).to_numpy())
+            places[places < 0] = len(self.names) + new.indices.to_numpy()
+        else:
+            places = at.to_numpy()
+        self._admit(names, found, places)
+        return found.take(pa.array(places))
+
+    def _admit(self, names: pa.Array, found: pa.Array, places: np.ndarray) -> None:
+        self.ticks += 1
+        used = np.concatenate([self.used, np.zeros(len(names) - len(self.used), "i8")])
+        used[places] = self.ticks
+        lengths = pc.binary_length(names).to_numpy()
+        keep = lengths <= LONGEST_KEPT
+        sizes = np.where(keep, lengths + pc.binary_length(found).to_numpy() + PLACE_BYTES, 0)
+        if sizes.sum() > self.limit:
+            last = np.argsort(-used, kind="stable")
+            keep[last[np.cumsum(sizes[last]) > self.limit // 2]] = False
+        if not keep.all():
+            kept = pa.array(keep)
+            names, found, used = names.filter(kept), found.filter(kept), used[keep]
+        self.names, self.found, self.used = names, found, used
+
+    def values(self, chunked: list[list[str]]) -> list[list[bytes]]:
+        flat = self.look_up(pa.array(list(chain.from_iterable(chunked)), pa.large_string())).to_pylist()
+        return [flat[a:b] for a, b in pairwise(accumulate(map(len, chunked), initial=0))]
