@@ -1,21 +1,23 @@
 """k-means of cell colours in Lab with CIEDE2000 assignment, one clustering an image.
 
 Points are an image's distinct colours weighted by their cells: one for each cell of its grid at
-most, 40 000 at the largest grid on offer.  So an image's points are one group, and all seeds
-and rounds run within it: one job for all images instead of several a round.
+most, 40 000 at the largest grid on offer.  So an image's points meet in one task, and all seeds
+and rounds run there: one job for all images instead of several a round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.operators import quantise
 from tessella.operators.lineage import written
-from tessella.operators.matching import LAB, dealt, nearest_of_own, small, with_palette_lab
+from tessella.operators.matching import LAB, dealt, nearest, nearest_of_own, with_palette_lab
 from tessella.shipping import ship
 
 
@@ -57,24 +59,52 @@ def _lloyd(lab: np.ndarray, w: np.ndarray, centres: np.ndarray, most: int) -> tu
     return centres, labels
 
 
+def _whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole images with the rows at which they begin, from batches that are in the
+    order of image_id: the last image of a batch may go on in the next."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+        if not rows.num_rows:
+            continue
+        ids = rows["image_id"].to_numpy()
+        begins = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+        if len(begins) > 1:
+            yield rows.slice(0, begins[-1]), begins[:-1]
+        rest = rows.slice(begins[-1])
+    if rest is not None:
+        yield rest, np.array([0])
+
+
 def _clustered(points: DataFrame, k: int, most: int) -> DataFrame:
     """Rows of centroids (image_id, label, p_l, p_a, p_b) and, after ``most`` rounds at most, of
     labels (image_id, r, g, b, label), which have no centroid."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb, lab, w = pdf[["r", "g", "b"]].to_numpy(), pdf[list(LAB)].to_numpy(), pdf["w"].to_numpy()
-        centres, labels = _seeds(rgb, lab, w, np.stack(pdf["races"].to_numpy())), None
-        if most:
-            centres, labels = _lloyd(lab, w, centres, most)
-        image_id = pdf["image_id"].iloc[0]
-        out = [pd.DataFrame({"image_id": image_id, "label": np.arange(len(centres)), **{f"p_{c}": centres[:, n] for n, c in enumerate("lab")}})]
-        if labels is not None:
-            out.append(pd.DataFrame({"image_id": image_id, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "label": labels}))
-        return pd.concat(out).reindex(columns=["image_id", "r", "g", "b", "label", "p_l", "p_a", "p_b"]).astype({c: "Int32" for c in ("r", "g", "b", "label")})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins in _whole_images(batches):
+            column = lambda c: rows[c].to_numpy()
+            rgb, lab, w = np.stack([column(c) for c in "rgb"], 1), np.stack([column(c) for c in LAB], 1), column("w")
+            races = rows["races"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+            found, labels = [], []
+            for part in map(slice, begins, [*begins[1:], rows.num_rows]):
+                centres = _seeds(rgb[part], lab[part], w[part], races[part])
+                if most:
+                    centres, label = _lloyd(lab[part], w[part], centres, most)
+                    labels.append(label)
+                found.append(centres)
+            sizes, centres = [len(x) for x in found], np.concatenate(found)
+            none = lambda n, kind: [pa.nulls(n, kind)] * 3
+            number = lambda xs: pa.array(np.concatenate(xs), pa.int32())
+            ids = rows["image_id"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(begins, sizes))), *none(len(centres), pa.int32()), number([np.arange(n) for n in sizes]), *(pa.array(x) for x in centres.T)], names)
+            if most:
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int32()) for x in rgb.T), number(labels), *none(len(ids), pa.float64())], names)
+
+    names = ["image_id", "r", "g", "b", "label", "p_l", "p_a", "p_b"]
     ship(points.sparkSession)
-    own = dealt(_with_races(points, k).select("image_id", "r", "g", "b", *LAB, "w", "races"), "image_id")
-    return own.groupBy("image_id").applyInPandas(one, f"image_id {dict(points.dtypes)['image_id']}, r int, g int, b int, label int, p_l double, p_a double, p_b double")
+    own = dealt(_with_races(points, k).select("image_id", "r", "g", "b", *LAB, "w", "races"), "image_id").sortWithinPartitions("image_id", "r", "g", "b")
+    return own.mapInArrow(run, f"image_id {dict(points.dtypes)['image_id']}, r int, g int, b int, label int, p_l double, p_a double, p_b double")
 
 
 def seeds(points: DataFrame, k: int) -> DataFrame:
@@ -91,14 +121,13 @@ def kmeans(cells: DataFrame, k: int, max_iterations: int = 30) -> tuple[DataFram
 
 def _cluster_beads(centroids: DataFrame, palette: DataFrame) -> DataFrame:
     """image_id, label, brand, code, ord: the bead nearest to each centre."""
-    side = with_palette_lab(palette).select("brand", "code", "ord", *(F.col(c).alias(f"q_{c[-1]}") for c in LAB))
-    pairs = color.with_delta_e(centroids.crossJoin(small(side)), ("p_l", "p_a", "p_b"), ("q_l", "q_a", "q_b"))  # k rows an image
-    beads = pairs.groupBy("image_id", "label").agg(F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best"))
-    return beads.select("image_id", "label", "best.brand", "best.code", "best.ord")
+    centres = centroids.select("image_id", "label", *(F.col(f"p_{c[-1]}").alias(c) for c in LAB))
+    return nearest(centres, palette, ("image_id", "label")).drop("delta_e")
 
 
 def cluster_palettes(cells: DataFrame, palette: DataFrame, k: int, max_iterations: int = 30) -> DataFrame:
     """image_id, label, n, brand, code, ord: the bead nearest to each cluster's centre."""
+    cells = written(cells)
     centroids, labels = kmeans(cells, k, max_iterations)
     sizes = cells.join(labels, ["image_id", "r", "g", "b"]).groupBy("image_id", "label").agg(F.count("*").alias("n"))
     return _cluster_beads(centroids, palette).join(sizes, ["image_id", "label"]).select("image_id", "label", "n", "brand", "code", "ord")

@@ -14,6 +14,8 @@ from tessella.functions import color
 #: A palette of more rows is not broadcast: the same plan then runs as a shuffled join.
 BROADCAST_ROWS = 5_000
 LAB = ("lab_l", "lab_a", "lab_b")
+#: What a colour is known by, unless a caller's colours have another key.
+RGB = ("r", "g", "b")
 
 
 def with_palette_lab(palette: DataFrame) -> DataFrame:
@@ -45,19 +47,19 @@ def dealt(colors: DataFrame, *by: str) -> DataFrame:
     return colors.repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
-    """r, g, b with brand, code, ord and delta_e of the nearest row of one palette.  Every
-    colour is compared with every row of a palette that may be broadcast; of larger ones with
-    those that its lightness allows (``nearest_pruned``)."""
+def nearest(colors: DataFrame, palette: DataFrame, key: tuple[str, ...] = RGB) -> DataFrame:
+    """The key of colours (by default r, g, b) with brand, code, ord and delta_e of the nearest
+    row of one palette.  Every colour is compared with every row of a palette that may be
+    broadcast; of larger ones with those that its lightness allows (``nearest_pruned``)."""
     side = _side(with_palette_lab(palette))
     if side.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return nearest_pruned(colors, palette)
-    return _best(_measured(dealt(colors).crossJoin(F.broadcast(side))))
+        return nearest_pruned(colors, palette, key)
+    return _best(_measured(dealt(colors).crossJoin(F.broadcast(side))), key)
 
 
-def _best(pairs: DataFrame) -> DataFrame:
+def _best(pairs: DataFrame, key: tuple[str, ...]) -> DataFrame:
     best = F.min(F.struct("delta_e", "ord", "brand", "code")).alias("best")
-    return pairs.groupBy("r", "g", "b").agg(best).select("r", "g", "b", "best.brand", "best.code", "best.ord", "best.delta_e")
+    return pairs.groupBy(*key).agg(best).select(*key, "best.brand", "best.code", "best.ord", "best.delta_e")
 
 
 #: Sides of the cubes of Lab, fine to coarse, in which a colour looks for a first neighbour.
@@ -73,7 +75,7 @@ def _cubes(lab: tuple[str, str, str]) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(k).alias("cube"), *(F.floor(F.col(c) / size).cast("int").alias(f"at_{n}") for c, n in zip(lab, "lab", strict=True))) for k, size in enumerate(CUBES))))
 
 
-def candidates(colors: DataFrame, side: DataFrame) -> DataFrame:
+def candidates(colors: DataFrame, side: DataFrame, key: tuple[str, ...] = RGB) -> DataFrame:
     """Pairs of a colour with each palette row that its lightness allows to be the nearest.
 
     A first bound comes from one row of each cube that the colour lies in and from one row of
@@ -82,24 +84,25 @@ def candidates(colors: DataFrame, side: DataFrame) -> DataFrame:
     reps = side.select(*(f"p_{c}" for c in "lab"), "ord", _cubes(("p_l", "p_a", "p_b")).alias("c")).select("c.*", "ord", *(f"p_{c}" for c in "lab"))
     reps = reps.groupBy("cube", "at_l", "at_a", "at_b").agg(F.min(F.struct("ord", "p_l", "p_a", "p_b")).alias("rep"))
     any_ = F.broadcast(side.agg(F.min(F.struct("ord", "p_l", "p_a", "p_b")).alias("any")))  # one row
-    met = colors.select("r", "g", "b", *LAB, _cubes(LAB).alias("c")).select("r", "g", "b", *LAB, "c.*").join(reps, ["cube", "at_l", "at_a", "at_b"], "left").crossJoin(any_)
+    met = colors.select(*key, *LAB, _cubes(LAB).alias("c")).select(*key, *LAB, "c.*").join(reps, ["cube", "at_l", "at_a", "at_b"], "left").crossJoin(any_)
     one = F.coalesce("rep", "any")
-    first = _measured(met.select("r", "g", "b", *LAB, *(one[f"p_{c}"].alias(f"p_{c}") for c in "lab")))
-    bounded = first.groupBy("r", "g", "b", *LAB).agg(F.min("delta_e").alias("bound"))
+    first = _measured(met.select(*key, *LAB, *(one[f"p_{c}"].alias(f"p_{c}") for c in "lab")))
+    bounded = first.groupBy(*key, *LAB).agg(F.min("delta_e").alias("bound"))
+    bounded = dealt(bounded, *key)
     reach = F.col("bound") * LIGHTNESS_DIVISOR + 1e-6
     low, high = (F.floor((F.col("lab_l") + by) / STEP) for by in (-reach, reach))
     asked = bounded.withColumn("reach", reach).withColumn("bucket", F.explode(F.sequence(F.greatest(low, F.lit(-1)), F.least(high, F.lit(int(100 / STEP) + 1)))))
     placed = side.withColumn("bucket", F.floor(F.col("p_l") / STEP))
-    return asked.join(placed, "bucket").where(F.abs(F.col("lab_l") - F.col("p_l")) <= F.col("reach"))
+    return asked.join(small(placed), "bucket").where(F.abs(F.col("lab_l") - F.col("p_l")) <= F.col("reach"))
 
 
-def nearest_pruned(colors: DataFrame, palette: DataFrame) -> DataFrame:
-    """``nearest`` for a palette of any size: a shuffled join on buckets of lightness.  Of
-    palette rows of one colour only the first is kept."""
+def nearest_pruned(colors: DataFrame, palette: DataFrame, key: tuple[str, ...] = RGB) -> DataFrame:
+    """``nearest`` for a palette of any size: a join on buckets of lightness, shuffled if the
+    palette has many colours.  Of palette rows of one colour only the first is kept."""
     side = _side(with_palette_lab(palette))
     same = side.groupBy("p_l", "p_a", "p_b").agg(F.min(F.struct("ord", "brand", "code")).alias("first"))
     side = same.select("first.*", "p_l", "p_a", "p_b")
-    return _best(_measured(candidates(colors, side)))
+    return _best(_measured(candidates(colors, side, key)), key)
 
 
 def nearest_of_own(cells: DataFrame, palettes: DataFrame, tie: Column) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import assembly, cleanup, clustering, geometry, photo, pooling, quantise, render, replacement
+from tessella.operators import assembly, cleanup, clustering, geometry, matching, photo, pooling, quantise, render, replacement
 from tessella.plans import pattern, queries
 from tessella.plans.config import Config, config_for
 from tessella.sources import palettes
@@ -444,3 +444,28 @@ def test_cluster_quantise_by_force(spark, sf_dir):
         if kept:
             found = [p if p is None or count[p[0]["ord"]] / len(order) >= 0.02 else nearest_by_force(p[1], kept) for p in found]
         assert got[image_id] == [p and p[0]["code"] for p in found]
+
+
+def test_centres_meet_a_large_palette_by_lightness(spark, monkeypatch):
+    """A palette that isn't broadcast: the first of the nearest, from a part of all pairs."""
+    rows = [("T", f"c{k}", k, *(k % 700 * n % 256 for n in (37, 91, 151))) for k in range(800)]  # the last hundred repeat colours
+    palette = spark.createDataFrame(rows, "brand string, code string, ord int, r int, g int, b int")
+    spots = [(k // 4, k % 4, k * 17 % 100 + 0.25, k * 29 % 120 - 60.5, k * 43 % 120 - 60.5) for k in range(120)]
+    centres = spark.createDataFrame(spots, "image_id long, label int, p_l double, p_a double, p_b double")
+    measured, real = [], clustering.color.with_delta_e
+    monkeypatch.setattr(clustering.color, "with_delta_e", lambda df, *names: measured.append(df.count()) or real(df, *names))
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 100)
+    got = {(r["image_id"], r["label"]): r["code"] for r in clustering._cluster_beads(centres, palette).collect()}
+    own = [(p, lab_of(p)) for p in palette.orderBy("ord").collect()]
+    assert got == {(image_id, label): nearest_by_force(quantise.np.array(lab), own)[0]["code"] for image_id, label, *lab in spots}
+    assert 0 < sum(measured) < 0.5 * len(spots) * len(rows)
+
+
+def test_images_go_on_over_batches(spark, sf_dir):
+    cells, size = queries.cells(spark, sf_dir).cache(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = [sorted(tuple(r) for r in found.collect()) for found in clustering.kmeans(cells, 6)]
+    spark.conf.set(size, 7)
+    try:
+        assert whole == [sorted(tuple(r) for r in found.collect()) for found in clustering.kmeans(cells, 6)]
+    finally:
+        spark.conf.unset(size)
