@@ -138,8 +138,9 @@ def cluster_quantise(cells: DataFrame, palette: DataFrame, k: int, max_iteration
 
     With ``dither`` or ``snap``, cells of images with two or more such beads are dithered or
     matched again among those, in the order of the clusters."""
+    cells = written(cells)
     centroids, labels = kmeans(cells, k, max_iterations)
-    own = _cluster_beads(centroids, palette)
+    own = written(_cluster_beads(centroids, palette))
     beads = cells.join(labels.join(own, ["image_id", "label"]), ["image_id", "r", "g", "b"], "left").select("image_id", "cx", "cy", "r", "g", "b", "brand", "code", "ord")
     if snap or dither > 0:
         reduced = own.groupBy("image_id", "ord", "brand", "code").agg(F.min("label").alias("rank")).join(with_palette_lab(palette).select("ord", *LAB), "ord")
@@ -151,7 +152,7 @@ def cluster_quantise(cells: DataFrame, palette: DataFrame, k: int, max_iteration
             matched = nearest_of_own(chosen, reduced, F.col("rank")).drop("delta_e")
             again = chosen.join(matched, ["image_id", "r", "g", "b"], "left").select(*beads.columns)
         beads = beads.join(several, "image_id", "left_anti").unionByName(again)
-    beads = written(quantise.with_distance(beads, palette))
+    beads = written(beads)
     if confetti_ratio > 0:
-        beads = quantise.with_distance(quantise.clean_confetti(beads, palette, confetti_ratio), palette)
-    return beads.select("image_id", "cx", "cy", "brand", "code", "ord", "delta_e")
+        beads = written(quantise.clean_confetti(beads, palette, confetti_ratio))
+    return quantise.with_distance(beads, palette).select("image_id", "cx", "cy", "brand", "code", "ord", "delta_e")

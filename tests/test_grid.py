@@ -469,3 +469,24 @@ def test_images_go_on_over_batches(spark, sf_dir):
         assert whole == [sorted(tuple(r) for r in found.collect()) for found in clustering.kmeans(cells, 6)]
     finally:
         spark.conf.unset(size)
+
+
+def test_cells_and_their_clusters_beads_are_made_once(spark, palette, monkeypatch):
+    made = {"cells": spark.sparkContext.accumulator(0), "beads": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name):
+        total = made[name]
+
+        def run(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    cells = counted(grid(spark, [[RED, BLUE, GREEN], [RED, (250, 0, 0), None], [BLUE, RED, GREEN]]), "cells")
+    nearest = clustering.nearest
+    monkeypatch.setattr(clustering, "nearest", lambda *asked: counted(nearest(*asked), "beads"))
+    out = codes(clustering.cluster_quantise(cells, palette, 3, snap=True, confetti_ratio=0.02))
+    assert out == [["R", "B", "G"], ["R", "R", None], ["B", "R", "G"]]
+    assert {name: total.value for name, total in made.items()} == {"cells": 9, "beads": 3}
